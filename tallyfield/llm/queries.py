@@ -35,7 +35,9 @@ WITH u AS (
                         (1, 'block', 'example.net', '/de/8'), (1, 'block', 'org', '/es/'),
                         (2, 'block', 'spam-farm.example.com', ''), (2, 'block', 'spam-farm.example.net', ''),
                         (2, 'block', 'spam-farm.example.org', ''), (2, 'block', 'casino-win.example.com', ''),
-                        (2, 'block', 'casino-win.example.net', ''), (2, 'block', 'casino-win.example.org', '')) t(tier, verdict, h, p)
+                        (2, 'block', 'casino-win.example.net', ''), (2, 'block', 'casino-win.example.org', ''),
+                        (2, 'block', 'free-bets.example.com', ''), (2, 'block', 'free-bets.example.net', ''),
+                        (2, 'block', 'free-bets.example.org', '')) t(tier, verdict, h, p)
 ), best AS (
   SELECT s.page_id, s.host, s.path, r.tier, r.verdict, r.h || r.p AS rule,
          row_number() OVER (PARTITION BY s.page_id ORDER BY r.tier, length(r.h) + length(r.p) DESC) AS rn

@@ -17,7 +17,7 @@ CONTRACT_RULES = (
     ("block", "org", "/es/"),
 )
 #: Host labels of link farms under the public example domains; consulted when no rule above fits.
-FARM_RULES = tuple(("block", f"{label}.example.{top}", "") for label in ("spam-farm", "casino-win") for top in ("com", "net", "org"))
+FARM_RULES = tuple(("block", f"{label}.example.{top}", "") for label in ("spam-farm", "casino-win", "free-bets") for top in ("com", "net", "org"))
 MAX_RULES = 100_000
 
 
