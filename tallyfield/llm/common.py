@@ -122,3 +122,9 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def lowered(text: str) -> str:
+    """Lower case with every code point in its place: one that would become several stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
