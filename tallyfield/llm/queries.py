@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, license_scan, quality, secrets, url_filter
+from . import bpe, decontaminate, language_id, license_scan, quality, secrets, simhash, url_filter
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ FROM best WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op7_quality, op8_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
