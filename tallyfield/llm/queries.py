@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, license_scan, quality, secrets, simhash, url_filter
+from . import bpe, class_lm, decontaminate, language_id, license_scan, quality, secrets, simhash, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,7 +74,7 @@ FROM best WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op6_class_lm, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
