@@ -101,6 +101,18 @@ def learn(docs: DataFrame, modulus: int = 5, held: int = 0) -> tuple[list[str],
     return langs, np.vstack([matrix, np.log((counts[BUCKETS:] + 1) / (counts[BUCKETS:].sum() + len(langs)))])
 
 
+def predict(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text: sums of the log-probabilities of its n-grams' buckets."""
+    if not langs:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    buckets, of = gram_buckets(texts)
+    sums = np.stack([np.bincount(of, matrix[buckets, k], minlength=len(texts)) + matrix[BUCKETS, k] for k in range(len(langs))], axis=1)
+    known = np.bincount(of, minlength=len(texts)) > 0
+    best = sums.argmax(axis=1)
+    top = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+    return [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, top, 0.0)
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, modulus: int = 5, held: int = 0) -> DataFrame:
     """Predict the language of every row: ``doc_id, held_out, lang_pred, score``.
 
@@ -109,27 +121,26 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     null doc_id has ``held_out`` false. Repeated rows give repeated rows; an empty table gives none.
     """
     langs, matrix = model or learn(docs, modulus, held)
-    matrix = matrix.astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in sliced(batches, 128):
-            texts = strings(batch, "text")
-            buckets, of = gram_buckets(texts)
-            sums = np.zeros((len(texts), len(langs)))
-            for k in range(len(langs)):
-                sums[:, k] = np.bincount(of, m[buckets, k], minlength=len(texts)) + m[BUCKETS, k]
-            known = np.bincount(of, minlength=len(texts)) > 0
-            if langs:
-                best = sums.argmax(axis=1)
-                top = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            names = [langs[best[i]] if langs and known[i] else UNDETERMINED for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0) if langs else np.zeros(len(texts)))],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+            names, scores = predict(strings(batch, "text"), langs, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, min_score: float = 0.5, modulus: int = 5, held: int = 0) -> DataFrame:
+    """The rows whose language is told with ``min_score`` or more, all columns as they are; ``und`` rows go."""
+    langs, matrix = learn(docs, modulus, held)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 128):
+            names, scores = predict(strings(batch, "text"), langs, shared.value)
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)

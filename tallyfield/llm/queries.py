@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, class_lm, decontaminate, language_id, license_scan, quality, secrets, simhash, url_filter
+from . import bpe, class_lm, decontaminate, language_id, license_scan, near_dedup, quality, secrets, simhash, url_filter
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ FROM best WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op6_class_lm, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op6_class_lm, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
