@@ -1,4 +1,4 @@
-"""Named queries over the given tables, each with the SQL that gives the same rows."""
+"""All named queries: importing the plan modules registers them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import traffic  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
