@@ -105,6 +105,20 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return vote(rows, ["doc_id", "_same", "n_chars"]).drop("_same")
 
 
+def _prints(rows: DataFrame) -> DataFrame:
+    """Fingerprints of each row's text and of its edited text, with the latter's SHA-256."""
+    half = F.floor(F.col("n_chars") / 2)
+    own = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int"))
+    edited = rows.withColumn("edited", F.concat(own, F.substring(F.col("_lent"), F.lit(1), half.cast("int"))))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited"))])
+    both = edited.select("doc_id", "_same", "n_chars", F.unhex(F.sha2("edited", 256)).alias("_sha"), F.explode(kinds).alias("_t")).select("doc_id", "_same", "n_chars", "_sha", F.col("_t.kind").alias("_kind"), F.col("_t.text").alias("text"))
+    return (
+        vote(both, ["doc_id", "_same", "n_chars", "_sha", "_kind"])
+        .groupBy("doc_id", "_same", "n_chars", "_sha")
+        .agg(*[F.max(F.when(F.col("_kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fp", "edited_fp"))])
+    )
+
+
 def compare_edited(docs: DataFrame, radius: int = RADIUS, query_modulus: int = 100) -> DataFrame:
     """Fingerprint each row's text and the text edited with the next document's beginning.
 
@@ -119,26 +133,19 @@ def compare_edited(docs: DataFrame, radius: int = RADIUS, query_modulus: int = 1
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_same"), F.length(text).cast("long").alias("n_chars"))
+    # Texts are shuffled once: both joins below read the same rows with the same columns by doc_id.
+    placed, unplaced = rows.filter(F.col("doc_id").isNotNull()), rows.filter(F.col("doc_id").isNull())
     order = successors(docs)
     half = F.floor(F.col("n_chars") / 2)
     # What each document lends to the one before it, no longer than that one can take.
-    needs = rows.groupBy("doc_id").agg(F.max(half).cast("int").alias("_need")).join(order, "doc_id").select(F.col("doc_id").alias("_before"), F.col("next_id").alias("doc_id"), "_need")
+    needs = placed.groupBy("doc_id").agg(F.max(half).cast("int").alias("_need")).join(order, "doc_id").select(F.col("doc_id").alias("_before"), F.col("next_id").alias("doc_id"), "_need")
     lent = (
-        rows.join(needs, "doc_id")
-        .select(F.col("_before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.col("_need")).alias("_lent"), F.col("_same").alias("_by"))
+        placed.join(needs, "doc_id")
+        .select(F.col("_before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.least("_need", F.col("n_chars").cast("int"))).alias("_lent"), F.col("_same").alias("_by"))
         .groupBy("doc_id")
         .agg(F.min_by("_lent", "_by").alias("_lent"))
     )
-    own = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int"))
-    edited = rows.join(lent, "doc_id", "left").withColumn("edited", F.concat(own, F.substring(F.coalesce("_lent", F.lit("")), F.lit(1), half.cast("int"))))
-    both = edited.select(
-        "doc_id", "_same", "n_chars", F.unhex(F.sha2("edited", 256)).alias("_sha"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("_t")
-    ).select("doc_id", "_same", "n_chars", "_sha", F.col("_t.kind").alias("_kind"), F.col("_t.text").alias("text"))
-    prints = (
-        vote(both, ["doc_id", "_same", "n_chars", "_sha", "_kind"])
-        .groupBy("doc_id", "_same", "n_chars", "_sha")
-        .agg(F.max(F.when(F.col("_kind") == 0, F.col("fingerprint"))).alias("fp"), F.max(F.when(F.col("_kind") == 1, F.col("fingerprint"))).alias("edited_fp"))
-    )
+    prints = _prints(placed.join(lent, "doc_id")).union(_prints(unplaced.withColumn("_lent", F.lit(""))))
     prints = cut(prints)  # read four times below
     following = prints.groupBy("doc_id").agg(F.min_by("fp", "_same").alias("next_fp")).join(order.withColumnRenamed("doc_id", "_before"), F.col("doc_id") == F.col("next_id")).select(F.col("_before").alias("doc_id"), "next_fp")
     counted = prints.groupBy("fp").agg(F.count("*").alias("_rows"))
