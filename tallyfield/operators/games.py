@@ -267,6 +267,11 @@ def statistics_available(score_count: Column, achievement_count: Column, players
     return F.struct(any_figures.alias("available"), (any_figures & (players > 0) & (F.coalesce(achievement_count, F.lit(0)) >= players)).alias("complete"))
 
 
+def best_standing(uploads: DataFrame) -> DataFrame:
+    """The one row of each match that stands: final before live, trusted before not, the larger, the later (X-05)."""
+    return _first_by(uploads, ["match_id"], F.col("is_final").desc_nulls_last(), F.col("trusted").desc_nulls_last(), F.col("size").desc_nulls_last(), F.col("upload_id").desc())
+
+
 def reupload_fold(uploads: DataFrame, key: str, order: str) -> DataFrame:
     """The row that stands after each upload, in order, has been held against the one before (G-22).
 

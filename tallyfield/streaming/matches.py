@@ -1,0 +1,61 @@
+"""Streams of match uploads: live rows replaced by finals, and finality after a quiet time (X-05 to X-07)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyfield.operators.games import best_standing
+
+QUIET_SECONDS = 60
+
+
+def merge_uploads(batch: DataFrame, state_path: str, epoch: int) -> None:
+    """The standing row of each match after this batch, as a new version of the table (X-05)."""
+    new = batch.select("match_id", "upload_id", "is_final", "trusted", "size")
+    if epoch > 0:
+        new = batch.sparkSession.read.parquet(f"{state_path}/v={epoch - 1}").union(new)
+    best_standing(new).write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
+
+
+def keep_standing(uploads: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+    put = lambda df, epoch: merge_uploads(df, state_path, epoch)
+    return uploads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def quiet_finality(versions: DataFrame, quiet_seconds: int = QUIET_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """``file, hash, state``: ``live`` as often as a file's hash changes, ``final`` once it has not for the quiet time (X-06).
+
+    ``versions``: ``file, hash, ts``. The quiet time is counted in event time, so a replayed stream gives the same rows.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        last_hash, last_ms = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            out.append((key[0], last_hash, "final"))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "hash"])
+            for h, ts in zip(rows["hash"], rows["ts"], strict=True):
+                ms = int(pd.Timestamp(ts).timestamp() * 1000)
+                if last_hash is not None and ms - last_ms > quiet_seconds * 1000:
+                    out.append((key[0], last_hash, "final"))
+                    last_hash = None
+                if h != last_hash:
+                    out.append((key[0], h, "live"))
+                    last_hash, last_ms = h, ms
+            state.update((last_hash, last_ms))
+            state.setTimeoutTimestamp(max(last_ms + quiet_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["file", "hash", "state"])
+
+    return (
+        versions.select("file", "hash", "ts")
+        .withWatermark("ts", delay)
+        .groupBy("file")
+        .applyInPandasWithState(step, "file string, hash string, state string", "hash string, ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    )
