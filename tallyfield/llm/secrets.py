@@ -34,7 +34,6 @@ ALLOWED = (
     re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[/_+-]+(?:[A-Za-z]+|[0-9]+))*[/_+=-]*"),
     re.compile(r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*"),
 )
-_BITS = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
 
 
 def window_entropy(candidate: str, window: int = WINDOW) -> float:
@@ -42,16 +41,17 @@ def window_entropy(candidate: str, window: int = WINDOW) -> float:
     n = min(window, len(candidate))
     if not n:
         return 0.0
+    bits = [0.0, *(k * math.log2(k) for k in range(1, n + 2))]
     counts: dict[str, int] = {}
     total = best = 0.0  # total: sum of count * log2(count)
     for i, c in enumerate(candidate):
         k = counts.get(c, 0)
-        total += _BITS[k + 1] - _BITS[k]
+        total += bits[k + 1] - bits[k]
         counts[c] = k + 1
         if i >= n:
             gone = candidate[i - n]
             k = counts[gone]
-            total += _BITS[k - 1] - _BITS[k]
+            total += bits[k - 1] - bits[k]
             counts[gone] = k - 1
         if i >= n - 1:
             best = max(best, math.log2(n) - total / n)
