@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WHITE, bytes_of, cut, grams, lowered, mix, sliced, strings, words
 from .components import components
@@ -26,6 +27,8 @@ SIMILARITY = 0.8
 TAKEN, SKETCHES = 6, 32
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WIDE = 1 << 16
+#: Shingles of a block of texts that are verified against another block at once.
+BLOCK = 1 << 14
 
 
 def text_words(text: str) -> np.ndarray:
@@ -141,6 +144,63 @@ def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+def block_links(outside: list[tuple], members: list[tuple], least: float = SIMILARITY) -> list[tuple[int, int, float]]:
+    """Links between texts of two blocks that lie in different components: ``(a, b, similarity)``.
+
+    A text is ``(node, root, in the largest component, shingles)``. How many of a member's shingles a text has bounds
+    their similarity and is counted for the whole block at once; only pairs within the bound are aligned. Two texts
+    outside the largest component meet twice and are looked at once.
+    """
+    if not outside or not members:
+        return []
+    sizes = np.array([len(m[3]) for m in members])
+    flat, firsts = np.concatenate([m[3] for m in members]), np.cumsum(sizes) - sizes
+    out = []
+    for node, root, _, own in outside:
+        known = np.unique(own)
+        at = np.searchsorted(known, flat)
+        at[at == len(known)] = 0
+        shared = np.add.reduceat((known[at] == flat).astype(np.int64), firsts)
+        near = (shared >= least * (len(own) + sizes) / (1 + least) - 1e-9) & (np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own)))
+        for k in np.flatnonzero(near).tolist():
+            other, other_root, largest, theirs = members[k]
+            if other_root != root and (largest or node < other):
+                if sim := aligned_similarity(own, theirs, least):
+                    out.append((min(node, other), max(node, other), sim))
+    return out
+
+
+def _verify_blocks(placed: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Links between different components within each bucket of ``placed`` (``bucket, node, root, largest``).
+
+    A bucket's texts are dealt into blocks of about BLOCK shingles, and those outside the largest component into blocks of
+    their own; each pair of blocks is a row, so the rows are far fewer than the pairs and none is unbounded.
+    """
+    texts = placed.join(shingles, "node").withColumn("_size", F.size("shingles")).withColumn("_in", F.col("root") == F.col("largest"))
+    out_size = F.sum(F.when(~F.col("_in"), F.col("_size")).otherwise(0))
+    sizes = texts.groupBy("bucket").agg(F.ceil(F.sum("_size") / BLOCK).alias("_blocks"), F.ceil(out_size / BLOCK).alias("_out_blocks"))
+    entry = F.struct("node", "root", F.col("_in").alias("largest"), "shingles")
+    dealt = texts.join(sizes, "bucket")
+
+    def blocks(df: DataFrame, count: str, name: str) -> DataFrame:
+        return df.groupBy("bucket", F.pmod(F.xxhash64("node"), F.col(count)).alias("_block")).agg(F.collect_list(entry).alias(name)).select("bucket", name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(column: pa.Array, k: int) -> list[tuple]:
+            x = column[k].values
+            node, root, largest = (x.field(i).to_pylist() for i in range(3))
+            lists = x.field(3)
+            return [(node[j], root[j], largest[j], lists[j].values.to_numpy()) for j in range(len(x))]
+
+        for batch in batches:
+            links = [link for k in range(batch.num_rows) for link in block_links(read(batch.column("outside"), k), read(batch.column("members"), k), least)]
+            a, b, sims = zip(*links, strict=True) if links else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+
+    pairs = blocks(dealt.filter(~F.col("_in")), "_out_blocks", "outside").join(blocks(dealt, "_blocks", "members"), "bucket")
+    return pairs.select("outside", "members").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
+
+
 def _shingles_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, shingles`` (32-bit) of the given nodes, each from one of its documents."""
     first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
@@ -162,9 +222,9 @@ def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
 
     Texts that share a sketch are candidates. First each text of a bucket is verified against the bucket's two leaders,
     its least and greatest node, so that a bucket costs two pairs a text. Then the components so found are looked at
-    again: in a bucket with more than one, the texts outside the largest are verified against all texts of other
-    components. Pairs within one component need no verifying, so no link between components is lost and a bucket of
-    thousands of copies is never paired with itself.
+    again: in a bucket with more than one, the texts outside the largest are verified, block by block, against all texts of
+    other components. Pairs within one component need no verifying, so no link between components is lost and a bucket
+    of thousands of copies is never paired with itself.
     """
     texts = rows.filter(F.size("sketches") > 0).select("node", "sketches").dropDuplicates(["node"])
     buckets = texts.select("node", F.explode("sketches").alias("bucket"))
@@ -180,16 +240,7 @@ def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
     placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter(F.col("roots") > 1).select("bucket", "largest")
-    placed = cut(placed.join(mixed, "bucket"))
-    outside = placed.filter(F.col("root") != F.col("largest")).select("bucket", F.col("node").alias("o"), F.col("root").alias("o_root"))
-    rest = (
-        outside.join(placed, "bucket")
-        .filter((F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("largest")) | (F.col("o") < F.col("node"))))
-        .select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    return links.union(cut(_verify(rest, shingles, least)))
+    return links.union(cut(_verify_blocks(placed.join(mixed, "bucket"), shingles, least)))
 
 
 def group(docs: DataFrame, least: float = SIMILARITY, rows: DataFrame | None = None) -> DataFrame:
@@ -240,7 +291,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             nodes = [text_node(text_words(x)) for x in strings(batch, "text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], schema=batch.schema.append(pa.field("_node", pa.int64())))
 
-    several = docs.join(repeated, "doc_id", "left_semi").select(*names).mapInArrow(with_node, schema.add("_node", "bigint"))
+    several = docs.join(repeated, "doc_id", "left_semi").select(*names).mapInArrow(with_node, T.StructType([*schema.fields, T.StructField("_node", T.LongType())]))
     kept = found.filter("keep").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")).distinct()
     several = several.join(kept, (F.col("_id") == F.col("doc_id")) & F.col("_node").eqNullSafe(F.col("_kept"))).dropDuplicates(["doc_id", "_node"])
     return single.union(several.select(*names))
