@@ -90,7 +90,8 @@ def learn(docs: DataFrame, modulus: int = 5, held: int = 0) -> tuple[list[str],
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
         .limit(MAX_LANGUAGES * (BUCKETS + 1) + 1)
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     if rows.lang.nunique() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
