@@ -321,3 +321,44 @@ def candidate_violations(row: Sequence[str]) -> Column:
     """Codes of a candidate that breaks its contract: missing identity, status not known, not candidate-only (C-45)."""
     missing = [F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.concat(F.lit("missing_"), F.lit(c))) for c in row]
     return F.array_compact(F.array(*missing, F.when(~F.coalesce(F.col("status").isin("succeeded", "recovered", "failed"), F.lit(False)), "status_unknown"), F.when(~F.coalesce(F.col("candidate_only"), F.lit(False)), "not_candidate_only")))
+
+
+def snapshot_slice(manifest: DataFrame, extension: str, start: int, limit: int, order: str) -> DataFrame:
+    """A page of the manifest's rows of one extension, in the manifest's order (C-08)."""
+    return manifest.filter(F.lower("extension") == extension.lower()).orderBy(order).offset(start).limit(limit)
+
+
+def snapshot_audit(snapshots: DataFrame) -> DataFrame:
+    """Outcome of a snapshot audit: ok, failed, bytes, least and greatest restore time (C-29)."""
+    ok = F.col("failure").isNull()
+    return snapshots.agg(
+        F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, F.col("bytes"))).alias("bytes"), F.min(F.when(ok, F.col("restore_ms"))).alias("least_ms"), F.max(F.when(ok, F.col("restore_ms"))).alias("greatest_ms")
+    )
+
+
+def corpus_summary(latest: DataFrame, saved_prefix: str) -> DataFrame:
+    """Latest candidates, saved and recorded ones, saved ones with a match id, distinct match ids among them (C-23)."""
+    saved = F.col("parse_mode").startswith(saved_prefix)
+    named = saved & (F.coalesce("platform_match_id", F.lit("")) != "")
+    return latest.agg(
+        F.count("*").alias("candidates"), F.count_if(saved).alias("saved"), F.count_if(~saved).alias("recorded"), F.count_if(named).alias("saved_with_id"), F.countDistinct(F.when(named, F.col("platform_match_id"))).alias("distinct_ids")
+    )
+
+
+def reference_issues(manifest: DataFrame, games: DataFrame, attempts: DataFrame, users: DataFrame) -> DataFrame:
+    """Codes of manifest rows whose game, attempt or user is missing, or whose hashes and links disagree (C-18).
+
+    ``manifest``: ``row_no, replay_hash, game_id, attempt_id, uid``; ``games``: ``game_id, game_hash``; ``attempts``:
+    ``attempt_id, attempt_hash, attempt_game``; ``users``: ``uid``.
+    """
+    c = F.col
+    rows = manifest.join(games.withColumn("_g", F.lit(True)), "game_id", "left").join(attempts.withColumn("_a", F.lit(True)), "attempt_id", "left").join(users.select("uid").distinct().withColumn("_u", F.lit(True)), "uid", "left")
+    codes = (
+        ("game_missing", c("game_id").isNotNull() & c("_g").isNull()),
+        ("attempt_missing", c("attempt_id").isNotNull() & c("_a").isNull()),
+        ("user_missing", c("uid").isNotNull() & c("_u").isNull()),
+        ("game_hash_differs", c("_g") & (c("game_hash") != c("replay_hash"))),
+        ("attempt_hash_differs", c("_a") & (c("attempt_hash") != c("replay_hash"))),
+        ("attempt_game_differs", c("_a") & c("game_id").isNotNull() & (c("attempt_game") != c("game_id"))),
+    )
+    return rows.select("row_no", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), code) for code, cond in codes]))).alias("code"))

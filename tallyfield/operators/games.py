@@ -166,7 +166,7 @@ def match_uploader(players: DataFrame, uploads: DataFrame) -> DataFrame:
     """The player of each upload: by Steam id, else by any of three names, the first in the roster's order (G-08, G-11)."""
     u = uploads.select("game_id", F.col("steam_id").alias("_steam"), F.array(*[name_key(F.col(c)) for c in ("in_game_name", "persona_name", "given_name")]).alias("_names"))
     hit = players.join(u, "game_id").withColumn("_how", F.when(F.col("steam_id") == F.col("_steam"), 0).when(F.array_contains("_names", name_key(F.col("name"))), 1)).filter(F.col("_how").isNotNull())
-    return hit.groupBy("game_id").agg(F.min_by(F.struct("name", "steam_id", "position"), F.struct("_how", "position")).alias("player")).select("game_id", "player.*")
+    return hit.groupBy("game_id").agg(F.min_by(F.struct("name", "steam_id", "position"), F.struct("_how", "position", "steam_id")).alias("player")).select("game_id", "player.*")
 
 
 def verify_users(users: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -291,3 +291,55 @@ def reupload_fold(uploads: DataFrame, key: str, order: str) -> DataFrame:
         return pd.DataFrame({key: [getattr(kept, key)], "upload_id": [kept.upload_id], "trusted": [bool(kept.trusted)], "size": [float(kept.size)], "replaced": [replaced]})
 
     return uploads.select(key, order, "upload_id", "trusted", F.col("size").cast("double").alias("size")).groupBy(key).applyInPandas(fold, f"{key} {kind}, upload_id bigint, trusted boolean, size double, replaced bigint")
+
+
+def repair_early_exit(duration: Column, reason: Column, last_chat: Column) -> Column:
+    """Struct ``duration, reason, repaired``: a game marked as an early exit whose chat goes on for a minute or more (G-21)."""
+    wrong = F.coalesce((reason == "hd_early_exit_under_60s") & (last_chat >= 60), F.lit(False))
+    return F.struct(F.when(wrong, F.greatest(duration, last_chat)).otherwise(duration).alias("duration"), F.when(wrong, None).otherwise(reason).alias("reason"), wrong.alias("repaired"))
+
+
+def infer_opponent_winner(winner: Column, players: Column, rated: Column, completed: Column, uploader: Column, opponent: Column, enabled: bool = False) -> Column:
+    """The opponent of an uploader whose rated duel did not complete; off unless asked for (G-21)."""
+    open_duel = fold_name(winner).isin("", "unknown") & (players == 2) & rated & ~completed & uploader.isNotNull()
+    return F.when(F.lit(enabled) & F.coalesce(open_duel, F.lit(False)), opponent).otherwise(winner)
+
+
+def live_disconnect(is_final: Column, disconnected: Column, completed: Column) -> Column:
+    """A live row counts as disconnected only once it is completed (G-26)."""
+    return F.when(is_final | F.coalesce(completed, F.lit(False)), disconnected).otherwise(False)
+
+
+def unparsed_final_rows(uploads: DataFrame) -> DataFrame:
+    """Proof rows of finals that could not be parsed: no result, the uploader as the only player if known (G-26)."""
+    name = clean_text(F.col("claimed_name"))
+    return uploads.select(
+        "upload_id",
+        F.lit("Unknown").alias("winner"),
+        F.lit(0).alias("duration"),
+        F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>")).alias("player_names"),
+        F.lit("watcher_final_unparsed").alias("parse_reason"),
+        F.substring(F.coalesce(clean_text(F.col("failure")), F.lit("")), 1, 500).alias("failure"),
+    )
+
+
+def upload_metadata(limits: dict[str, int], numbers: Sequence[str] = ()) -> Column:
+    """JSON of an upload's headers: cleaned and cut to their limits, positive numbers, blanks left out (G-28)."""
+    texts = [F.substring(clean_text(F.col(c)), 1, n).alias(c) for c, n in sorted(limits.items())]
+    return F.to_json(F.struct(*texts, *[positive_int(F.col(c)).alias(c) for c in numbers]))
+
+
+def map_payload(given: Column, payload: Column) -> Column:
+    """A map's name or size: the given one unless ``Unknown``, then the payload's (G-28)."""
+    return F.when(given == "Unknown", F.coalesce(payload, F.lit("Unknown"))).otherwise(given)
+
+
+def game_format(version: Column) -> Column:
+    """``aoe2_hd``, ``aoe2_de``, ``legacy_aoc`` or NULL (S-22)."""
+    v = F.lower(F.coalesce(version, F.lit("")))
+    return F.when(v.contains("version.hd") | (v == "hd"), "aoe2_hd").when(v.contains("version.de") | (v == "de"), "aoe2_de").when(v != "", "legacy_aoc")
+
+
+def whole_position(x: Column, y: Column) -> Column:
+    """Both coordinates rounded half to even, NULL if one is missing (S-22)."""
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(F.bround(x).cast("int"), F.bround(y).cast("int")))

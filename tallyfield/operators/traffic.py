@@ -288,3 +288,36 @@ def session_records(sessions: DataFrame, keys: Sequence[str], ts: str, page: str
 def newest_sessions(records: DataFrame, keys: Sequence[str], k: int = 120) -> DataFrame:
     """T-36."""
     return records.orderBy(F.desc("last_seen"), *keys, F.desc("session_no")).limit(k)
+
+
+# Country names by code.
+COUNTRIES = {
+    "US": "United States", "CA": "Canada", "GB": "United Kingdom", "UK": "United Kingdom", "IE": "Ireland", "DE": "Germany", "FR": "France", "NL": "Netherlands",
+    "BE": "Belgium", "SE": "Sweden", "NO": "Norway", "FI": "Finland", "DK": "Denmark", "IT": "Italy", "ES": "Spain", "CH": "Switzerland", "AT": "Austria", "PL": "Poland",
+    "CZ": "Czech Republic", "RO": "Romania", "BG": "Bulgaria", "LT": "Lithuania", "UA": "Ukraine", "TR": "Turkey", "AU": "Australia", "NZ": "New Zealand", "JP": "Japan",
+    "KR": "South Korea", "CN": "China", "HK": "Hong Kong", "IN": "India", "PK": "Pakistan", "SG": "Singapore", "ZA": "South Africa", "NG": "Nigeria", "GH": "Ghana",
+    "BR": "Brazil", "MX": "Mexico",
+}
+
+
+def country_name(code: Column) -> Column:
+    """The code's country, else the code itself, ``??`` without one (T-16)."""
+    known = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    key = F.upper(F.trim(code))
+    return F.coalesce(F.try_element_at(known, key), F.nullif(key, F.lit("")), F.lit("??"))
+
+
+def parse_geo(text: Column) -> Column:
+    """Struct ``country, area, city`` of a geo tool's answer for a country or a city edition (T-16)."""
+    answer = F.trim(F.regexp_extract(text, r"^[^:]*:\s*(.*)$", 1))
+    parts = F.transform(F.split(answer, ","), lambda x: F.trim(x))
+    blank = lambda c: F.when(F.coalesce(c, F.lit("")).isin("", "N/A"), F.lit("")).otherwise(c)
+    city = F.coalesce(text.contains("City Edition") & (F.size(parts) >= 3), F.lit(False))
+    nothing = text.isNull() | (text == "") | text.contains("IP Address not found")
+    named = F.regexp_extract(text, r":\s*[A-Z0-9-]+,\s*(.+)$", 1)
+    country = F.coalesce(F.nullif(F.trim(named), F.lit("")), F.nullif(answer, F.lit("")), F.lit("??"))
+    return F.struct(
+        F.when(nothing, "??").when(city, country_name(parts[0])).otherwise(country).alias("country"),
+        F.when(city & ~nothing, blank(F.try_element_at(parts, F.lit(2)))).otherwise("").alias("area"),
+        F.when(city & ~nothing, blank(F.try_element_at(parts, F.lit(3)))).otherwise("").alias("city"),
+    )

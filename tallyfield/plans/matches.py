@@ -170,7 +170,7 @@ def rating_backfill(read):
 
 
 @query(
-    """SELECT game_id, name FROM (SELECT l_orderkey AS game_id, 's' || l_suppkey AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey = o_custkey THEN 0 ELSE 1 END, l_linenumber) AS rn
+    """SELECT game_id, name FROM (SELECT l_orderkey AS game_id, 's' || l_suppkey AS name, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_suppkey = o_custkey THEN 0 ELSE 1 END, l_linenumber, CAST(l_suppkey AS VARCHAR)) AS rn
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey = o_custkey OR l_suppkey % 10 = o_custkey % 10) WHERE rn = 1"""
 )
 def uploader_player(read):
