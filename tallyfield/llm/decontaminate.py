@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NON_ALNUM, bytes_of, code_points, cut, grams, lowered, sliced, strings, words
@@ -20,6 +20,8 @@ MIN_SCORE = 0.5
 BLOCK_CHARS = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 20
+#: Marks the rows of a task's word counts.
+TALLY = -1
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -69,8 +71,33 @@ class Seeds:
         self.first = np.append(self.first, len(hashes))
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[self._low(self.hashes)] = True
+        self.words = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
+        self.words_of = {int(g): x[k : k + SEED_WORDS] for x in items for k, g in enumerate(grams(x, SEED_WORDS))}
         self.needs = [min(MIN_SEEDS, max(1, n - SEED_WORDS + 1)) for n in self.lengths]
 
+    def count(self, hashes: np.ndarray) -> np.ndarray:
+        """How often each of the items' words stands in a text."""
+        if not len(self.words) or not len(hashes):
+            return np.zeros(len(self.words), np.int64)
+        at = np.searchsorted(self.words, hashes)
+        at[at == len(self.words)] = 0
+        return np.bincount(at[self.words[at] == hashes], minlength=len(self.words))
+
+    def rare(self, counts: np.ndarray, total: int) -> set[tuple[int, int]]:
+        """(item, seed) of the rare seeds, by the words' shares of all words in the documents.
+
+        A seed is rare if by chance it would be expected at most once among all documents' words, or if it is in the rarer
+        half of its item's. Only words count, so a seed stays rare however many copies of the item there are.
+        """
+        bits = -np.log2(np.maximum(counts, 1) / max(total, 1))
+        of = {g: float(bits[np.searchsorted(self.words, w)].sum()) for g, w in self.words_of.items()}
+        by_item: dict[int, list[float]] = {}
+        for g, item in self.pairs:
+            by_item.setdefault(item, []).append(of[g])
+        middle = {item: float(np.median(x)) for item, x in by_item.items()}
+        enough = np.log2(max(total, 1))
+        return {(item, g) for g, item in self.pairs if of[g] >= min(enough, middle[item])}
+
     @staticmethod
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
@@ -106,9 +133,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     ``score`` is the best passage's Smith-Waterman score over the item's own (0 to 1, at least ``min_score``), ``start``
     and ``end`` its code points in the text, ``passages`` how many of the document's passages reach ``min_score``.
 
-    Seeds are an item's SEED_WORDS-grams; a passage needs MIN_SEEDS of them, one of which is rare: among the half of the
-    item's n-grams that the fewest documents hold (equals count too). As rarity is ranked within each item, an item that
-    a third of all documents repeat is found as well. Document counts cover all documents.
+    Seeds are an item's SEED_WORDS-grams; a passage needs MIN_SEEDS of them, one of which is rare by the frequencies of its
+    words in all documents (``Seeds.rare``). An item that a third of all documents repeat is found as well.
 
     Null and empty texts, and items of fewer than SEED_WORDS words, match nothing. Repeated rows count once. Ties in
     score: the passage that starts first. Either table may be empty. Extra columns play no part.
@@ -132,11 +158,17 @@ def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFr
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
+        counts, total = np.zeros(len(index.words), np.int64), 0
+        columns = ["doc_id", "item", "seeds", "words", "starts", "ends"]
+        longs = pa.list_(pa.int64())
         for batch in sliced(batches):
+            kind = batch.column("doc_id").type
             out: list[list] = [[] for _ in range(6)]
             for i, text in enumerate(strings(batch, "text")):
                 data = bytes_of(lowered(text))
                 starts, ends, hashes = words(data, NON_ALNUM)
+                counts += index.count(hashes)
+                total += len(hashes)
                 chars = None
                 for item, found, first, last in index.passages(grams(hashes, SEED_WORDS)):
                     chars = code_points(data) if chars is None else chars
@@ -144,18 +176,20 @@ def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFr
                     row = (i, item, _signed(np.array(found, np.uint64)), _signed(hashes[a:b]), chars[starts[a:b]], chars[ends[a:b]])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *(pa.array(x, longs) for x in out[2:])],
-                ["doc_id", "item", "seeds", "words", "starts", "ends"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *(pa.array(x, longs) for x in out[2:])], columns)
+        if total:  # the task's word counts, beside its passages
+            at = np.flatnonzero(counts)
+            tally = [[total], _signed(index.words[at]), counts[at], []]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([TALLY], pa.int32()), *(pa.array([x], longs) for x in tally)], columns)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared_items.value
+        own, rare_seeds = shared_items.value, shared_rare.value
         for batch in sliced(batches):
             keep, scores, starts, ends = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("item", "words", "starts", "ends")]
-            for i, (item, passage, first, last) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(c).to_pylist() for c in ("item", "seeds", "words", "starts", "ends")]
+            for i, (item, found, passage, first, last) in enumerate(zip(*columns, strict=True)):
+                if not any((item, g) in rare_seeds for g in found):
+                    continue
                 score, a, b = smith_waterman(_signed(own[item][1]), np.array(passage, np.int64))
                 if score >= min_score:
                     for column, x in zip((keep, scores, starts, ends), (i, score, first[a], last[b - 1]), strict=True):
@@ -168,24 +202,16 @@ def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFr
         .filter(F.col("text").isNotNull())
         .mapInArrow(seek, f"doc_id {doc_kind}, item int, seeds array<bigint>, words array<bigint>, starts array<bigint>, ends array<bigint>")
     )
-    held = pd.DataFrame({"item": [i for _, i in seeds.pairs], "seed": _signed(np.array([g for g, _ in seeds.pairs], np.uint64))})
-    by_item = spark.createDataFrame(held.astype({"item": "int32", "seed": "int64"}), "item int, seed bigint")
-    spread = passages.select("doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n_docs"))
-    order = Window.partitionBy("item")
-    rare = (
-        by_item.join(spread, "seed", "left")
-        .withColumn("place", F.rank().over(order.orderBy(F.coalesce("n_docs", F.lit(0)))))
-        .withColumn("of", F.count("*").over(order))
-        .filter(F.col("place") <= F.ceil(F.col("of") / 2))
-        .groupBy("item")
-        .agg(F.collect_list("seed").alias("rare"))  # an item's own n-grams: bounded by the block
-    )
+    tallies = passages.filter(F.col("item") == TALLY)
+    total = tallies.agg(F.sum(F.element_at("seeds", 1))).first()[0] or 0
+    tally = tallies.select(F.explode(F.arrays_zip("words", "starts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.starts").alias("n")).toArrow()
+    counts = np.zeros(len(seeds.words), np.int64)
+    counts[np.searchsorted(seeds.words, tally["word"].to_numpy().view(np.uint64))] = tally["n"].to_numpy()
+    shared_rare = spark.sparkContext.broadcast({(item, int(np.uint64(g).astype(np.int64))) for item, g in seeds.rare(counts, total)})
     names = pd.DataFrame({"item": range(len(items)), "item_id": [x for x, _ in items]})
     ids = spark.createDataFrame(list(names.itertuples(index=False, name=None)), f"item int, item_id {item_kind}")
     return (
-        passages.join(rare, "item")
-        .filter(F.arrays_overlap("seeds", "rare"))
-        .select("doc_id", "item", "words", "starts", "ends")
+        passages.filter(F.col("item") != TALLY)
         .mapInArrow(align, f"doc_id {doc_kind}, item int, score double, start bigint, end bigint")
         .distinct()
         .groupBy("doc_id", "item")

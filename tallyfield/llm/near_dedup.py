@@ -181,9 +181,11 @@ def _verify_blocks(placed: DataFrame, shingles: DataFrame, least: float) -> Data
     sizes = texts.groupBy("bucket").agg(F.ceil(F.sum("_size") / BLOCK).alias("_blocks"), F.ceil(out_size / BLOCK).alias("_out_blocks"))
     entry = F.struct("node", "root", F.col("_in").alias("largest"), "shingles")
     dealt = texts.join(sizes, "bucket")
-
-    def blocks(df: DataFrame, count: str, name: str) -> DataFrame:
-        return df.groupBy("bucket", F.pmod(F.xxhash64("node"), F.col(count)).alias("_block")).agg(F.collect_list(entry).alias(name)).select("bucket", name)
+    block = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    members = dealt.groupBy("bucket", block("_blocks").alias("block")).agg(F.collect_list(entry).alias("members"))
+    outside = dealt.filter(~F.col("_in")).groupBy("bucket", "_blocks", block("_out_blocks").alias("_block")).agg(F.collect_list(entry).alias("outside"))
+    # Sent to each of the bucket's blocks by name, so that the pairs of one bucket are spread over many tasks.
+    sent = outside.select("bucket", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(column: pa.Array, k: int) -> list[tuple]:
@@ -197,7 +199,7 @@ def _verify_blocks(placed: DataFrame, shingles: DataFrame, least: float) -> Data
             a, b, sims = zip(*links, strict=True) if links else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
 
-    pairs = blocks(dealt.filter(~F.col("_in")), "_out_blocks", "outside").join(blocks(dealt, "_blocks", "members"), "bucket")
+    pairs = sent.join(members, ["bucket", "block"])
     return pairs.select("outside", "members").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
 
 
