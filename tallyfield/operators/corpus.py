@@ -55,7 +55,7 @@ def best_row(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 def artifact_manifest(objects: DataFrame, games: DataFrame, attempts: DataFrame, key: str, game_order: Sequence[Column], attempt_order: Sequence[Column]) -> DataFrame:
     """Each artifact with its best game and best attempt, columns prefixed ``game_`` and ``attempt_`` (C-09)."""
     prefixed = lambda df, p: df.select(key, *[F.col(c).alias(p + c) for c in df.columns if c != key])
-    g, a = best_row(games, [key], *game_order), best_row(attempts, [key], *attempt_order)
+    g, a = (best_row(df.filter(F.col(key).isNotNull()), [key], *order) for df, order in ((games, game_order), (attempts, attempt_order)))
     return objects.join(prefixed(g, "game_"), key, "left").join(prefixed(a, "attempt_"), key, "left")
 
 
@@ -66,7 +66,6 @@ def cohort_manifest(games: DataFrame, archive: DataFrame, submissions: DataFrame
     return games.join(held, key, "left").join(n, key, "left").withColumns({"archive_present": F.coalesce("archive_present", F.lit(False)), "submissions": F.coalesce("submissions", F.lit(0))})
 
 
-# Codes of manifest rows (C-06): (code, condition) over the row's columns.
 def manifest_issues(manifest: DataFrame, archive: DataFrame, extensions: Sequence[str]) -> DataFrame:
     """One row for each error or warning of each manifest row: all rows are reported, not the first failure (C-06).
 
@@ -77,7 +76,8 @@ def manifest_issues(manifest: DataFrame, archive: DataFrame, extensions: Sequenc
     blank = lambda x: c(x).isNull() | (F.trim(x) == "")
     path = c("archive_relative_path")
     rows = manifest.join(archive.select(F.col("sha256").alias("replay_hash"), F.col("relative_path").alias("_path"), F.col("byte_size").alias("_size")).dropDuplicates(["replay_hash"]), "replay_hash", "left")
-    rows = rows.withColumn("_times", F.count("*").over(Window.partitionBy("replay_hash")))
+    times = manifest.filter(is_sha256(F.col("replay_hash"))).groupBy("replay_hash").agg(F.count("*").alias("_times"))
+    rows = rows.join(times, "replay_hash", "left")
     errors = (
         ("hash_missing", blank("replay_hash")),
         ("hash_invalid", ~blank("replay_hash") & ~is_sha256(c("replay_hash"))),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.ids import canonical_json, stable_hash
+from tallyfield.operators.ordering import with_previous
 
 #: Confidence in basis points of a provenance class (S-24); others have none.
 CONFIDENCE = {"direct": 10_000, "exact": 10_000, "derived": 9_000}
@@ -52,9 +53,9 @@ def player_activity(actions: DataFrame, player: str, ms: str, ordinal: str, dura
     Rows without a player or a time are left out. The rate is rounded half to even and NULL without a duration.
     """
     rows = actions.filter(F.col(player).isNotNull() & F.col(ms).isNotNull())
-    gap = F.col(ms) - F.lag(ms).over(Window.partitionBy(player).orderBy(ms, ordinal))
+    rows = with_previous(rows, [player], ms, [ordinal], F.floor(F.col(ms) / 86_400_000), "_before_ms")
     by_minute = (
-        rows.withColumn("_gap", gap).groupBy(player, F.floor(F.col(ms) / 60000).alias("_minute")).agg(F.count("*").alias("_n"), F.min(ms).alias("_first"), F.max(ms).alias("_last"), F.max("_gap").alias("_gap"))
+        rows.withColumn("_gap", F.col(ms) - F.col("_before_ms")).groupBy(player, F.floor(F.col(ms) / 60000).alias("_minute")).agg(F.count("*").alias("_n"), F.min(ms).alias("_first"), F.max(ms).alias("_last"), F.max("_gap").alias("_gap"))
     )
     rate = F.bround(F.sum("_n") / (F.lit(duration_ms) / 60000), 2) if duration_ms else F.lit(None).cast("double")
     return by_minute.groupBy(player).agg(

@@ -90,7 +90,8 @@ def platform_dedupe(games: DataFrame, key: str, created: str, row_id: str, keep:
     """Finals of one platform id: the oldest or newest stays final, the others are demoted with a reason (G-17, G-18)."""
     order = [F.col(created).asc_nulls_last(), F.col(row_id).asc()] if keep == "oldest" else [F.col(created).desc_nulls_last(), F.col(row_id).desc()]
     eligible = F.col("is_final") & F.col(key).isNotNull()
-    place = F.row_number().over(Window.partitionBy(key, eligible).orderBy(*order))
+    # Rows that take no part are each a group of their own, so that they don't gather under a missing id.
+    place = F.row_number().over(Window.partitionBy(F.when(eligible, F.col(key)), F.when(~F.coalesce(eligible, F.lit(False)), F.col(row_id))).orderBy(*order))
     demoted = eligible & (place > 1)
     return games.withColumn("demoted", demoted).withColumn("is_final", F.col("is_final") & ~F.col("demoted")).withColumn("change_reason", F.when(F.col("demoted"), F.lit("duplicate_platform_match")))
 
@@ -101,7 +102,7 @@ def supersede(games: DataFrame, keys: Sequence[str], replay_hash: str, created:
     ``action``: NULL for the latest and for live rows; ``mark`` where a live row of that hash exists, so that (hash, final)
     stays unique; else ``demote``.
     """
-    place = F.row_number().over(Window.partitionBy(*keys, "is_final").orderBy(F.col(created).desc_nulls_last(), F.desc(row_id)))
+    place = F.row_number().over(Window.partitionBy(*keys, F.when(~F.col("is_final"), F.col(row_id))).orderBy(F.col(created).desc_nulls_last(), F.desc(row_id)))
     live = games.filter(~F.col("is_final")).select(F.col(replay_hash).alias("_live")).filter(F.col("_live").isNotNull()).distinct()
     ranked = games.withColumn("_old", F.col("is_final") & (place > 1)).join(live, F.col(replay_hash) == F.col("_live"), "left")
     return ranked.withColumn("action", F.when(F.col("_old"), F.when(F.col("_live").isNotNull(), "mark").otherwise("demote"))).drop("_old", "_live")

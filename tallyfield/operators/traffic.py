@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import contains_any, humanize_seconds
 from tallyfield.functions.times import whole_seconds_between
+from tallyfield.operators.ordering import with_previous, with_running_sum
 
 UNKNOWN_HOST, DIRECT = "(unknown host)", "(direct)"
 
@@ -247,16 +248,20 @@ def profile_gaps(users: DataFrame, uid: str, email: str, name: str) -> DataFrame
     return users.filter(missing(email) | missing(name)).select(uid, missing(email).alias("no_email"), missing(name).alias("no_name"))
 
 
-def sessionize(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int = 1800, tie: str | None = None) -> DataFrame:
+def sessionize(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int = 1800, tie: str | None = None, bucket_seconds: int = 86_400) -> DataFrame:
     """``session_no`` of each row within its keys: a new one after a gap of more than ``gap_seconds`` whole seconds (T-28).
 
-    Also ``active_seconds``, the row's whole-second gap to the one before it in its session (0 for the first).
+    Also ``active_seconds``, the row's whole-second gap to the one before it in its session (0 for the first). Histories
+    are split by ``bucket_seconds`` of time, so a visitor with most of the log is not one task; gaps and numbers go on
+    across the buckets.
     """
-    order = Window.partitionBy(*keys).orderBy(ts, *([tie] if tie else []))
-    gap = whole_seconds_between(F.col(ts), F.lag(ts).over(order))
-    rows = df.withColumn("_gap", gap).withColumn("_new", (F.col("_gap").isNull() | (F.col("_gap") > gap_seconds)).cast("int"))
-    running = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("session_no", running).withColumn("active_seconds", F.when(F.col("_new") == 1, 0).otherwise(F.col("_gap"))).drop("_gap", "_new")
+    ties = [tie] if tie else []
+    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds)
+    rows = with_previous(df, keys, ts, ties, bucket, "_before_ts")
+    gap = whole_seconds_between(F.col(ts), F.col("_before_ts"))
+    rows = rows.withColumn("_gap", gap).withColumn("_new", (F.col("_gap").isNull() | (F.col("_gap") > gap_seconds)).cast("int"))
+    rows = with_running_sum(rows, keys, [ts, *ties], "_new", "session_no")
+    return rows.withColumn("active_seconds", F.when(F.col("_new") == 1, 0).otherwise(F.col("_gap"))).drop("_gap", "_new", "_before_ts", "_bucket")
 
 
 def active_time(sessions: DataFrame, keys: Sequence[str], cap: int = 300) -> DataFrame:

@@ -148,7 +148,7 @@ _MANIFEST = """WITH m AS (
   SELECT row_no, 'error', 'path_absolute' FROM x WHERE absolute UNION ALL SELECT row_no, 'error', 'path_traversal' FROM x WHERE up UNION ALL
   SELECT row_no, 'error', 'layout_invalid' FROM x WHERE h = sha AND (absolute OR up) UNION ALL SELECT row_no, 'error', 'artifact_absent' FROM x WHERE h = sha AND n IS NULL UNION ALL
   SELECT row_no, 'error', 'path_differs' FROM x WHERE n IS NOT NULL AND (absolute OR up) UNION ALL SELECT row_no, 'error', 'size_mismatch' FROM x WHERE n IS NOT NULL AND wrong_size UNION ALL
-  SELECT row_no, 'error', 'extension_unsupported' FROM x WHERE zip UNION ALL SELECT row_no, 'warning', 'duplicate_artifact' FROM x WHERE times > 1 UNION ALL SELECT row_no, 'warning', 'uid_missing' FROM x WHERE uid IS NULL)"""
+  SELECT row_no, 'error', 'extension_unsupported' FROM x WHERE zip UNION ALL SELECT row_no, 'warning', 'duplicate_artifact' FROM x WHERE times > 1 AND h = sha UNION ALL SELECT row_no, 'warning', 'uid_missing' FROM x WHERE uid IS NULL)"""
 )
 def manifest_validation(read):
     """C-06: every issue of every row."""
