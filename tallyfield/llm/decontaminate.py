@@ -15,7 +15,7 @@ from .common import NON_ALNUM, bytes_of, code_points, cut, grams, lowered, slice
 
 SEED_WORDS = 3
 MIN_SEEDS = 2
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 #: The test items broadcast at once have at most about so many characters; a larger benchmark is taken in blocks.
 BLOCK_CHARS = 16_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1

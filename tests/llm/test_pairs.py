@@ -185,7 +185,7 @@ def test_leaks_equal_the_alignment_of_all_pairs(leaks):
             hit = got.get((i, k))
             words_of = split(t)
             score = plain_alignment(split(item), words_of) if len(words_of) < 400 else None
-            if score is not None and score >= 0.5:
+            if score is not None and score >= decontaminate.MIN_SCORE:
                 assert hit and hit.score == pytest.approx(score), (i, k)
                 assert split(t[hit.start : hit.end])[0] in split(item)
             elif score is not None:
