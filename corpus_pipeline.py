@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm import bpe, decontaminate, language_id, near_dedup, secrets
-from tallyfield.llm.common import table
+from tallyfield.llm.common import shared_folder, table
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -47,11 +46,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each written as Parquet and read again for the next."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyfield-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
