@@ -182,3 +182,31 @@ def test_user_verification_and_structure_gates(spark):
     df = spark.createDataFrame([("succeeded", 4, 4, 0, 0, "x"), ("failed", 4, 3, 4, 1, "x")], "run_status string, players int, distinct_players int, current_players int, accepted int, winner string")
     out = corpus.structure_gates(df).collect()
     assert [(r.structure_ok, r.winner) for r in out] == [(True, None), (False, None)]
+
+
+def test_buckets_of_time_do_not_change_sessions(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("user_id", F.when(F.col("user_id") != 3, F.col("user_id")))
+    small, whole = (sorted(traffic.sessionize(df, ["user_id"], "ts", 7200, "event_id", b).select("event_id", "session_no", "active_seconds").collect()) for b in (3600, 10**10))
+    assert small == whole and len(small) == df.count()
+
+
+def test_uneven_rosters_are_resolved_only_where_allowed(spark):
+    players = [(n, t, w, False) for n, t, w in zip("abc", "112", (True, True, False), strict=True)]
+    assert _resolve(spark, players).status == "unsupported"
+    r = _resolve(spark, players, allow_uneven=True, postgame=True)
+    assert (r.status, r.format, r.winning_team, r.result_provenance) == ("resolved", "2v1", "1", "postgame_winner_flags")
+
+
+def test_manifest_subset_and_submitters(spark):
+    manifest = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "h string, n int")
+    rows, absent, double = corpus.manifest_subset(manifest, spark.createDataFrame([("b",), ("z",)], "h string"), "h")
+    assert sorted(r.n for r in rows.collect()) == [2, 3]
+    assert [r.h for r in absent.collect()] == ["z"] and [(r.h, r.n) for r in double.collect()] == [("b", 2)]
+    c = spark.createDataFrame([([" ", "u", "v"],), ([None, "u"],), ([],)], "c array<string>").select(corpus.submitter_assertion(F.col("c")).alias("x")).collect()
+    assert [(r.x.uid, r.x.error) for r in c] == [("u", "submitter_uid_conflict"), ("u", None), (None, None)]
+
+
+def test_candidate_contract(spark):
+    df = spark.createDataFrame([("r", "succeeded", True), (" ", "odd", False)], "run_key string, status string, candidate_only boolean")
+    out = df.select(corpus.candidate_violations(["run_key"]).alias("v")).collect()
+    assert [r.v for r in out] == [[], ["missing_run_key", "status_unknown", "not_candidate_only"]]
