@@ -125,3 +125,22 @@ def test_finality_after_a_quiet_time(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.file, r.hash, r.state) for r in spark.read.parquet(str(tmp_path / "o")).collect())
     assert [x for x in got if x[0] == "f"] == [("f", "h1", "live"), ("f", "h2", "final"), ("f", "h2", "live")]
+
+
+def test_log_is_read_from_the_first_path_there_is(spark, tmp_path):
+    (tmp_path / "b.log").write_bytes(b'one\n{"ts":"2024-01-01T00:00:00Z","remote_addr":"1.1.1.1","uri":"/x?y"}\n\xff bad bytes\n')
+    rows = tables.read_log(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")]).orderBy("line_no").collect()
+    assert [r.value[:3] for r in rows] == ["one", '{"t', "� b"]
+    assert [r.line_no for r in rows] == sorted({r.line_no for r in rows}) and rows[0].file.endswith("b.log")
+    parsed = traffic.parse_log(tables.read_log(spark, [str(tmp_path / "b.log")]), keep=["line_no"]).filter("parsed").collect()
+    assert [(r.ip, r.path, r.host, r.status) for r in parsed] == [("1.1.1.1", "/x", "(unknown host)", 0)]
+    with pytest.raises(FileNotFoundError):
+        tables.read_log(spark, [str(tmp_path / "none")])
+
+
+def test_games_are_read_with_their_columns_only(spark, tmp_path):
+    spark.createDataFrame([(1, "h", "x")], "id int, replay_hash string, other string").write.parquet(str(tmp_path / "g"))
+    assert tables.read_games(spark, str(tmp_path / "g")).columns == ["id", "replay_hash"]
+    (tmp_path / "m.json").write_text('{"id":1}\nnot json\n')
+    rows = tables.read_matches_json(spark, str(tmp_path / "m.json"), "id int").collect()
+    assert sorted((r.id or 0, r._corrupt) for r in rows) == [(0, "not json"), (1, None)]
