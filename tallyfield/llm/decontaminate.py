@@ -17,7 +17,7 @@ SEED_WORDS = 3
 MIN_SEEDS = 2
 MIN_SCORE = 0.4
 #: The test items broadcast at once have at most about so many characters; a larger benchmark is taken in blocks.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 20
 #: Marks the rows of a task's word counts.
@@ -75,6 +75,10 @@ class Seeds:
         self.words_of = {int(g): x[k : k + SEED_WORDS] for x in items for k, g in enumerate(grams(x, SEED_WORDS))}
         self.needs = [min(MIN_SEEDS, max(1, n - SEED_WORDS + 1)) for n in self.lengths]
 
+    def __getstate__(self) -> dict:
+        # Tasks have no use for each n-gram's words.
+        return {k: v for k, v in self.__dict__.items() if k != "words_of"}
+
     def count(self, hashes: np.ndarray) -> np.ndarray:
         """How often each of the items' words stands in a text."""
         if not len(self.words) or not len(hashes):
