@@ -176,14 +176,16 @@ def _verify_blocks(placed: DataFrame, shingles: DataFrame, least: float) -> Data
     A bucket's texts are dealt into blocks of about BLOCK shingles, and those outside the largest component into blocks of
     their own; each pair of blocks is a row, so the rows are far fewer than the pairs and none is unbounded.
     """
-    texts = placed.join(shingles, "node").withColumn("_size", F.size("shingles")).withColumn("_in", F.col("root") == F.col("largest"))
+    # Blocks are dealt on light rows; the shingles join last, once for each side.
+    light = placed.join(shingles.select("node", F.size("shingles").alias("_size")), "node").withColumn("_in", F.col("root") == F.col("largest"))
     out_size = F.sum(F.when(~F.col("_in"), F.col("_size")).otherwise(0))
-    sizes = texts.groupBy("bucket").agg(F.ceil(F.sum("_size") / BLOCK).alias("_blocks"), F.ceil(out_size / BLOCK).alias("_out_blocks"))
+    sizes = light.groupBy("bucket").agg(F.ceil(F.sum("_size") / BLOCK).alias("_blocks"), F.ceil(out_size / BLOCK).alias("_out_blocks"))
+    light = cut(light.join(sizes, "bucket"))
     entry = F.struct("node", "root", F.col("_in").alias("largest"), "shingles")
-    dealt = texts.join(sizes, "bucket")
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
-    members = dealt.groupBy("bucket", block("_blocks").alias("block")).agg(F.collect_list(entry).alias("members"))
-    outside = dealt.filter(~F.col("_in")).groupBy("bucket", "_blocks", block("_out_blocks").alias("_block")).agg(F.collect_list(entry).alias("outside"))
+    members = light.select("bucket", "node", "root", "_in", block("_blocks").alias("block")).join(shingles, "node").groupBy("bucket", "block").agg(F.collect_list(entry).alias("members"))
+    out_rows = light.filter(~F.col("_in")).select("bucket", "node", "root", "_in", "_blocks", block("_out_blocks").alias("_block"))
+    outside = out_rows.join(shingles, "node").groupBy("bucket", "_blocks", "_block").agg(F.collect_list(entry).alias("outside"))
     # Sent to each of the bucket's blocks by name, so that the pairs of one bucket are spread over many tasks.
     sent = outside.select("bucket", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("block"))
 
