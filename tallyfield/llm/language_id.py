@@ -39,7 +39,8 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     is_letter = letters[codes]
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # of a run of others the first stands for all
-    keep[0] = True
+    keep[:1] = True
+    keep[1:] |= own[1:] != own[:-1]  # each text has its own beginning, whatever stands before it in the batch
     codes, own, is_letter = np.where(is_letter, codes, 32)[keep].astype(np.uint32), own[keep], is_letter[keep]
     found, texts_of = [], []
     for n in ORDERS:
