@@ -331,6 +331,54 @@ def test_exchange_never_lowers_the_likelihood_and_finds_clear_classes():
     assert likelihood(bigrams, of) >= likelihood(bigrams, start)
 
 
+def test_further_words_get_the_class_of_the_highest_likelihood():
+    """Against the whole likelihood of the corpus with the word in each of the classes."""
+    r = np.random.default_rng(3)
+    n, further = 4, 6  # single-word classes, then words that are in their shapes
+    kinds = n + further
+    shape = r.integers(0, 3, further)
+    of = np.concatenate([np.arange(n), n + shape, [n + class_lm.SHAPES - 1]])
+    words_of = r.choice(kinds + 1, 400, p=np.append(np.full(n, 0.15), np.full(further + 1, 0.4 / (further + 1))))
+    bigrams = np.zeros((kinds + 1, kinds + 1))
+    np.add.at(bigrams, (words_of[:-1], words_of[1:]), 1)
+    total = n + class_lm.SHAPES
+    onehot = np.eye(total)[of]
+    gains = class_lm.Gains(onehot.T @ bigrams @ onehot)
+    entries = []
+    for k in range(further):
+        w = n + k
+        out, into = bigrams[w].copy(), bigrams[:, w].copy()
+        out[w] = into[w] = 0
+        found = np.concatenate((out @ onehot, into @ onehot, [bigrams[w, w]]))
+        entries += [(k, c, int(x)) for c, x in enumerate(found) if x]
+    got = gains.best(shape, *(np.array(x) for x in zip(*entries)))
+
+    def whole(w, c):
+        moved = of.copy()
+        moved[w] = c
+        pairs = np.eye(total)[moved].T @ bigrams @ np.eye(total)[moved]
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(pairs) - f(pairs.sum(axis=0)) - f(pairs.sum(axis=1))
+
+    assert got.tolist() == [int(np.argmax([whole(n + k, c) for c in range(n)])) for k in range(further)]
+
+
+def test_every_training_word_has_a_class_by_its_neighbours(docs, monkeypatch):
+    """Words of one shape outside the clustering, in two kinds that follow different frequent words."""
+    monkeypatch.setattr(class_lm, "BROADCAST", 30)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 4)
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
+    monkeypatch.setattr(class_lm.exchange, "__defaults__", (4, 6))
+    r = random.Random(8)
+    text = lambda: " ".join(f"{x} {r.choice([y, f'{x}w{r.randrange(100, 160)}'])}" for x, y in (r.choice((("a", "c"), ("b", "d"))) for _ in range(60)))
+    like, unlike = "a aw105 a c b bw105 " * 10, "a bw105 a c b aw105 " * 10
+    texts = [text() for _ in range(80)]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = {x.doc_id: x for x in class_lm.score(docs([*enumerate(texts), (held[0], like), (held[1], unlike)])).collect()}
+    assert rows[held[0]].n_known == 61 and rows[held[0]].base_score == pytest.approx(rows[held[1]].base_score)
+    assert rows[held[0]].score > rows[held[1]].score + 10
+
+
 def test_language_model_edges(docs):
     df = docs([None, (None, "a b"), "a", (0, "a b c"), "w " * 200_000])
     rows = class_lm.score(df).collect()
