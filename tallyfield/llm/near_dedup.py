@@ -3,7 +3,9 @@
 A text's shingles are all runs of SHINGLE words, each labelled with how often it stood there before. A sketch takes the
 TAKEN labelled shingles least under one hash order and keeps them in the order of the text, so it is sensitive to the
 order as edit similarity is. Two texts of similarity s share one sketch with probability near s ** TAKEN, one of
-SKETCHES with 1 - (1 - s ** TAKEN) ** SKETCHES: at 0.8 all but 6 in 100,000.
+SKETCHES with 1 - (1 - s ** TAKEN) ** SKETCHES: at 0.8 all but 6 in 100,000 of long texts, and all but 15 in 100,000 just
+above SHORT shingles, where the few are drawn without replacement. Texts of at most SHORT shingles are found exactly: each is
+bucketed by its rarest labelled shingles, as many as must hold one that a similar text has among its own rarest.
 
 The similarity is of aligned shingles: with L the longest common subsequence of the two shingle sequences, L / (n + m - L).
 """
@@ -25,6 +27,8 @@ from .components import components
 SHINGLE = 5
 SIMILARITY = 0.8
 TAKEN, SKETCHES = 6, 32
+#: Texts of at most so many shingles meet by their rarest shingles, without loss; longer ones by sketches.
+SHORT = 40
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WIDE = 1 << 16
 #: Shingles of a block of texts that are verified against another block at once.
@@ -40,11 +44,11 @@ def text_node(hashes: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None
 
 
-def sketches(shingles: np.ndarray) -> np.ndarray:
-    """The SKETCHES Order MinHash sketches, each as one hash with its number mixed in; none without shingles."""
+def labels(shingles: np.ndarray) -> np.ndarray:
+    """The shingles, each labelled with how often it stood there before."""
     n = len(shingles)
     if not n:
-        return np.zeros(0, np.int64)
+        return shingles
     order = np.argsort(shingles, kind="stable")
     ranked = shingles[order]
     new = np.ones(n, bool)
@@ -52,7 +56,15 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     places = np.arange(n)
     occurrence = np.empty(n, np.uint64)
     occurrence[order] = (places - np.maximum.accumulate(np.where(new, places, 0))).astype(np.uint64)
-    labelled = mix(shingles + occurrence * np.uint64(0xD6E8FEB86659FD93))
+    return mix(shingles + occurrence * np.uint64(0xD6E8FEB86659FD93))
+
+
+def sketches(shingles: np.ndarray) -> np.ndarray:
+    """The SKETCHES Order MinHash sketches, each as one hash with its number mixed in; none without shingles."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(0, np.int64)
+    labelled, places = labels(shingles), np.arange(n)
     taken = min(TAKEN, n)
     rows = SKETCHES if n <= _WIDE else 1
     out = np.empty(SKETCHES, np.uint64)
@@ -113,20 +125,40 @@ def _band_lcs(a: list[int], b: list[int], band: int) -> int:
     return len(a) - row.bit_count()
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, sketches`` of every row; the node is null for a text without words."""
+def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, node, sketches, labels`` of every row; the node is null for a text without words.
+
+    Texts of at most SHORT shingles have labels and no sketches, those that may be similar to one of them have both.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            nodes, found = [], []
+            nodes, found, short = [], [], []
             for text in strings(batch, "text"):
                 hashes = text_words(text)
                 nodes.append(text_node(hashes))
-                found.append(sketches(grams(hashes, SHINGLE)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "sketches"])
+                shingles = grams(hashes, SHINGLE)
+                found.append(sketches(shingles) if len(shingles) > SHORT else [])
+                short.append(labels(shingles).view(np.int64) if len(shingles) <= SHORT / least + 1e-9 else [])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(found, longs), pa.array(short, longs)], ["doc_id", "node", "sketches", "labels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, sketches array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node bigint, sketches array<bigint>, labels array<bigint>")
+
+
+def short_buckets(texts: DataFrame, least: float) -> DataFrame:
+    """``node, bucket`` of the texts with labels: the rarest labels of each, without those that no other text has.
+
+    Of n shingles a text of similarity ``least`` shares least * n or more, so of the rarest n - ceil(least * n) + 1 of either,
+    in one order for all texts, at least one is common to both.
+    """
+    each = texts.select("node", F.explode("labels").alias("bucket"))
+    held = each.join(each.groupBy("bucket").agg(F.count("*").alias("texts")), "bucket")
+    ranked = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "bucket"))).alias("found"))
+    n = F.size("found")
+    first = F.slice("found", 1, (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
+    return ranked.select("node", F.explode(first).alias("x")).filter(F.col("x.texts") > 1).select("node", F.col("x.bucket").alias("bucket"))
 
 
 def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -224,14 +256,15 @@ def _shingles_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
 def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links ``a, b, similarity`` that join all different texts which candidates and verification bring together.
 
-    Texts that share a sketch are candidates. First each text of a bucket is verified against the bucket's two leaders,
+    Texts that share a sketch, or short ones that share one of their rarest shingles, are candidates. First each text of a bucket is verified against the bucket's two leaders,
     its least and greatest node, so that a bucket costs two pairs a text. Then the components so found are looked at
     again: in a bucket with more than one, the texts outside the largest are verified, block by block, against all texts of
     other components. Pairs within one component need no verifying, so no link between components is lost and a bucket
     of thousands of copies is never paired with itself.
     """
     texts = rows.filter(F.size("sketches") > 0).select("node", "sketches").dropDuplicates(["node"])
-    buckets = texts.select("node", F.explode("sketches").alias("bucket"))
+    short = rows.filter(F.size("labels") > 0).select("node", "labels").dropDuplicates(["node"])
+    buckets = texts.select("node", F.explode("sketches").alias("bucket")).union(cut(short_buckets(short, least)))
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") < F.col("high"))
     shared = cut(buckets.join(leaders, "bucket"))  # rows of buckets with two texts or more
     to_leader = F.explode(F.array("low", "high")).alias("leader")
@@ -251,12 +284,12 @@ def group(docs: DataFrame, least: float = SIMILARITY, rows: DataFrame | None = N
     """The near-duplicate class of every row: ``doc_id, class_id, class_size, n_links, keep``.
 
     ``class_id`` is the least doc_id of the class, ``keep`` marks that document's row, ``n_links`` counts the text's own
-    verified links to other texts. Exact copies (equal words in any case and spacing) are one text; texts of fewer than
+    verified links to other texts, which are part of all its near-duplicates: as many as put the class together. Exact copies (equal words in any case and spacing) are one text; texts of fewer than
     SHINGLE words have no other near-duplicates than copies. A null text or one without words is a class of its own, as
     is a row with a null doc_id (its class_id is null, and it is kept). Repeated rows are copies. An empty table gives
     no row.
     """
-    rows = cut(sketched(docs)) if rows is None else rows
+    rows = cut(sketched(docs, least)) if rows is None else rows
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     links = find_links(docs, named, least)
     roots = components(links)
@@ -279,7 +312,7 @@ def group(docs: DataFrame, least: float = SIMILARITY, rows: DataFrame | None = N
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate class, with all its columns: the one with the least doc_id."""
-    rows = cut(sketched(docs))
+    rows = cut(sketched(docs, least))
     found = cut(group(docs, least, rows))
     repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("doc_id")
     dropped = found.filter(~F.col("keep")).select("doc_id")

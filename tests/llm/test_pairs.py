@@ -117,6 +117,20 @@ def test_classes_equal_those_of_all_pairs(docs):
     assert all(x.class_size == sizes[x.class_id] and x.keep == (x.doc_id == x.class_id) for x in out)
 
 
+def test_short_texts_are_found_exactly(docs):
+    """5 to 60 words: with one or two words more, and with edits; many of them begin with a common line."""
+    r = random.Random(12)
+    line = some_words(r, 6, 5000)
+    rows = []
+    for n in [*range(5, 21), *range(22, 61, 3)]:
+        for c in range(4):
+            base = (line if c == 3 else []) + some_words(r, n, 5000)
+            rows += [" ".join(x) for x in (base, [*base, "more"], [*base, "and", "more"], ["before", *base], edited(r, base, 1), base[:-1])]
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    assert {x.doc_id: x.class_id for x in near_dedup.group(docs(rows)).collect()} == brute_classes(rows)
+
+
 def test_near_dedup_edges(docs):
     r = random.Random(2)
     long = " ".join(some_words(r, 120_000, 10**6))
