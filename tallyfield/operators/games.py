@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import clean_text, is_sha256, ms_to_seconds, name_key, whole_int
+from tallyfield.operators.ordering import with_max_before
 
 # Scalar winners that name nobody.
 NON_RESULTS = ("", "draw", "none", "null", "pending", "unknown", "unresolved")
@@ -273,25 +273,37 @@ def best_standing(uploads: DataFrame) -> DataFrame:
     return _first_by(uploads, ["match_id"], F.col("is_final").desc_nulls_last(), F.col("trusted").desc_nulls_last(), F.col("size").desc_nulls_last(), F.col("upload_id").desc())
 
 
-def reupload_fold(uploads: DataFrame, key: str, order: str) -> DataFrame:
+def reupload_fold(uploads: DataFrame, key: str, order: str, bucket: Column | None = None) -> DataFrame:
     """The row that stands after each upload, in order, has been held against the one before (G-22).
 
     A trusted row is never replaced by an untrusted one; a trusted one replaces an untrusted; of two untrusted the strictly
-    larger artifact wins, of two trusted the later. Each step depends on the step before, so a key's uploads (tens of rows;
-    ``order, upload_id, trusted, size``) are folded together; their order is the fold's only state.
+    larger artifact wins, of two trusted the later. So the last trusted row stands, else the first of the greatest size, and
+    rows were taken as often as there are trusted ones and, before the first of them, strict running maxima of the size.
+    ``uploads`` has ``order, upload_id, trusted, size``; a missing order comes last, a missing size is less than any.
+    ``bucket`` must not fall as ``order`` grows; it splits the history of a key that holds many rows.
     """
-    kind = uploads.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, replaced = None, 0
-        for row in pdf.sort_values([order, "upload_id"]).itertuples(index=False):
-            takes = kept is None or row.trusted or (not kept.trusted and row.size > kept.size)
-            if takes:
-                replaced += kept is not None
-                kept = row
-        return pd.DataFrame({key: [getattr(kept, key)], "upload_id": [kept.upload_id], "trusted": [bool(kept.trusted)], "size": [float(kept.size)], "replaced": [replaced]})
-
-    return uploads.select(key, order, "upload_id", "trusted", F.col("size").cast("double").alias("size")).groupBy(key).applyInPandas(fold, f"{key} {kind}, upload_id bigint, trusted boolean, size double, replaced bigint")
+    size = F.col("size").cast("double")
+    rows = uploads.select(
+        key,
+        "upload_id",
+        F.coalesce("trusted", F.lit(False)).alias("trusted"),
+        size.alias("size"),
+        F.when(size.isNull() | F.isnan(size), float("-inf")).otherwise(size).alias("_size"),
+        F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), "upload_id").alias("_place"),
+        F.struct(F.col(order).isNull().alias("last"), (F.lit(0) if bucket is None else bucket).alias("of")).alias("_bucket"),
+    )
+    row = F.struct("upload_id", "size")
+    trusted = F.when(F.col("trusted"), F.col("_place"))
+    largest = F.min_by(row, F.struct(-F.col("_size"), F.col("_place")))
+    standing = rows.groupBy(key).agg(F.min(trusted).alias("_first"), F.count_if("trusted").alias("_trusted"), F.max_by(row, trusted).alias("_last"), largest.alias("_largest"))
+    first = standing.select(F.col(key).alias("_key"), "_first")
+    opening = rows.join(first, rows[key].eqNullSafe(first["_key"])).filter(F.col("_first").isNull() | (F.col("_place") < F.col("_first")))
+    raised = with_max_before(opening, [key], [F.col("_place")], "_size", "_before").filter(F.col("_before").isNull() | (F.col("_size") > F.col("_before")))
+    taken = raised.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_taken"))
+    kept = F.when(F.col("_trusted") > 0, F.col("_last")).otherwise(F.col("_largest"))
+    return standing.join(taken, standing[key].eqNullSafe(taken["_key"]), "left").select(
+        key, kept["upload_id"].alias("upload_id"), (F.col("_trusted") > 0).alias("trusted"), kept["size"].alias("size"), (F.col("_trusted") + F.coalesce("_taken", F.lit(0)) - 1).alias("replaced")
+    )
 
 
 def repair_early_exit(duration: Column, reason: Column, last_chat: Column) -> Column:

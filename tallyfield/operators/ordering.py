@@ -36,3 +36,12 @@ def with_running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     totals = totals.withColumn("_offset", F.coalesce(before, F.lit(0)))
     local = df.withColumn("_local", F.sum(value).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return _back(local, totals, on, "_offset").withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset")
+
+
+def with_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """``name``: the greatest ``value`` of the rows before each within the keys, NULL for the first; ``df`` has ``_bucket``."""
+    on = [*keys, "_bucket"]
+    before = F.max("_max").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    tops = df.groupBy(*on).agg(F.max(value).alias("_max")).withColumn("_offset", before)
+    local = df.withColumn("_local", F.max(value).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    return _back(local, tops, on, "_offset").withColumn(name, F.greatest("_local", "_offset")).drop("_local", "_offset")

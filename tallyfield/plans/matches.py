@@ -310,7 +310,7 @@ def duration_repair(read):
 def reupload_fold(read):
     """G-22: orders of a customer as uploads of one match; an order-dependent fold, so without SQL."""
     rows = read("orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("upload_id"), (F.col("o_orderstatus") == "F").alias("trusted"), F.col("o_totalprice").alias("size"))
-    return op.reupload_fold(rows, "o_custkey", "o_orderdate")
+    return op.reupload_fold(rows, "o_custkey", "o_orderdate", F.trunc("o_orderdate", "month"))
 
 
 @query(

@@ -1,6 +1,8 @@
 """Small cases with known outcomes."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,21 @@ def test_reupload_fold(spark):
     assert {r.k: (r.upload_id, r.replaced) for r in games.reupload_fold(df, "k", "at").collect()} == {"a": (3, 1), "b": (6, 1)}
 
 
+def test_reupload_fold_of_long_histories_is_the_plain_one_without_python(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "a", "a", "b", None, f"k{r.randrange(40)}"]), r.randrange(50), k, r.random() < r.choice([0, 0, 0.02]), float(r.randrange(400))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at int, upload_id bigint, trusted boolean, size double")
+    want = {}
+    for row in sorted(rows, key=lambda x: (x[1], x[2])):
+        kept, n = want.get(row[0], (None, -1))
+        takes = kept is None or row[3] or (not kept[3] and row[4] > kept[4])
+        want[row[0]] = (row, n + 1) if takes else (kept, n)
+    for bucket in (None, F.floor(F.col("at") / 7)):
+        out = games.reupload_fold(df, "k", "at", bucket)
+        assert {x.k: (x.upload_id, x.trusted, x.size, x.replaced) for x in out.collect()} == {k: (*v[2:], n) for k, (v, n) in want.items()}
+        assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
 def _resolve(spark, players, **kw):
     df = spark.createDataFrame([(1, *p) for p in players], "game_id int, name string, team_id string, winner boolean, resigned boolean").withColumn("steam_id", F.lit(None).cast("string"))
     game = spark.createDataFrame([(1, kw.pop("postgame", False), False)], "game_id int, postgame boolean, scoreboard boolean")
