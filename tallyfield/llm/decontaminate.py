@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds pick passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds pick passages, the words they share bound them, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import NON_ALNUM, bytes_of, code_points, cut, grams, lowered, sliced, strings, words
 
-SEED_WORDS = 3
-MIN_SEEDS = 2
+SEED_WORDS = 2
+#: Shorter items match nothing.
+MIN_WORDS = 3
 MIN_SCORE = 0.4
 #: The test items broadcast at once have at most about so many characters; a larger benchmark is taken in blocks.
 BLOCK_CHARS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 20
-#: Marks the rows of a task's word counts.
-TALLY = -1
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -64,50 +63,30 @@ class Seeds:
 
     def __init__(self, items: list[np.ndarray]):
         self.lengths = [len(x) for x in items]
-        pairs = {(int(g), i) for i, x in enumerate(items) for g in grams(x, SEED_WORDS)}
+        pairs = {(int(g), i) for i, x in enumerate(items) if len(x) >= MIN_WORDS for g in grams(x, SEED_WORDS)}
         self.pairs = sorted(pairs)
         hashes = np.array([g for g, _ in self.pairs], np.uint64)
         self.hashes, self.first = np.unique(hashes, return_index=True)
         self.first = np.append(self.first, len(hashes))
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
         self.bits[self._low(self.hashes)] = True
-        self.words = np.unique(np.concatenate(items)) if items else np.zeros(0, np.uint64)
-        self.words_of = {int(g): x[k : k + SEED_WORDS] for x in items for k, g in enumerate(grams(x, SEED_WORDS))}
-        self.needs = [min(MIN_SEEDS, max(1, n - SEED_WORDS + 1)) for n in self.lengths]
-
-    def __getstate__(self) -> dict:
-        # Tasks have no use for each n-gram's words.
-        return {k: v for k, v in self.__dict__.items() if k != "words_of"}
-
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        """How often each of the items' words stands in a text."""
-        if not len(self.words) or not len(hashes):
-            return np.zeros(len(self.words), np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.bincount(at[self.words[at] == hashes], minlength=len(self.words))
-
-    def rare(self, counts: np.ndarray, total: int) -> set[tuple[int, int]]:
-        """(item, seed) of the rare seeds, by the words' shares of all words in the documents.
-
-        A seed is rare if by chance it would be expected at most once among all documents' words, or if it is in the rarer
-        half of its item's. Only words count, so a seed stays rare however many copies of the item there are.
-        """
-        bits = -np.log2(np.maximum(counts, 1) / max(total, 1))
-        of = {g: float(bits[np.searchsorted(self.words, w)].sum()) for g, w in self.words_of.items()}
-        by_item: dict[int, list[float]] = {}
-        for g, item in self.pairs:
-            by_item.setdefault(item, []).append(of[g])
-        middle = {item: float(np.median(x)) for item, x in by_item.items()}
-        enough = np.log2(max(total, 1))
-        return {(item, g) for g, item in self.pairs if of[g] >= min(enough, middle[item])}
+        self.words = [np.unique(x, return_counts=True) for x in items]
+        # The different words, and how many more an item has than those.
+        self.kinds = [(frozenset(x.tolist()), len(x) - len(set(x.tolist()))) for x in items]
+
+    def bound(self, item: int, passage: np.ndarray) -> float:
+        """No alignment of the passage scores more: its share of the item's words, each as often as it stands in both."""
+        own, n = self.words[item]
+        at = np.searchsorted(own, passage)
+        at[at == len(own)] = 0
+        return np.minimum(np.bincount(at[own[at] == passage], minlength=len(own)), n).sum() / self.lengths[item]
 
     @staticmethod
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
 
-    def passages(self, doc_grams: np.ndarray) -> Iterator[tuple[int, list[int], int, int]]:
-        """(item, seed hashes, first word, last word + 1) of each passage with enough seeds of one item."""
+    def passages(self, doc_grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, last word + 1) of each passage with a seed of one item."""
         at = np.flatnonzero(self.bits[self._low(doc_grams)])
         if not len(at):
             return
@@ -122,8 +101,7 @@ class Seeds:
             size, begin = self.lengths[item], 0
             for i in range(1, len(places) + 1):
                 if i == len(places) or places[i] - places[i - 1] > size or places[i] - places[begin] > 2 * size:
-                    if i - begin >= self.needs[item]:
-                        yield item, sorted({int(doc_grams[x]) for x in places[begin:i]}), places[begin], places[i - 1] + SEED_WORDS
+                    yield item, places[begin], places[i - 1] + SEED_WORDS
                     begin = i
 
 
@@ -137,10 +115,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     ``score`` is the best passage's Smith-Waterman score over the item's own (0 to 1, at least ``min_score``), ``start``
     and ``end`` its code points in the text, ``passages`` how many of the document's passages reach ``min_score``.
 
-    Seeds are an item's SEED_WORDS-grams; a passage needs MIN_SEEDS of them, one of which is rare by the frequencies of its
-    words in all documents (``Seeds.rare``). An item that a third of all documents repeat is found as well.
+    Seeds are all of an item's SEED_WORDS-grams, and one suffices: where words are only changed, a score of 0.4 takes 0.6 of
+    the words, two of which stand together (in items of six words or more). Passages that share too few words for ``min_score`` are not aligned. An item that
+    a third of all documents repeat is found as well.
 
-    Null and empty texts, and items of fewer than SEED_WORDS words, match nothing. Repeated rows count once. Ties in
+    Null and empty texts, and items of fewer than MIN_WORDS words, match nothing. Repeated rows count once. Ties in
     score: the passage that starts first. Either table may be empty. Extra columns play no part.
     """
     spark = docs.sparkSession
@@ -162,38 +141,32 @@ def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFr
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        counts, total = np.zeros(len(index.words), np.int64), 0
-        columns = ["doc_id", "item", "seeds", "words", "starts", "ends"]
+        columns = ["doc_id", "item", "words", "starts", "ends"]
         longs = pa.list_(pa.int64())
         for batch in sliced(batches):
-            kind = batch.column("doc_id").type
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for i, text in enumerate(strings(batch, "text")):
                 data = bytes_of(lowered(text))
                 starts, ends, hashes = words(data, NON_ALNUM)
-                counts += index.count(hashes)
-                total += len(hashes)
-                chars = None
-                for item, found, first, last in index.passages(grams(hashes, SEED_WORDS)):
-                    chars = code_points(data) if chars is None else chars
+                chars, listed = None, hashes.tolist()
+                for item, first, last in index.passages(grams(hashes, SEED_WORDS)):
                     a, b = max(0, first - index.lengths[item]), min(len(hashes), last + index.lengths[item])
-                    row = (i, item, _signed(np.array(found, np.uint64)), _signed(hashes[a:b]), chars[starts[a:b]], chars[ends[a:b]])
+                    kinds, more = index.kinds[item]
+                    # The looser bound is the quicker one.
+                    if (len(kinds.intersection(listed[a:b])) + more) / index.lengths[item] < min_score or index.bound(item, hashes[a:b]) < min_score:
+                        continue
+                    chars = code_points(data) if chars is None else chars
+                    row = (i, item, _signed(hashes[a:b]), chars[starts[a:b]], chars[ends[a:b]])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *(pa.array(x, longs) for x in out[2:])], columns)
-        if total:  # the task's word counts, beside its passages
-            at = np.flatnonzero(counts)
-            tally = [[total], _signed(index.words[at]), counts[at], []]
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([TALLY], pa.int32()), *(pa.array([x], longs) for x in tally)], columns)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rare_seeds = shared_items.value, shared_rare.value
+        own = shared_items.value
         for batch in sliced(batches):
             keep, scores, starts, ends = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("item", "seeds", "words", "starts", "ends")]
-            for i, (item, found, passage, first, last) in enumerate(zip(*columns, strict=True)):
-                if not any((item, g) in rare_seeds for g in found):
-                    continue
+            columns = [batch.column(c).to_pylist() for c in ("item", "words", "starts", "ends")]
+            for i, (item, passage, first, last) in enumerate(zip(*columns, strict=True)):
                 score, a, b = smith_waterman(_signed(own[item][1]), np.array(passage, np.int64))
                 if score >= min_score:
                     for column, x in zip((keep, scores, starts, ends), (i, score, first[a], last[b - 1]), strict=True):
@@ -204,19 +177,12 @@ def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFr
     passages = cut(
         docs.select("doc_id", "text")
         .filter(F.col("text").isNotNull())
-        .mapInArrow(seek, f"doc_id {doc_kind}, item int, seeds array<bigint>, words array<bigint>, starts array<bigint>, ends array<bigint>")
+        .mapInArrow(seek, f"doc_id {doc_kind}, item int, words array<bigint>, starts array<bigint>, ends array<bigint>")
     )
-    tallies = passages.filter(F.col("item") == TALLY)
-    total = tallies.agg(F.sum(F.element_at("seeds", 1))).first()[0] or 0
-    tally = tallies.select(F.explode(F.arrays_zip("words", "starts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.starts").alias("n")).toArrow()
-    counts = np.zeros(len(seeds.words), np.int64)
-    counts[np.searchsorted(seeds.words, tally["word"].to_numpy().view(np.uint64))] = tally["n"].to_numpy()
-    shared_rare = spark.sparkContext.broadcast({(item, int(np.uint64(g).astype(np.int64))) for item, g in seeds.rare(counts, total)})
     names = pd.DataFrame({"item": range(len(items)), "item_id": [x for x, _ in items]})
     ids = spark.createDataFrame(list(names.itertuples(index=False, name=None)), f"item int, item_id {item_kind}")
     return (
-        passages.filter(F.col("item") != TALLY)
-        .mapInArrow(align, f"doc_id {doc_kind}, item int, score double, start bigint, end bigint")
+        passages.mapInArrow(align, f"doc_id {doc_kind}, item int, score double, start bigint, end bigint")
         .distinct()
         .groupBy("doc_id", "item")
         .agg(F.max("score").alias("score"), F.min_by(F.struct("start", "end"), F.struct(-F.col("score"), "start", "end")).alias("best"), F.count("*").alias("passages"))

@@ -211,6 +211,21 @@ def test_leaks_equal_the_alignment_of_all_pairs(leaks):
     assert set(range(20)) <= kept
 
 
+def test_short_and_much_edited_copies_are_found(spark, docs):
+    """Copies of 8 to 20 words with 20 to 35 % of the words changed, each third among them, against all alignments."""
+    r = random.Random(21)
+    items = [some_words(r, n, 3000) for n in (8, 9, 10, 12, 12, 14, 16, 16, 18, 20)]
+    copies = []
+    for k, w in enumerate(items):
+        copies.append((k, [x if j % 3 < 2 else "changed" for j, x in enumerate(w)]))
+        copies += [(k, [x if r.random() > share else f"c{r.randrange(99)}" for x in w]) for share in (0.2, 0.25, 0.33, 0.35) for _ in range(8)]
+    rows = [[*some_words(r, 30, 3000), *w, *some_words(r, 30, 3000)] for _, w in copies]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(docs([" ".join(w) for w in rows]), bench).collect()}
+    want = {(i, k): s for i, w in enumerate(rows) for k, item in enumerate(items) if (s := plain_alignment(item, w)) >= decontaminate.MIN_SCORE}
+    assert got == pytest.approx(want) and len(want) > 200
+
+
 def test_leak_edges(leaks, docs):
     df, bench, _, _ = leaks
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0
