@@ -1,26 +1,28 @@
-"""Benchmark decontamination: n-gram seeds pick passages, the words they share bound them, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds pick passages, common words in order bound them, Smith-Waterman scores them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, bytes_of, code_points, cut, grams, lowered, sliced, strings, words
+from .common import NON_ALNUM, bytes_of, code_points, grams, lowered, sliced, strings, words
 
 SEED_WORDS = 2
-#: Shorter items match nothing.
+#: A rare seed stands at most so often in the corpus, and so often again in each million of its words.
+RARE = 50
+#: An item of fewer words is found only in texts that have just its words.
 MIN_WORDS = 3
 MIN_SCORE = 0.4
 #: The test items broadcast at once have at most about so many characters; a larger benchmark is taken in blocks.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 8_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-_FILTER_BITS = 20
+_FILTER_BITS = 22
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -58,140 +60,222 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best[0] / (MATCH * len(item)), best[1], best[2]
 
 
-class Seeds:
-    """The n-grams of a block of items: sorted hashes, postings to items, and a small bit table that turns most away."""
-
-    def __init__(self, items: list[np.ndarray]):
-        self.lengths = [len(x) for x in items]
-        pairs = {(int(g), i) for i, x in enumerate(items) if len(x) >= MIN_WORDS for g in grams(x, SEED_WORDS)}
-        self.pairs = sorted(pairs)
-        hashes = np.array([g for g, _ in self.pairs], np.uint64)
-        self.hashes, self.first = np.unique(hashes, return_index=True)
-        self.first = np.append(self.first, len(hashes))
+class Grams:
+    """Sorted hashes behind a bit table that turns most others away."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self._low(self.hashes)] = True
-        self.words = [np.unique(x, return_counts=True) for x in items]
-        # The different words, and how many more an item has than those.
-        self.kinds = [(frozenset(x.tolist()), len(x) - len(set(x.tolist()))) for x in items]
-
-    def bound(self, item: int, passage: np.ndarray) -> float:
-        """No alignment of the passage scores more: its share of the item's words, each as often as it stands in both."""
-        own, n = self.words[item]
-        at = np.searchsorted(own, passage)
-        at[at == len(own)] = 0
-        return np.minimum(np.bincount(at[own[at] == passage], minlength=len(own)), n).sum() / self.lengths[item]
+        self.bits[self._low(hashes)] = True
 
     @staticmethod
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
 
-    def passages(self, doc_grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, last word + 1) of each passage with a seed of one item."""
-        at = np.flatnonzero(self.bits[self._low(doc_grams)])
+    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``found`` a known hash stands, and which."""
+        at = np.flatnonzero(self.bits[self._low(found)])
         if not len(at):
-            return
-        k = np.searchsorted(self.hashes, doc_grams[at])
+            return at, at
+        k = np.searchsorted(self.hashes, found[at])
         k[k == len(self.hashes)] = 0
-        hit = self.hashes[k] == doc_grams[at]
-        found: dict[int, list[int]] = {}
-        for place, j in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
-            for p in range(self.first[j], self.first[j + 1]):
-                found.setdefault(self.pairs[p][1], []).append(place)
-        for item, places in sorted(found.items()):
-            size, begin = self.lengths[item], 0
-            for i in range(1, len(places) + 1):
-                if i == len(places) or places[i] - places[i - 1] > size or places[i] - places[begin] > 2 * size:
-                    yield item, places[begin], places[i - 1] + SEED_WORDS
-                    begin = i
+        hit = self.hashes[k] == found[at]
+        return at[hit], k[hit]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.asarray(x, np.uint64).astype(np.int64)
+class Seeds:
+    """The n-grams of a block of items, the rare ones marked, with postings to the items.
 
+    ``rate`` is what ``gram_rates`` gives for each of ``hashes``. Rare are the n-grams of at most ``rare`` and, of any run
+    of words that alone can reach ``min_score``, the rarest, so that each such run has a rare one.
+    """
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Pairs of documents and test items: ``doc_id, item_id, score, start, end, passages``.
+    def __init__(self, items: list[np.ndarray], hashes: np.ndarray, rate: np.ndarray, min_score: float = MIN_SCORE, rare: float = RARE):
+        self.items, self.lengths = items, np.array([len(x) for x in items], np.int64)
+        found, of, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for i, x in enumerate(items):
+            if len(x) < MIN_WORDS:
+                continue
+            g = grams(x, SEED_WORDS)
+            rates = rate[np.searchsorted(hashes, g)]
+            mark = rates <= rare
+            width = min(len(g), max(1, math.ceil(min_score * len(x) - 1e-9) - SEED_WORDS + 1))
+            runs = np.lib.stride_tricks.sliding_window_view(rates, width)
+            mark[np.arange(len(runs)) + runs.argmin(axis=1)] = True
+            g, at = np.unique(g, return_inverse=True)
+            found.append(g)
+            of.append(np.full(len(g), i))
+            marks.append(np.bincount(at, mark) > 0)
+        flat = np.concatenate(found)
+        order = np.argsort(flat, kind="stable")
+        self.of, self.rare = np.concatenate(of)[order], np.concatenate(marks)[order]
+        own, first = np.unique(flat[order], return_index=True)
+        self.grams, self.first = Grams(own), np.append(first, len(flat))
+        # Of each item's different words the places, as bits, and how many more words it has than those.
+        self.places_of: list[dict[int, int]] = [{} for _ in items]
+        for x, places in zip(items, self.places_of, strict=True):
+            for k, word in enumerate(x.tolist()):
+                places[word] = places.get(word, 0) | 1 << k
+        self.kinds = [(frozenset(p), len(x) - len(p)) for x, p in zip(items, self.places_of, strict=True)]
+        self.whole: dict[bytes, list[int]] = {}
+        for i, x in enumerate(items):
+            if 0 < len(x) < MIN_WORDS:
+                self.whole.setdefault(x.tobytes(), []).append(i)
 
-    ``score`` is the best passage's Smith-Waterman score over the item's own (0 to 1, at least ``min_score``), ``start``
-    and ``end`` its code points in the text, ``passages`` how many of the document's passages reach ``min_score``.
+    def bound(self, item: int, passage: list[int]) -> int:
+        """The words of the item's longest common subsequence with the passage, bit-parallel: no alignment matches more."""
+        places, full = self.places_of[item], (1 << int(self.lengths[item])) - 1
+        row = full
+        for x in passage:
+            if here := places.get(x):
+                here &= row
+                row = (row + here | row - here) & full
+        return (row ^ full).bit_count()
 
-    Seeds are all of an item's SEED_WORDS-grams, and one suffices: where words are only changed, a score of 0.4 takes 0.6 of
-    the words, two of which stand together (in items of six words or more). Passages that share too few words for ``min_score`` are not aligned. An item that
-    a third of all documents repeat is found as well.
+    def passages(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first word, word after the last) of each passage with a rare seed of the item or two different ones.
 
-    Null and empty texts, and items of fewer than MIN_WORDS words, match nothing. Repeated rows count once. Ties in
-    score: the passage that starts first. Either table may be empty. Extra columns play no part.
-    """
-    spark = docs.sparkSession
+        Seeds no further apart than the item is long are one passage; one of more than two such lengths is split.
+        """
+        at, k = self.grams.places(grams(hashes, SEED_WORDS))
+        if not len(at):
+            return []
+        times = self.first[k + 1] - self.first[k]
+        posts = np.repeat(self.first[k] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        order = np.lexsort((np.repeat(at, times), self.of[posts]))
+        posts, places = posts[order], np.repeat(at, times)[order]
+        of, gram = self.of[posts], np.repeat(k, times)[order]
+        size = self.lengths[of]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (places[1:] - places[:-1] > size[1:])
+        begins, chain = np.flatnonzero(new), np.cumsum(new) - 1
+        picked = np.maximum.reduceat(self.rare[posts], begins) | (np.minimum.reduceat(gram, begins) != np.maximum.reduceat(gram, begins))
+        part = (places - places[begins[chain]]) // (2 * size)
+        new[1:] |= part[1:] != part[:-1]
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(of)) - 1
+        keep = picked[chain[begins]]
+        begins, ends = begins[keep], ends[keep]
+        return list(zip(of[begins].tolist(), places[begins].tolist(), (places[ends] + SEED_WORDS).tolist(), strict=True))
+
+    def matches(self, hashes: np.ndarray, min_score: float) -> Iterator[tuple[int, float, int, int]]:
+        """(item, score, first word, word after the last) of each passage of a text that reaches ``min_score``."""
+        if len(hashes) < MIN_WORDS:
+            for item in self.whole.get(hashes.tobytes(), []):
+                yield item, 1.0, 0, len(hashes)
+        listed = None
+        for item, first, last in self.passages(hashes):
+            size = int(self.lengths[item])
+            a, b = max(0, first - size), min(len(hashes), last + size)
+            listed = hashes.tolist() if listed is None else listed
+            kinds, more = self.kinds[item]
+            need, passage = min_score * size - 1e-9, listed[a:b]
+            # The looser bound is the quicker one.
+            if len(kinds.intersection(passage)) + more >= need and self.bound(item, passage) >= need:
+                score, begin, end = smith_waterman(self.items[item], hashes[a:b])
+                if score >= min_score:
+                    yield item, score, a + begin, a + end
+
+
+def gram_rates(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
+    """How often each of the n-grams stands in all documents, over the words in millions and one: a pass, counted in each task."""
+    shared = docs.sparkSession.sparkContext.broadcast(Grams(hashes))
+    n = len(hashes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = shared.value, np.zeros(n + 1, np.int64)
+        for batch in sliced(batches):
+            for text in strings(batch, "text"):
+                found = item_words(text)
+                total += np.bincount(known.places(grams(found, SEED_WORDS))[1], minlength=n + 1)
+                total[n] += len(found)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
+
+    rows = docs.select("text").filter(F.col("text").isNotNull()).mapInArrow(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n + 1)
+    out[rows["gram"].to_numpy()] = rows["n"].to_numpy()
+    return out[:n] / (1 + out[n] / 1e6)
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, min_score: float) -> Iterator[tuple[list, Seeds]]:
+    """The items' ids and seeds, block by block; each block has about BLOCK_CHARS characters of items at most."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     block_of = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(blocks))
-    parts = []
     for k in range(blocks):
         rows = items.filter(block_of == k).orderBy("item_id", "text").collect()
-        parts.append(_block(docs, spark, [(r.item_id, item_words(r.text)) for r in rows], items.schema["item_id"].dataType.simpleString(), min_score))
-    return reduce(DataFrame.unionByName, parts)
+        found = [item_words(r.text) for r in rows]
+        hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(grams(x, SEED_WORDS) for x in found if len(x) >= MIN_WORDS)]))
+        rate = gram_rates(docs, hashes) if len(hashes) else np.zeros(0)
+        yield [r.item_id for r in rows], Seeds(found, hashes, rate, min_score)
 
 
-def _block(docs, spark, items: list, item_kind: str, min_score: float) -> DataFrame:
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    seeds = Seeds([x for _, x in items])
-    shared = spark.sparkContext.broadcast(seeds)
-    shared_items = spark.sparkContext.broadcast(items)
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Pairs of documents and test items: ``doc_id, item_id, score, start, end, passages``.
 
-    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        columns = ["doc_id", "item", "words", "starts", "ends"]
-        longs = pa.list_(pa.int64())
-        for batch in sliced(batches):
-            out: list[list] = [[] for _ in range(5)]
-            for i, text in enumerate(strings(batch, "text")):
-                data = bytes_of(lowered(text))
-                starts, ends, hashes = words(data, NON_ALNUM)
-                chars, listed = None, hashes.tolist()
-                for item, first, last in index.passages(grams(hashes, SEED_WORDS)):
-                    a, b = max(0, first - index.lengths[item]), min(len(hashes), last + index.lengths[item])
-                    kinds, more = index.kinds[item]
-                    # The looser bound is the quicker one.
-                    if (len(kinds.intersection(listed[a:b])) + more) / index.lengths[item] < min_score or index.bound(item, hashes[a:b]) < min_score:
-                        continue
-                    chars = code_points(data) if chars is None else chars
-                    row = (i, item, _signed(hashes[a:b]), chars[starts[a:b]], chars[ends[a:b]])
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), *(pa.array(x, longs) for x in out[2:])], columns)
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared_items.value
-        for batch in sliced(batches):
-            keep, scores, starts, ends = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("item", "words", "starts", "ends")]
-            for i, (item, passage, first, last) in enumerate(zip(*columns, strict=True)):
-                score, a, b = smith_waterman(_signed(own[item][1]), np.array(passage, np.int64))
-                if score >= min_score:
-                    for column, x in zip((keep, scores, starts, ends), (i, score, first[a], last[b - 1]), strict=True):
-                        column.append(x)
-            kept = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("item"), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "item", "score", "start", "end"])
-
-    passages = cut(
-        docs.select("doc_id", "text")
-        .filter(F.col("text").isNotNull())
-        .mapInArrow(seek, f"doc_id {doc_kind}, item int, words array<bigint>, starts array<bigint>, ends array<bigint>")
-    )
-    names = pd.DataFrame({"item": range(len(items)), "item_id": [x for x, _ in items]})
-    ids = spark.createDataFrame(list(names.itertuples(index=False, name=None)), f"item int, item_id {item_kind}")
+    ``score`` is the best passage's Smith-Waterman score over the item's own (0 to 1, at least ``min_score``), ``start``
+    and ``end`` its code points in the text, ``passages`` how many of the document's passages reach ``min_score``.
+
+    Seeds are an item's SEED_WORDS-grams. Rare ones, of which one suffices, stand at most RARE times, and as often again
+    in each million words of all documents, or are the rarest of a run of words that could reach ``min_score`` alone; of
+    the others it takes two. Passages that share too few words for ``min_score`` are not aligned.
+
+    Null and empty texts match nothing, nor do items without a word; an item of fewer than MIN_WORDS words is found only
+    in texts of just its words. Very long texts are taken whole, passage by passage. Repeated rows count once, and rows
+    with one doc_id (null too) are one document. Ties in score: the passage that starts first. Either table may be empty.
+    Extra columns, whatever their names, play no part.
+    """
+    doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    spark, parts = docs.sparkSession, []
+    for ids, seeds in _blocks(docs, benchmark, min_score):
+        shared = spark.sparkContext.broadcast(seeds)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in sliced(batches):
+                found = []
+                for i, text in enumerate(strings(batch, "text")):
+                    data = bytes_of(lowered(text))
+                    starts, ends, hashes = words(data, NON_ALNUM)
+                    chars = None
+                    for item, score, a, b in index.matches(hashes, min_score):
+                        chars = code_points(data) if chars is None else chars
+                        found.append((i, item, score, int(chars[starts[a]]), int(chars[ends[b - 1]])))
+                at, *rest = zip(*found, strict=True) if found else [()] * 5
+                kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
+                columns = [batch.column("doc_id").take(pa.array(at, pa.int32())), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item", "score", "start", "end"])
+
+        texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+        found = texts.mapInArrow(find, f"doc_id {doc_kind}, item int, score double, start bigint, end bigint")
+        names = spark.createDataFrame(list(enumerate(ids)), f"item int, item_id {item_kind}")
+        parts.append(found.join(names, "item").drop("item"))
+    best_first = F.struct(-F.col("score"), "start", "end")
     return (
-        passages.mapInArrow(align, f"doc_id {doc_kind}, item int, score double, start bigint, end bigint")
+        reduce(DataFrame.unionByName, parts)
         .distinct()
-        .groupBy("doc_id", "item")
-        .agg(F.max("score").alias("score"), F.min_by(F.struct("start", "end"), F.struct(-F.col("score"), "start", "end")).alias("best"), F.count("*").alias("passages"))
-        .join(ids, "item")
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("score").alias("score"), F.min_by(F.struct("start", "end"), best_first).alias("best"), F.count("*").alias("passages"))
         .select("doc_id", "item_id", "score", "best.start", "best.end", "passages")
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents that hold no test item; all their columns stay. A null doc_id is never held to be a leak."""
-    leaks = find_leaks(docs, benchmark, min_score).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that hold no test item (as ``find_leaks`` finds them), with all their columns.
+
+    Each row is judged by its own text, whatever its doc_id (null or repeated); null and empty texts stay.
+    """
+    at = docs.columns.index("text")
+    kept = docs
+    for _, seeds in _blocks(docs, benchmark, min_score):
+        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for batch in sliced(batches):
+                texts = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([next(index.matches(item_words(x), min_score), None) is None for x in texts], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, docs.schema)
+    return kept
