@@ -41,6 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, keys: list[str], by: str, columns: list[str], salts: int) -> DataFrame:
+    """``keys, _rows``: the rows of each key in at most ``salts`` lists, dealt by ``by``, so that a hot key joins as few light rows.
+
+    With ``salts`` near the square root of all rows neither the lists nor their number grow as a key's rows do.
+    """
+    return df.groupBy(*keys, F.pmod(F.xxhash64(by), F.lit(salts)).alias("_salt")).agg(F.collect_list(F.struct(*columns)).alias("_rows")).drop("_salt")
+
+
+def spread(parts: DataFrame) -> DataFrame:
+    """What was ``gathered``, row by row, with the columns joined to it."""
+    others = [c for c in parts.columns if c != "_rows"]
+    return parts.select(*others, F.explode("_rows").alias("_row")).select(*others, "_row.*")
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the column's text modulo ``modulus``; null for a null value."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def _stars(e: DataFrame, salts: int) -> DataFrame:
+    """``a, b, m``: the edges with the least ``b`` of each ``a``.
+
+    A node's edges are gathered in at most ``salts`` rows before they meet its least neighbour, so a hub of any degree
+    is as many light rows, dealt over the tasks, and never one task's group.
+    """
+    parts = e.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("_salt")).agg(F.collect_list("b").alias("_bs"), F.min("b").alias("_m"))
+    least = parts.groupBy("a").agg(F.min("_m").alias("m"))
+    return parts.join(least, "a").select("a", F.explode("_bs").alias("b"), "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (columns ``a, b``) but the roots; a root is its component's least node.
 
     Each round ties every node to the least of its neighbours, first its greater, then its lesser ones, until nothing
-    changes. A round is aggregations and joins on the node, so no task holds a component; loops (a = b) play no part.
+    changes. A round is aggregations and joins on the node, and a node's edges lie in as many parts as the square root of
+    all edges, so no task holds a component; loops (a = b) play no part.
     """
     e = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    before = None
+    before, salts = None, 64
     while True:
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(least, "a").filter(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        e = cut(small.union(least).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        large = _stars(both, salts).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _stars(large, salts)
+        # Each lesser neighbour is tied to the least one, and so is the node itself.
+        e = small.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
+        e = cut(e.distinct())
         # The two sums tell apart any two rounds that differ.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        before, salts = now, math.isqrt(now[0]) + 1

@@ -1,18 +1,19 @@
-"""Near-duplicates by Order MinHash: sketches of least shingles in text order, verified by banded alignment.
+"""Near-duplicates by Order MinHash: sketches of least shingles in text order, verified by banded edit alignment.
 
 A text's shingles are all runs of SHINGLE words, each labelled with how often it stood there before. A sketch takes the
 TAKEN labelled shingles least under one hash order and keeps them in the order of the text, so it is sensitive to the
-order as edit similarity is. Two texts of similarity s share one sketch with probability near s ** TAKEN, one of
-SKETCHES with 1 - (1 - s ** TAKEN) ** SKETCHES: at 0.8 all but 6 in 100,000 of long texts, and all but 15 in 100,000 just
-above SHORT shingles, where the few are drawn without replacement. Texts of at most SHORT shingles are found exactly: each is
-bucketed by its rarest labelled shingles, as many as must hold one that a similar text has among its own rarest.
+order as edit similarity is. Two texts that share a part s of all their different shingles share one sketch with
+probability near s ** TAKEN, one of SKETCHES with 1 - (1 - s ** TAKEN) ** SKETCHES: all but 1 in 10**12 where s is 0.8, and
+95 % where s is 0.42, as it is with every tenth word changed. Texts of at most SHORT words are found exactly: each is bucketed
+by pairs of its rarest labelled words, as many as must hold a pair that a similar text has among its own.
 
-The similarity is of aligned shingles: with L the longest common subsequence of the two shingle sequences, L / (n + m - L).
+The similarity is that of the words: 1 - d / max(n, m), with d the edit distance of the two word sequences.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, bytes_of, cut, grams, lowered, mix, sliced, strings, words
+from .common import WHITE, bytes_of, cut, gathered, grams, lowered, mix, sliced, spread, strings, words
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TAKEN, SKETCHES = 6, 32
-#: Texts of at most so many shingles meet by their rarest shingles, without loss; longer ones by sketches.
-SHORT = 40
+TAKEN, SKETCHES = 3, 40
+#: Texts of at most so many words meet by pairs of their rarest words, without loss; longer ones by sketches.
+SHORT = 45
+#: Texts of fewer words have no other near-duplicates than copies.
+LEAST_WORDS = 4
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _WIDE = 1 << 16
-#: Shingles of a block of texts that are verified against another block at once.
-BLOCK = 1 << 14
+#: Texts of a block that is compared with another block at once.
+BLOCK = 256
+#: Bits of a text's signature: a power of two, near twelve for each word, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 11, 1 << 16
 
 
 def text_words(text: str) -> np.ndarray:
@@ -80,55 +85,60 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def aligned_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two shingle sequences if it is ``least`` or more, else 0.
+def edit_similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
+    """1 - d / max(n, m) of two word sequences with edit distance d, if it is ``least`` or more, else 0.
 
-    What both begin and end with is set aside; then a count of shared shingles bounds the rest, and a bit-parallel
-    longest common subsequence is taken over matches within the band that the similarity allows: two texts this similar
-    have at most d shingles out of line, so no match of their alignment lies more than d off the diagonal.
+    What both begin and end with is set aside; then a count of shared words bounds the rest, and a bit-parallel edit
+    distance is taken over matches within the band that the similarity allows: two texts this similar are at most d
+    words out of line.
     """
     n, m = len(x), len(y)
-    if not n or not m or min(n, m) < least * max(n, m):
+    size, longer = min(n, m), max(n, m)
+    most = int((1 - least) * longer + 1e-9)
+    if not size or longer - size > most:
         return 0.0
-    need = least * (n + m) / (1 + least) - 1e-9
-    band = int(n + m - 2 * need)
-    size = min(n, m)
     differ = np.flatnonzero(x[:size] != y[:size])
     head = int(differ[0]) if len(differ) else size
     size -= head
     differ = np.flatnonzero(x[n - size :][::-1] != y[m - size :][::-1])
     tail = int(differ[0]) if len(differ) else size
     a, b = x[head : n - tail], y[head : m - tail]
-    shared = head + tail
-    if shared + min(len(a), len(b)) < need:
-        return 0.0
+    distance = max(len(a), len(b))
     if len(a) and len(b):
         (u, nu), (v, nv) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
         _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-        if shared + int(np.minimum(nu[i], nv[j]).sum()) < need:
+        if distance - int(np.minimum(nu[i], nv[j]).sum()) > most:
             return 0.0
-        shared += _band_lcs(a.tolist(), b.tolist(), band)
-    return shared / (n + m - shared) if shared >= need else 0.0
+        distance = _band_distance(a.tolist(), b.tolist(), most)
+    return 1 - distance / longer if distance <= most else 0.0
 
 
-def _band_lcs(a: list[int], b: list[int], band: int) -> int:
+def _band_distance(a: list[int], b: list[int], band: int) -> int:
+    """Edit distance with matches at most ``band`` off the diagonal, exact up to ``band``: a column of differences as bits."""
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, window = full, (1 << 2 * band + 1) - 1
+    full, last, window = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << 2 * band + 1) - 1
+    up, down, distance = full, 0, len(a)
     for j, x in enumerate(b):
-        if here := places.get(x):
-            here &= row & (window << j - band if j >= band else window >> band - j)
-            if here:
-                row = (row + here | row - here) & full
-    return len(a) - row.bit_count()
+        same = places.get(x, 0)
+        if same:
+            same &= window << j - band if j >= band else window >> band - j
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        if more & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(same | down | more), more & (same | down)
+    return distance
 
 
 def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, sketches, labels`` of every row; the node is null for a text without words.
 
-    Texts of at most SHORT shingles have labels and no sketches, those that may be similar to one of them have both.
+    Texts of at most SHORT words have labelled words and no sketches, those that may be similar to one of them have both.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -138,9 +148,8 @@ def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             for text in strings(batch, "text"):
                 hashes = text_words(text)
                 nodes.append(text_node(hashes))
-                shingles = grams(hashes, SHINGLE)
-                found.append(sketches(shingles) if len(shingles) > SHORT else [])
-                short.append(labels(shingles).view(np.int64) if len(shingles) <= SHORT / least + 1e-9 else [])
+                found.append(sketches(grams(hashes, SHINGLE)) if len(hashes) > SHORT else [])
+                short.append(labels(hashes).view(np.int64) if LEAST_WORDS <= len(hashes) <= SHORT / least + 1e-9 else [])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(found, longs), pa.array(short, longs)], ["doc_id", "node", "sketches", "labels"])
 
@@ -148,97 +157,129 @@ def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def short_buckets(texts: DataFrame, least: float) -> DataFrame:
-    """``node, bucket`` of the texts with labels: the rarest labels of each, without those that no other text has.
+    """``node, bucket`` of the texts with labels: all pairs of each one's rarest labels that other texts have too.
 
-    Of n shingles a text of similarity ``least`` shares least * n or more, so of the rarest n - ceil(least * n) + 1 of either,
-    in one order for all texts, at least one is common to both.
+    Of n words a text of similarity ``least`` shares ceil(least * n) or more, so of the rarest n - ceil(least * n) + 2 of
+    either, in one order for all texts, at least two are common to both. These are 13 words at most, or 78 pairs.
     """
-    each = texts.select("node", F.explode("labels").alias("bucket"))
-    held = each.join(each.groupBy("bucket").agg(F.count("*").alias("texts")), "bucket")
-    ranked = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "bucket"))).alias("found"))
+    each = texts.select("node", F.explode("labels").alias("label"))
+    held = each.join(each.groupBy("label").agg(F.count("*").alias("texts")), "label")
+    ranked = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "label"))).alias("found"))
     n = F.size("found")
-    first = F.slice("found", 1, (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    return ranked.select("node", F.explode(first).alias("x")).filter(F.col("x.texts") > 1).select("node", F.col("x.bucket").alias("bucket"))
+    first = F.slice("found", 1, (n - F.ceil(n * F.lit(least) - F.lit(1e-9)) + 2).cast("int"))
+    own = F.transform(F.filter(first, lambda x: x["texts"] > 1), lambda x: x["label"])
+    pairs = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    return ranked.select("node", F.explode(pairs).alias("bucket"))
 
 
-def _verify(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b`` (nodes) whose texts are as similar as asked, with ``similarity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 64):
             x, y = batch.column("x"), batch.column("y")
-            sims = np.array([aligned_similarity(x[k].values.to_numpy(), y[k].values.to_numpy(), least) for k in range(batch.num_rows)])
+            sims = np.array([edit_similarity(x[k].values.to_numpy(), y[k].values.to_numpy(), least) for k in range(batch.num_rows)])
             keep = pa.array(np.flatnonzero(sims > 0))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep), pa.array(sims[sims > 0], pa.float64())], ["a", "b", "similarity"])
 
-    x = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    x = texts.select(F.col("node").alias("a"), F.col("words").alias("x"))
+    y = texts.select(F.col("node").alias("b"), F.col("words").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def block_links(outside: list[tuple], members: list[tuple], least: float = SIMILARITY) -> list[tuple[int, int, float]]:
-    """Links between texts of two blocks that lie in different components: ``(a, b, similarity)``.
+def signature(words_of: np.ndarray) -> bytes:
+    """A bit for each of a text's words, labelled with how often it stood there before."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (12 * len(words_of) - 1).bit_length()))
+    marked = np.zeros(bits, bool)
+    marked[(labels(words_of.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marked).tobytes()
+
+
+def _folded(marks: list[bytes], size: int) -> np.ndarray:
+    """Signatures as rows of 64-bit numbers, the longer ones folded to ``size`` bytes."""
+    rows = []
+    for x in marks:
+        row = np.frombuffer(x, np.uint64)
+        while len(row) * 8 > size:
+            row = row[: len(row) // 2] | row[len(row) // 2 :]
+        rows.append(row)
+    return np.stack(rows)
+
 
-    A text is ``(node, root, in the largest component, shingles)``. How many of a member's shingles a text has bounds
-    their similarity and is counted for the whole block at once; only pairs within the bound are aligned. Two texts
-    outside the largest component meet twice and are looked at once.
+def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMILARITY, best: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """Pairs of two blocks' texts in different components that lengths and signatures allow to be similar.
+
+    A text is ``(node, root, in the largest component, words, signature)``, a pair ``(a, b, text, root of the other,
+    common)``. No more words are common to two texts than bits, and words of the one whose bit another has too. Two texts
+    outside the largest component meet twice and are given once. With ``best`` each text has one pair a component.
     """
     if not outside or not members:
         return []
-    sizes = np.array([len(m[3]) for m in members])
-    flat, firsts = np.concatenate([m[3] for m in members]), np.cumsum(sizes) - sizes
+    nodes, roots, largest, sizes = (np.array(x) for x in list(zip(*members, strict=True))[:4])
+    length = min(len(x[4]) for x in (*outside, *members))
+    theirs, mine = _folded([x[4] for x in members], length), _folded([x[4] for x in outside], length)
+    spare = sizes - np.bitwise_count(theirs).sum(axis=1, dtype=np.int64)
     out = []
-    for node, root, _, own in outside:
-        known = np.unique(own)
-        at = np.searchsorted(known, flat)
-        at[at == len(known)] = 0
-        shared = np.add.reduceat((known[at] == flat).astype(np.int64), firsts)
-        near = (shared >= least * (len(own) + sizes) / (1 + least) - 1e-9) & (np.minimum(sizes, len(own)) >= least * np.maximum(sizes, len(own)))
-        for k in np.flatnonzero(near).tolist():
-            other, other_root, largest, theirs = members[k]
-            if other_root != root and (largest or node < other):
-                if sim := aligned_similarity(own, theirs, least):
-                    out.append((min(node, other), max(node, other), sim))
+    for (node, root, _, size, _), own in zip(outside, mine, strict=True):
+        most = np.maximum(sizes, size) * (1 - least) + 1e-9
+        at = np.flatnonzero((roots != root) & (largest | (node < nodes)) & (np.abs(sizes - size) <= most))
+        if not len(at):
+            continue
+        common = np.bitwise_count(theirs[at] & own).sum(axis=1, dtype=np.int64)
+        common += np.minimum(spare[at], size - int(np.bitwise_count(own).sum()))
+        near = np.maximum(sizes[at], size) - common <= most[at]
+        at, common = at[near], common[near]
+        if best and len(at):
+            order = np.lexsort((nodes[at], -common, roots[at]))
+            first = np.append(True, roots[at[order[1:]]] != roots[at[order[:-1]]])
+            at, common = at[order[first]], common[order[first]]
+        out += [(min(node, b), max(node, b), node, r, c) for b, r, c in zip(nodes[at].tolist(), roots[at].tolist(), common.tolist(), strict=True)]
     return out
 
 
-def _verify_blocks(placed: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """Links between different components within each bucket of ``placed`` (``bucket, node, root, largest``).
+def _block_pairs(placed: DataFrame, texts: DataFrame, least: float, best: bool) -> DataFrame:
+    """Pairs ``a, b`` between different components within each bucket of ``placed`` (``bucket, node, root, largest``).
 
-    A bucket's texts are dealt into blocks of about BLOCK shingles, and those outside the largest component into blocks of
-    their own; each pair of blocks is a row, so the rows are far fewer than the pairs and none is unbounded.
+    A bucket's texts are dealt by length into classes, of which only neighbours hold texts that may be similar, and these
+    into blocks of about BLOCK texts; those outside the largest component are dealt into blocks of their own. Each pair of
+    blocks is a row of signatures, so the rows are far fewer than the pairs and none is unbounded; no text travels here.
+    With ``best`` each text outside a bucket's largest component has one pair with every other component.
     """
-    # Blocks are dealt on light rows; the shingles join last, once for each side.
-    light = placed.join(shingles.select("node", F.size("shingles").alias("_size")), "node").withColumn("_in", F.col("root") == F.col("largest"))
-    out_size = F.sum(F.when(~F.col("_in"), F.col("_size")).otherwise(0))
-    sizes = light.groupBy("bucket").agg(F.ceil(F.sum("_size") / BLOCK).alias("_blocks"), F.ceil(out_size / BLOCK).alias("_out_blocks"))
-    light = cut(light.join(sizes, "bucket"))
-    entry = F.struct("node", "root", F.col("_in").alias("largest"), "shingles")
+    size_class = F.floor(F.log(F.col("size")) / math.log(1 / least) + 1e-9).cast("int").alias("class")
+    signed = texts.select("node", "size", "signature")
+    light = placed.join(texts.select("node", size_class), "node").withColumn("_in", F.col("root") == F.col("largest"))
+    parts = gathered(light, ["bucket", "class"], "node", ["node", "root", "_in"], math.isqrt(placed.count()) + 1)
+    outs = F.sum(F.size(F.filter("_rows", lambda x: ~x["_in"])))
+    sizes = parts.groupBy("bucket", "class").agg(F.ceil(F.sum(F.size("_rows")) / BLOCK).alias("_blocks"), F.ceil(outs / BLOCK).alias("_out_blocks"))
+    light = cut(spread(parts.join(sizes, ["bucket", "class"])))
+    entry = F.struct("node", "root", F.col("_in").alias("largest"), "size", "signature")
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
-    members = light.select("bucket", "node", "root", "_in", block("_blocks").alias("block")).join(shingles, "node").groupBy("bucket", "block").agg(F.collect_list(entry).alias("members"))
-    out_rows = light.filter(~F.col("_in")).select("bucket", "node", "root", "_in", "_blocks", block("_out_blocks").alias("_block"))
-    outside = out_rows.join(shingles, "node").groupBy("bucket", "_blocks", "_block").agg(F.collect_list(entry).alias("outside"))
-    # Sent to each of the bucket's blocks by name, so that the pairs of one bucket are spread over many tasks.
-    sent = outside.select("bucket", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("block"))
+    members = light.select("bucket", "class", "node", "root", "_in", block("_blocks").alias("block")).join(signed, "node").groupBy("bucket", "class", "block").agg(F.collect_list(entry).alias("members"))
+    out_rows = light.filter(~F.col("_in")).select("bucket", "class", "node", "root", "_in", block("_out_blocks").alias("_block"))
+    outside = out_rows.join(signed, "node").groupBy("bucket", "class", "_block").agg(F.collect_list(entry).alias("outside"))
+    # Sent to each block of the bucket's like lengths by name, so that the pairs of one bucket are spread over many tasks.
+    counts = light.select("bucket", "class", "_blocks").distinct()
+    sent = outside.select("bucket", "outside", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class")).join(counts, ["bucket", "class"])
+    sent = sent.select("bucket", "class", "outside", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(column: pa.Array, k: int) -> list[tuple]:
             x = column[k].values
-            node, root, largest = (x.field(i).to_pylist() for i in range(3))
-            lists = x.field(3)
-            return [(node[j], root[j], largest[j], lists[j].values.to_numpy()) for j in range(len(x))]
+            return list(zip(*(x.field(i).to_pylist() for i in range(5)), strict=True))
 
         for batch in batches:
-            links = [link for k in range(batch.num_rows) for link in block_links(read(batch.column("outside"), k), read(batch.column("members"), k), least)]
-            a, b, sims = zip(*links, strict=True) if links else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            found = [pair for k in range(batch.num_rows) for pair in block_pairs(read(batch.column("outside"), k), read(batch.column("members"), k), least, best)]
+            columns = zip(*found, strict=True) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "text", "root", "common"])
 
-    pairs = sent.join(members, ["bucket", "block"])
-    return pairs.select("outside", "members").mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
+    pairs = sent.join(members, ["bucket", "class", "block"]).select("outside", "members").mapInArrow(run, "a bigint, b bigint, text bigint, root bigint, common bigint")
+    if best:
+        pairs = pairs.groupBy("text", "root").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("_pair")).select("_pair.a", "_pair.b")
+    return pairs.select("a", "b").distinct()
 
 
-def _shingles_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, shingles`` (32-bit) of the given nodes, each from one of its documents."""
+def _words_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, size, words (32-bit), signature`` of the given nodes, each from one of its documents."""
     first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,71 +288,94 @@ def _shingles_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
             nodes = batch.column("node").to_pylist()
             # A repeated doc_id brings other texts too.
             keep = [k for k, (h, node) in enumerate(zip(hashes, nodes, strict=True)) if text_node(h) == node]
-            found = [grams(hashes[k], SHINGLE).astype(np.uint32).view(np.int32) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in keep], pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["node", "shingles"])
+            found = [hashes[k].astype(np.uint32).view(np.int32) for k in keep]
+            columns = [pa.array([nodes[k] for k in keep], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array([signature(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "words", "signature"])
 
-    return docs.select("doc_id", "text").join(first, "doc_id").mapInArrow(run, "node bigint, shingles array<int>").dropDuplicates(["node"])
+    return docs.select("doc_id", "text").join(first, "doc_id").mapInArrow(run, "node bigint, size int, words array<int>, signature binary").dropDuplicates(["node"])
 
 
 def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links ``a, b, similarity`` that join all different texts which candidates and verification bring together.
 
-    Texts that share a sketch, or short ones that share one of their rarest shingles, are candidates. First each text of a bucket is verified against the bucket's two leaders,
-    its least and greatest node, so that a bucket costs two pairs a text. Then the components so found are looked at
-    again: in a bucket with more than one, the texts outside the largest are verified, block by block, against all texts of
-    other components. Pairs within one component need no verifying, so no link between components is lost and a bucket
-    of thousands of copies is never paired with itself.
+    Texts that share a sketch, or short ones that share a pair of their rarest words, are candidates. First each text of
+    a bucket is verified against the bucket's two leaders, its least and greatest node, so that a bucket costs two pairs a
+    text. Then the components so found are looked at again: in a bucket with more than one, the texts outside the largest
+    are compared, block by block, with all texts of other components by length and signature. Of what passes, first the
+    best pair of each text and component is verified, then all that still lies in different components. Pairs within one
+    component need no verifying, so no link between components is lost and a bucket of thousands of copies is never paired
+    with itself.
     """
     texts = rows.filter(F.size("sketches") > 0).select("node", "sketches").dropDuplicates(["node"])
     short = rows.filter(F.size("labels") > 0).select("node", "labels").dropDuplicates(["node"])
-    buckets = texts.select("node", F.explode("sketches").alias("bucket")).union(cut(short_buckets(short, least)))
-    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") < F.col("high"))
-    shared = cut(buckets.join(leaders, "bucket"))  # rows of buckets with two texts or more
+    buckets = texts.select("node", F.explode("sketches").alias("bucket")).union(short_buckets(short, least))
+    salts = math.isqrt(SKETCHES * rows.count()) + 1
+    parts = gathered(buckets, ["bucket"], "node", ["node"], salts)
+    ends = parts.groupBy("bucket").agg(F.min(F.array_min("_rows.node")).alias("low"), F.max(F.array_max("_rows.node")).alias("high"))
+    shared = cut(spread(parts.join(ends.filter(F.col("low") < F.col("high")), "bucket")))  # rows of buckets with two texts or more
     to_leader = F.explode(F.array("low", "high")).alias("leader")
     pairs = shared.select("node", to_leader).filter(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    pairs = cut(pairs)
     members = shared.select("node").distinct()
-    shingles = cut(_shingles_of(members, rows, docs))
-    links = cut(_verify(pairs, shingles, least))
-    roots = components(links)
-    placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter(F.col("roots") > 1).select("bucket", "largest")
-    return links.union(cut(_verify_blocks(placed.join(mixed, "bucket"), shingles, least)))
+    texts = cut(_words_of(members, rows, docs))
+    links = cut(_verify(pairs, texts, least))
+    known = links.select("a", "b")
+    for best in (True, False):
+        roots = components(known)
+        placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"))
+        mixed = mixed.filter(F.col("roots") > 1).select("bucket", "largest")
+        placed = cut(spread(gathered(placed, ["bucket"], "node", ["node", "root"], salts).join(mixed, "bucket")))
+        more = cut(_verify(_block_pairs(placed, texts, least, best), texts, least))
+        links = links.union(more)
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
+    return links
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    while name.lower() in {x.lower() for x in df.columns}:
+        name += "_"
+    return name
 
 
 def group(docs: DataFrame, least: float = SIMILARITY, rows: DataFrame | None = None) -> DataFrame:
-    """The near-duplicate class of every row: ``doc_id, class_id, class_size, n_links, keep``.
+    """The near-duplicate class of every row: ``doc_id, class_id, class_size, keep``.
 
-    ``class_id`` is the least doc_id of the class, ``keep`` marks that document's row, ``n_links`` counts the text's own
-    verified links to other texts, which are part of all its near-duplicates: as many as put the class together. Exact copies (equal words in any case and spacing) are one text; texts of fewer than
-    SHINGLE words have no other near-duplicates than copies. A null text or one without words is a class of its own, as
-    is a row with a null doc_id (its class_id is null, and it is kept). Repeated rows are copies. An empty table gives
-    no row.
+    ``class_id`` is the least doc_id of the class, ``keep`` marks that document's row. Exact copies (equal words in any
+    case and spacing) are one text; texts of fewer than LEAST_WORDS words have no other near-duplicates than copies. A null
+    text or one without words is a class of its own, as is a row with a null doc_id (its class_id is null, and it is
+    kept, as no id could name it). Repeated rows are copies. Very long texts are taken whole. An empty table gives no row.
+    Extra columns, whatever their names, play no part.
     """
     rows = cut(sketched(docs, least)) if rows is None else rows
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    links = find_links(docs, named, least)
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    roots = components(find_links(docs, named, least))
     # Counted by text before classes are put together, so copies are summed where they lie.
-    texts = named.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")).join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = named.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_rows")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = texts.groupBy("root").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("class_size"))
-    of_text = texts.join(classes, "root").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = rows.select("doc_id", "node").join(of_text, "node", "left")
-    own = F.col("class_size").isNull()
+    of_text = texts.join(classes, "root").select("node", "class_id", "class_size")
+    # A row without a text or an id has no partner; each has a key of its own, so that none of them gather.
+    none = F.col("node").isNull() | F.col("doc_id").isNull()
+    keyed = rows.select("doc_id", "node", F.when(none, F.monotonically_increasing_id()).otherwise(F.col("node")).alias("_key"), none.alias("_none"))
+    found = keyed.join(of_text.withColumnRenamed("node", "_key"), "_key", "left")
+    own = F.col("_none") | F.col("class_size").isNull()
     return found.select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(own, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         (own | (F.col("doc_id") == F.col("class_id"))).alias("keep"),
         "node",
     )
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each near-duplicate class, with all its columns: the one with the least doc_id."""
+    """One document of each near-duplicate class, with all its columns: the one with the least doc_id.
+
+    Rows with a null doc_id are all kept. Of a repeated doc_id the rows are told apart by their text, and of equal rows
+    one is kept. Null and empty texts are kept, very long ones taken whole; an empty table gives none. Extra columns,
+    whatever their names, stay as they are.
+    """
     rows = cut(sketched(docs, least))
     found = cut(group(docs, least, rows))
     repeated = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("doc_id")
@@ -322,13 +386,14 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Rows whose doc_id stands there more than once are told apart by their text.
     schema = docs.schema
     names = schema.names
+    node, by_id, by_node = (_fresh(docs, x) for x in ("_node", "_id", "_kept"))
 
     def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             nodes = [text_node(text_words(x)) for x in strings(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], schema=batch.schema.append(pa.field("_node", pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], schema=batch.schema.append(pa.field(node, pa.int64())))
 
-    several = docs.join(repeated, "doc_id", "left_semi").select(*names).mapInArrow(with_node, T.StructType([*schema.fields, T.StructField("_node", T.LongType())]))
-    kept = found.filter("keep").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("node").alias("_kept")).distinct()
-    several = several.join(kept, (F.col("_id") == F.col("doc_id")) & F.col("_node").eqNullSafe(F.col("_kept"))).dropDuplicates(["doc_id", "_node"])
+    several = docs.join(repeated, "doc_id", "left_semi").select(*names).mapInArrow(with_node, T.StructType([*schema.fields, T.StructField(node, T.LongType())]))
+    kept = found.filter("keep").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias(by_id), F.col("node").alias(by_node)).distinct()
+    several = several.join(kept, (F.col(by_id) == F.col("doc_id")) & F.col(node).eqNullSafe(F.col(by_node))).dropDuplicates(["doc_id", node])
     return single.union(several.select(*names))
