@@ -1,17 +1,20 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and an incremental decoder.
 
 A token sequence is the encoding of its bytes exactly if every two neighbours are what their joined bytes encode to, so
-each prefix of a piece has one last token, found from the last tokens of shorter prefixes. A token is stable, and is
-emitted, once every end that the next bytes could build on traces back to it; what waits is bounded by the merge
-list's lookahead, not by the piece.
+only one token can end at a place, and a way through the piece is its encoding. A token is stable, and is emitted, once
+the merge list's sufficient lookahead of bytes has come after it; what waits is bounded by that lookahead, not by the
+piece. Every piece goes this way; a cache in front holds what the transducer gave for short pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import codecs
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,7 +27,9 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_S
 #: Before such a space a piece always begins.
 SAFE_CUT = regex.compile(r"(?<=[^\p{White_Space}])\x20(?=[^\p{White_Space}])")
 CHUNK = 1 << 16
-CACHE = 200_000
+#: Characters of a piece that come to the transducer at once; longest piece, and number of pieces, that are cached.
+BLOCK = 1 << 12
+CACHED, CACHE = 64, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,12 +61,37 @@ class Transducer:
         self.made = {self.id_of[a + b]: (k, self.id_of[a], self.id_of[b]) for (a, b), k in self.rank.items()}
         self._edges: tuple[dict, dict] = ({}, {})
         self._fits: dict[int, bool] = {}
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._cache: dict[str, list[int]] = {}
 
-    @property
+    @functools.cached_property
+    def chain(self) -> int:
+        """How many tokens what follows can change: the longest chain of rules by which a difference goes to the left.
+
+        Merges go by rank. Of two continuations of the same bytes, the difference reaches one token x further left only by
+        a rule (x, y) whose y stands in one of them alone. It then begins at x, so the next rule further left has a
+        right part that begins with x (x is among the parts at its left edge), and a higher rank.
+        """
+        reach: dict[int, int] = {}
+        longest = 0
+        for pair in sorted(self.rule, key=self.rule.__getitem__):
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            n = 1 + max(reach.get(part, 0) for part, _ in self.edge(right, 0))
+            reach[left] = max(reach.get(left, 0), n)
+            longest = max(longest, n)
+        return longest
+
+    @functools.cached_property
     def lookahead(self) -> int:
-        """A number of bytes after which a token can't change any more: the rules in the list times the longest token."""
-        return len(self.rank) * self.longest
+        """The bytes after a token from which on nothing can change it any more: those of the chain's tokens."""
+        return self.chain * self.longest
+
+    @functools.cached_property
+    def reach(self) -> dict[bytes, int]:
+        """The length of the longest token that begins with each three bytes that any token begins with."""
+        out: dict[bytes, int] = {}
+        for token in self.id_of:
+            out[token[:3]] = max(out.get(token[:3], 0), len(token))
+        return out
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The merge list applied as it is defined: the best-ranked pair first, the leftmost of equals. For short pieces."""
@@ -119,75 +149,50 @@ class Transducer:
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that comes in blocks of bytes, each as soon as it is stable."""
-        held, begins, ids, block_size = b"", [0], [-1], 2 * self.longest  # of each prefix of held: its last token's begin and id
+        held, before = b"", -1
         for block in data:
-            for k in range(0, len(block), block_size):
-                held += block[k : k + block_size]
-                self._extend(held, begins, ids)
-                if len(held) >= 2 * block_size:
-                    cut = self._stable(begins)
-                    yield from self._trace(begins, ids, cut)
-                    # What comes next must fit the last token given out, so that token's id stays at the front.
-                    held, begins, ids = held[cut:], [0, *(x - cut for x in begins[cut + 1 :])], ids[cut:]
-        yield from self._trace(begins, ids, len(held))
-
-    def _extend(self, held: bytes, begins: list[int], ids: list[int]) -> None:
-        get, fits, longest = self.id_of.get, self.fits, self.longest
-        for end in range(len(ids), len(held) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = get(held[begin:end])
-                if token is not None and (ids[begin] < 0 or fits(ids[begin], token)):
-                    begins.append(begin)
-                    ids.append(token)
-                    break
-            else:
-                raise ValueError("a byte without a token")
-
-    def _stable(self, begins: list[int]) -> int:
-        """The furthest end that every way on from here goes through."""
-        ends = set(range(max(0, len(begins) - self.longest), len(begins)))
-        while len(ends) > 1:
-            top = max(ends)
-            ends.remove(top)
-            ends.add(begins[top])
-        return ends.pop()
-
-    def _trace(self, begins: list[int], ids: list[int], end: int) -> list[int]:
-        out = []
-        while end:
-            out.append(ids[end])
-            end = begins[end]
-        return out[::-1]
-
-    def _short(self, data: bytes) -> list[int]:
-        """A short piece by the longest next token that fits, going back where none does.
-
-        A way that gets to the end is the encoding, as all neighbours fit. Only one token can end at a place, so a place
-        from which there is no way on is never tried again.
+            held += block
+            if len(held) >= 2 * self.lookahead:
+                out, ends = self._way(held, before)
+                stable = bisect.bisect_right(ends, len(held) - self.lookahead)
+                if stable:
+                    yield from out[:stable]
+                    held, before = held[ends[stable - 1] :], out[stable - 1]
+        yield from self._way(held, before)[0]
+
+    def _way(self, held: bytes, before: int) -> tuple[list[int], list[int]]:
+        """The tokens of what is held after the token ``before``, and where each ends.
+
+        By the longest next token that fits, going back where none does. A way that gets to the end is the encoding, as
+        all neighbours fit. Only one token can end at a place, so a place from which there is no way on is never tried
+        again.
         """
-        get, known, fits = self.id_of.get, self._fits.get, self.fits
-        size = furthest = len(data)
-        ends, out, dead = [0], [-1], set()
-        while ends[-1] < size:
-            begin, before = ends[-1], out[-1]
-            for end in range(furthest, begin, -1):
-                token = get(data[begin:end])
+        get, known, fits, reach = self.id_of.get, self._fits.get, self.fits, self.reach.get
+        size = len(held)
+        ends, out, dead = [0], [before], set()
+        begin, furthest = 0, size
+        while begin < size:
+            far = begin + reach(held[begin : begin + 3], 2)
+            for end in range(far if far < furthest else furthest, begin, -1):
+                token = get(held[begin:end])
                 if token is not None and end not in dead:
                     fit = before < 0 or known(before << 32 | token)
                     if fit or fit is None and fits(before, token):
                         ends.append(end)
                         out.append(token)
-                        furthest = size
+                        begin, before, furthest = end, token, size
                         break
             else:
+                if not begin:
+                    raise ValueError("a byte without a token")
                 dead.add(begin)
                 furthest = ends.pop() - 1
                 out.pop()
-        return out[1:]
+                begin, before = ends[-1], out[-1]
+        return out[1:], ends[1:]
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        data = text.encode("utf-8", "replace")
-        return tuple(self._short(data) if len(data) <= 64 else self.stream([data]))
+    def piece(self, text: str) -> Iterator[int]:
+        return self.stream(text[k : k + BLOCK].encode("utf-8", "replace") for k in range(0, len(text), BLOCK))
 
     def chunks(self, text: str) -> Iterator[str]:
         """The text in chunks that begin where a piece begins."""
@@ -198,37 +203,55 @@ class Transducer:
             yield text[begin:end]
             begin = end
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the whole text; special tokens' strings in it become their ids."""
-        out: list[int] = []
+    def encoded(self, text: str) -> Iterator[list[int]]:
+        """Ids of the whole text in lists of bounded length; special tokens' strings in it become their ids."""
         begin = 0
         for m in self.by_special.finditer(text) if self.by_special else ():
-            out += self._plain(text[begin : m.start()])
-            out.append(self.special[m[0]])
+            yield from self._plain(text[begin : m.start()])
+            yield [self.special[m[0]]]
             begin = m.end()
-        return out + self._plain(text[begin:]) if begin else self._plain(text)
+        yield from self._plain(text[begin:] if begin else text)
 
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.encoded(text)))
+
+    def _plain(self, text: str) -> Iterator[list[int]]:
         cache = self._cache
         for part in self.chunks(text):
-            for p in SPLIT.findall(part):
+            out: list[int] = []
+            # Where no space lets a text be cut, its pieces are taken one by one.
+            for p in SPLIT.findall(part) if len(part) <= 2 * CHUNK else (m[0] for m in SPLIT.finditer(part)):
                 ids = cache.get(p)
-                if ids is None:
-                    ids = self.piece(p)
-                    if len(p) <= 64:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[p] = ids
-                out.extend(ids)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+                if ids is not None:
+                    out.extend(ids)
+                elif len(p) <= CACHED:
+                    if len(cache) >= CACHE:
+                        cache.clear()
+                    # No longer than the lookahead, so the transducer has it all at once.
+                    cache[p] = ids = self._way(p.encode("utf-8", "replace"), -1)[0]
+                    out.extend(ids)
+                else:
+                    for token in self.piece(p):
+                        out.append(token)
+                        if len(out) >= CHUNK:
+                            yield out
+                            out = []
+                if len(out) >= CHUNK:
+                    yield out
+                    out = []
+            if out:
+                yield out
+
+    def decoded(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """The text of the ids, special tokens kept, by a byte-to-text state machine that goes on across tokens."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         get = self.bytes_of.__getitem__
-        out = [machine.decode(b"".join(map(get, ids[k : k + 4096]))) for k in range(0, len(ids), 4096)]
-        return "".join([*out, machine.decode(b"", final=True)])
+        for part in ids:
+            yield machine.decode(b"".join(map(get, part)))
+        yield machine.decode(b"", final=True)
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(self.decoded([ids]))
 
 
 _LOADED: dict[str, Transducer] = {}
@@ -250,26 +273,41 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def encode_decode(docs: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
     """Encode every row's whole text and decode it again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    With ``keep`` also ``ids`` and ``decoded``. A null text is the empty one: no tokens, hashes of the empty text. Texts
-    are handled alone, so repeated rows give repeated rows and an empty table none. ``path`` is read on the executors;
-    by default it is the installed vocabulary file.
+    With ``keep`` also ``ids`` and ``decoded``. A null text is the empty one: no tokens, hashes of the empty text. Of a
+    very long text only a bounded number of ids is held at once (all with ``keep``). Texts are handled alone, so repeated
+    rows give repeated rows, a null doc_id stays null, and an empty table gives none; there are no ties. Extra columns,
+    whatever their names, play no part. ``path`` is read on the executors; by default it is the installed vocabulary file.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(path or vocabulary())
-        sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
         for batch in sliced(batches, 256):
             n, hashes, again, kept, texts = [], [], [], [], []
             for text in strings(batch, "text"):
-                ids = coder.encode(text)
-                decoded = coder.decode(ids)
-                n.append(len(ids))
-                hashes.append(sha(",".join(map(coder.text_of.__getitem__, ids))))
-                again.append(sha(decoded))
+                count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+                all_ids: list[int] = []
+                parts: list[str] = []
+
+                def counted(text=text, of_ids=of_ids, all_ids=all_ids) -> Iterator[list[int]]:
+                    nonlocal count
+                    for ids in coder.encoded(text):
+                        of_ids.update(("," * (count > 0) + ",".join(map(coder.text_of.__getitem__, ids))).encode())
+                        count += len(ids)
+                        if keep:
+                            all_ids.extend(ids)
+                        yield ids
+
+                for part in coder.decoded(counted()):
+                    of_text.update(part.encode("utf-8", "replace"))
+                    if keep:
+                        parts.append(part)
+                n.append(count)
+                hashes.append(of_ids.hexdigest())
+                again.append(of_text.hexdigest())
                 if keep:
-                    kept.append(ids)
-                    texts.append(decoded)
+                    kept.append(all_ids)
+                    texts.append("".join(parts))
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(again, pa.string())]
             if keep:
                 columns += [pa.array(kept, pa.list_(pa.int32())), pa.array(texts, pa.string())]

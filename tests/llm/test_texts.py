@@ -177,13 +177,40 @@ def test_bpe_streams_as_it_does_whole(both):
         assert list(mine.stream(blocks)) == list(mine.stream([data]))
     stream = mine.stream(iter([b"ab" * 2000, b"cd"]))
     assert next(stream) in mine.bytes_of  # given out before the piece has ended
-    assert mine.lookahead == len(mine.rank) * mine.longest
+
+
+def test_tokens_are_stable_after_the_lookahead():
+    """All texts over a small merge list: what lies the lookahead before the end stays, whatever comes; a shorter one doesn't do."""
+    mine = bpe.Transducer.__new__(bpe.Transducer)
+    merges = [("b", "c"), ("a", "b"), ("a", "a"), ("aa", "bc"), ("c", "ab"), ("bc", "a")]
+    names = [*"abc", *dict.fromkeys(a + b for a, b in merges)]
+    mine.id_of = {x.encode(): k for k, x in enumerate(names)}
+    mine.bytes_of = {k: x for x, k in mine.id_of.items()}
+    mine.rank = {(a.encode(), b.encode()): k for k, (a, b) in enumerate(merges)}
+    mine.rule = {mine.id_of[a] << 32 | mine.id_of[b]: k for (a, b), k in mine.rank.items()}
+    mine.made = {mine.id_of[a + b]: (k, mine.id_of[a], mine.id_of[b]) for (a, b), k in mine.rank.items()}
+    mine.longest, mine._edges, mine._fits = 4, ({}, {}), {}
+    assert 1 < mine.chain <= len(merges)
+    changed = 0
+    for k in range(3**9):
+        text = "".join("abc"[k // 3**i % 3] for i in range(9)).encode()
+        ids = [mine.id_of[x] for x in mine.merge(text)]
+        assert list(mine.stream([text[:4], text[4:]])) == ids
+        for size in range(1, 9):
+            ends, shorter = np.cumsum([len(mine.bytes_of[x]) for x in ids]), mine.merge(text[:size])
+            before = np.cumsum([len(x) for x in shorter])
+            differ = next((i for i, (x, y) in enumerate(zip(ends, before)) if x != y), None)
+            if differ is not None and differ < len(shorter):
+                tokens_after = len(shorter) - differ
+                changed = max(changed, tokens_after)
+                assert tokens_after <= mine.chain
+    assert changed > 1
 
 
 def test_every_token_is_its_own_encoding_and_fits_are_what_merging_gives(both):
     mine, _ = both
     tokens = list(mine.id_of.items())
-    assert all(mine._short(b) == [i] for b, i in tokens[::7] if len(b) <= 64)
+    assert all(list(mine.stream([b])) == [i] for b, i in tokens[::7])
     r = random.Random(2)
     for _ in range(3000):
         (a, i), (b, j) = r.choice(tokens), r.choice(tokens)
@@ -206,13 +233,14 @@ def test_decoder_goes_on_across_tokens(both):
 
 
 def test_bpe_query_edges(docs):
-    df = docs([None, "", "hello world", "x" * 300_000])
+    df = docs([None, "", "hello world", "x" * 300_000, (None, "no id")])
     rows = {r.doc_id: r for r in bpe.encode_decode(df, keep=True).collect()}
+    assert rows[None].n_tokens == 2
     empty = hashlib.sha256(b"").hexdigest()
     assert (rows[0].n_tokens, rows[0].ids_sha256, rows[0].decoded_sha256) == (0, empty, empty)
     assert rows[2].decoded == "hello world" and rows[2].ids_sha256 == hashlib.sha256(",".join(map(str, rows[2].ids)).encode()).hexdigest()
     assert rows[3].decoded_sha256 == hashlib.sha256(b"x" * 300_000).hexdigest()
-    assert bpe.encode_decode(df.limit(0)).count() == 0 and bpe.encode_decode(df.union(df)).count() == 8
+    assert bpe.encode_decode(df.limit(0)).count() == 0 and bpe.encode_decode(df.union(df)).count() == 10
 
 
 # Languages
