@@ -13,7 +13,8 @@ from .common import fold, sliced, strings
 
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 1000
+#: Languages whose sums are held at once.
+BLOCK = 64
 UNDETERMINED = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _LETTERS: list[np.ndarray] = []
@@ -65,7 +66,8 @@ def learn(docs: DataFrame, modulus: int = 5, held: int = 0) -> tuple[list[str],
 
     Learned from every row with a text and a language whose crc32(doc_id) modulo ``modulus`` is not ``held`` (a null
     doc_id is not learned from). Each task counts n-grams by language in a dense matrix; Spark sums these. What the
-    driver gets is bounded by MAX_LANGUAGES x BUCKETS. With nothing to learn from there are no languages.
+    driver gets is one number a bucket and language, so it is bounded by the languages that ``lang`` names, not by the
+    documents. With nothing to learn from there are no languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +92,12 @@ def learn(docs: DataFrame, modulus: int = 5, held: int = 0) -> tuple[list[str],
         .mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
-        .limit(MAX_LANGUAGES * (BUCKETS + 1) + 1)
         .toArrow()
         .to_pandas()
     )
-    if rows.lang.nunique() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(set(rows.lang))
     counts = np.zeros((BUCKETS + 1, len(langs)))
-    counts[rows.bucket.to_numpy(int), rows.lang.map(langs.index).to_numpy(int)] = rows.n.to_numpy()
+    counts[rows.bucket.to_numpy(int), rows.lang.map({x: k for k, x in enumerate(langs)}).to_numpy(int)] = rows.n.to_numpy()
     matrix = np.log(counts[:BUCKETS] + 0.5) - np.log(counts[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS)
     return langs, np.vstack([matrix, np.log((counts[BUCKETS:] + 1) / (counts[BUCKETS:].sum() + len(langs)))])
 
@@ -108,11 +107,16 @@ def predict(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple[lis
     if not langs:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     buckets, of = gram_buckets(texts)
-    sums = np.stack([np.bincount(of, matrix[buckets, k], minlength=len(texts)) + matrix[BUCKETS, k] for k in range(len(langs))], axis=1)
     known = np.bincount(of, minlength=len(texts)) > 0
-    best = sums.argmax(axis=1)
-    top = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-    return [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, top, 0.0)
+    best, top, total = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+    for first in range(0, len(langs), BLOCK):
+        block = range(first, min(first + BLOCK, len(langs)))
+        sums = np.stack([np.bincount(of, matrix[buckets, k], minlength=len(texts)) + matrix[BUCKETS, k] for k in block], axis=1)
+        high = np.maximum(top, sums.max(axis=1))
+        total = total * np.exp(top - high) + np.exp(sums - high[:, None]).sum(axis=1)
+        better = sums.max(axis=1) > top
+        best[better], top = first + sums.argmax(axis=1)[better], high
+    return [langs[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, 1 / total, 0.0)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, modulus: int = 5, held: int = 0) -> DataFrame:
@@ -120,7 +124,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
     ``score`` is the posterior of the predicted language (0 to 1). A null text or one without a letter is ``und`` with
     score 0, as is every text if there was nothing to learn from. Languages with equal posterior: the first by name. A
-    null doc_id has ``held_out`` false. Repeated rows give repeated rows; an empty table gives none.
+    null doc_id has ``held_out`` false. Very long texts are taken whole. Repeated rows give repeated rows; an empty table
+    gives none. Extra columns, whatever their names, play no part.
     """
     langs, matrix = model or learn(docs, modulus, held)
     shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
@@ -136,7 +141,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
 
 def keep(docs: DataFrame, min_score: float = 0.5, modulus: int = 5, held: int = 0) -> DataFrame:
-    """The rows whose language is told with ``min_score`` or more, all columns as they are; ``und`` rows go."""
+    """The rows whose language is told with ``min_score`` or more, all columns as they are; ``und`` rows go.
+
+    A null doc_id or repeated rows change nothing; null and empty texts go; an empty table gives none.
+    """
     langs, matrix = learn(docs, modulus, held)
     shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
 

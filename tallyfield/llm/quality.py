@@ -90,12 +90,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "terms", "weights"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # The chosen ids are MAX_LABELLED at most.
+    # The chosen ids are MAX_LABELLED at most. Of a repeated one the text with the least hash counts.
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .mapInArrow(vectors, f"doc_id {kind}, label double, terms array<bigint>, weights array<double>")
-        .dropDuplicates(["doc_id"])
         .orderBy("doc_id")
         .collect()
     )
@@ -117,14 +118,19 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
 
 def vote(sims: np.ndarray, labels: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Mean label of each row's k nearest, weighted by cosine (to the 8th power, none below 0); 0.5 without any weight."""
+    """Mean label of each row's k nearest, weighted by cosine (to the 8th power, none below 0); 0.5 without any weight.
+
+    All that are as near as the k-th vote, so ties don't hang on an order.
+    """
     k = min(k, sims.shape[1])
     if not k:
         return np.full(len(sims), 0.5)
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(sims, near, axis=1), 0).astype(np.float64) ** 8
+    furthest = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    weight = np.where(sims >= furthest[:, None], np.maximum(sims, 0), 0).astype(np.float64)
+    for _ in range(3):
+        weight *= weight
     total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * labels[near]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
+    return np.where(total > 0, weight @ labels / np.maximum(total, 1e-300), 0.5)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -132,8 +138,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
 
     ``score`` (0 to 1) is the weighted vote of the nearest labelled documents over exact cosines, taken in blocks of
     rows. Null and empty texts are scored like any other, by their (empty) measures. ``predicted`` is 1 if the score
-    reaches ``threshold``. Without labelled rows every score is 0.5. A null doc_id has ``held_out`` false. Repeated rows
-    give repeated rows; an empty table gives none. What is broadcast is bounded by MAX_LABELLED, TERMS and RANK.
+    reaches ``threshold``. Without labelled rows every score is 0.5. A null doc_id has ``held_out`` false. Very long texts
+    are taken whole. Equally near neighbours all vote. Repeated rows give repeated rows; an empty table gives none. Extra
+    columns, whatever their names, play no part. What is broadcast is bounded by MAX_LABELLED, TERMS and RANK.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, label, modulus, held))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -28,16 +28,20 @@ CLASSES = (
     ("lower", re.compile(r"[a-z0-9]+"), 3.5),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.7),
 )
-#: Candidates that are no secrets: UUIDs, paths and dashed or underscored words, dates, alphabets.
+#: Words of one case or capitalised, numbers, or one letter.
+_PART = r"(?:(?:[A-Z]?+[a-z]{2,}+|(?:As|At|Be|By|Do|Id|If|In|Is|It|My|No|Of|On|Or|To|Up)(?![a-z])|[A-Z]{2,}+)++|[0-9]++|[A-Za-z])"
+#: Candidates that are no secrets: UUIDs; paths and dashed or underscored numbers and words, each of one case or with a
+#: capital before small letters. Letters in any other mix of cases are no words.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[/_+-]+(?:[A-Za-z]+|[0-9]+))*[/_+=-]*"),
-    re.compile(r".*(?:0123456789|abcdefghij|ABCDEFGHIJ).*"),
+    re.compile(rf"{_PART}(?:[/_+-]++{_PART})*+[/_+=-]*+"),
 )
+#: Runs of an alphabet, which are no secrets; what stands beside one in a candidate is looked at by itself.
+ALPHABETS = re.compile("0123456789|abcdefghij(?:klmnopqrst(?:uvwxyz)?)?|ABCDEFGHIJ(?:KLMNOPQRST(?:UVWXYZ)?)?")
 
 
-def window_entropy(candidate: str, window: int = WINDOW) -> float:
-    """Highest Shannon entropy in bits of any window, by counts kept up as the window slides."""
+def window_entropy(candidate: str, window: int = WINDOW, enough: float = math.inf) -> float:
+    """Highest Shannon entropy in bits of any window, by counts kept up as the window slides; ends at ``enough``."""
     n = min(window, len(candidate))
     if not n:
         return 0.0
@@ -55,6 +59,8 @@ def window_entropy(candidate: str, window: int = WINDOW) -> float:
             counts[gone] = k - 1
         if i >= n - 1:
             best = max(best, math.log2(n) - total / n)
+            if best >= enough:
+                break
     return best
 
 
@@ -62,11 +68,24 @@ def is_random(candidate: str) -> bool:
     if any(x.fullmatch(candidate) for x in ALLOWED):
         return False
     least = next(bits for _, x, bits in CLASSES if x.fullmatch(candidate))
-    return least is not None and window_entropy(candidate) >= least
+    return least is not None and window_entropy(candidate, enough=least) >= least
+
+
+def _outside(begin: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of begin:end of WINDOW characters or more that the spans, in order of their starts, leave."""
+    for a, b in taken:
+        if a - begin >= WINDOW:
+            yield begin, a
+        begin = max(begin, b)
+    if end - begin >= WINDOW:
+        yield begin, end
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start and then kind; ``entropy`` only where no other span lies."""
+    """(kind, start, end) in code points, by start and then kind; ``entropy`` only where no other span lies.
+
+    Base spans and candidates are both walked once, in order.
+    """
     found = []
     low = text.lower()
     if any(x in low for x in WORDS):
@@ -74,18 +93,32 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
+    base = sorted((a, b) for _, a, b in found)
+    at, reach = 0, 0  # spans before ``at`` end before the candidate, but for one that may end at ``reach``
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in base) and is_random(m[0]):
-            found.append(("entropy", *m.span()))
+        begin, end = m.span()
+        while at < len(base) and base[at][0] < begin:
+            reach = max(reach, base[at][1])
+            at += 1
+        taken = [(begin, reach)] if reach > begin else []
+        while at < len(base) and base[at][0] < end:
+            taken.append(base[at])
+            reach = max(reach, base[at][1])
+            at += 1
+        for a, b in _outside(begin, end, taken):
+            for x, y in _outside(a, b, [r.span() for r in ALPHABETS.finditer(text, a, b)]):
+                if is_random(text[x:y]):
+                    found.append(("entropy", x, y))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Every row's secrets: ``doc_id, spans array<struct<kind, start, end>>``, whole texts, in code points.
 
-    A null or empty text has no spans. Spans of one kind never overlap; those of different patterns may, and then all
-    are kept. Rows are handled alone: repeated rows give repeated rows and an empty table gives none.
+    A null or empty text has no spans; very long texts are taken whole, in time that grows as they do. Spans of one kind
+    never overlap; those of different patterns may, and then all are kept, by start and then kind. Rows are handled alone:
+    repeated rows give repeated rows, a null doc_id stays null, and an empty table gives none. Extra columns, whatever
+    their names, play no part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

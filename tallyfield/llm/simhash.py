@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BITS = 64
-#: A term counts by its length in code points, up to this.
+#: A term counts by its length in code points, as short words are the common ones that any text has, up to this, so that
+#: no single long string outvotes a text.
 MAX_WEIGHT = 12
 RADIUS = 3
 #: Blocks of the permuted tables; each table keys on all but RADIUS of them.
@@ -28,19 +29,25 @@ def _long(x: int) -> Column:
 
 
 def vote(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and the ``fingerprint`` (long) of the texts under each key; a text without a term has 0.
+    """``keys``, the ``fingerprint`` (long) of the texts under each key and their number ``times``; without a term it is 0.
 
-    Terms are runs of other characters than white space. Rows of one key vote together.
+    Terms are runs of other characters than white space. Rows of one key vote together, so alike rows vote as one does.
     """
-    terms = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("_term"))
-    weighed = terms.select(*keys, F.xxhash64("_term").alias("_hash"), F.least(F.length("_term"), F.lit(MAX_WEIGHT)).cast("long").alias("_weight"))
+    terms = texts.select(*keys, F.posexplode(F.split(F.col(text), r"\s+")).alias("_at", "_term"))
+    first = F.when(F.col("_at") == 0, 1).otherwise(0).cast("long").alias("_first")
+    weighed = terms.select(*keys, first, F.xxhash64("_term").alias("_hash"), F.least(F.length("_term"), F.lit(MAX_WEIGHT)).cast("long").alias("_weight"))
     lanes = [F.sum(F.shiftrightunsigned("_hash", i).bitwiseAND(_long(_LANES)) * F.col("_weight")).alias(f"_{i}") for i in range(32)]
-    sums = weighed.groupBy(*keys).agg(F.sum("_weight").alias("_all"), *lanes)
+    sums = weighed.groupBy(*keys).agg(F.sum("_weight").alias("_all"), F.sum("_first").alias("times"), *lanes)
     bits = F.lit(0).cast("long")
     for i in range(32):
         for lane, place in ((F.col(f"_{i}").bitwiseAND(_long(_LOW)), i), (F.shiftrightunsigned(F.col(f"_{i}"), 32), i + 32)):
             bits = bits.bitwiseOR(F.when(lane * 2 > F.col("_all"), _long(1 << place)).otherwise(_long(0)))
-    return sums.select(*keys, bits.alias("fingerprint"))
+    return sums.select(*keys, bits.alias("fingerprint"), "times")
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``times`` says, which goes."""
+    return rows.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -86,10 +93,11 @@ def successors(ids: DataFrame) -> DataFrame:
     """``doc_id, next_id`` in descending order of distinct ids, the first after the last.
 
     Ids alone are range-partitioned; within a partition the next is one row on, and what follows a partition's last id
-    is read from the partitions' greatest ids. No partition holds all ids.
+    is read from the partitions' greatest ids. No partition holds all ids. Where each id lies is saved before it is used
+    twice, as range bounds may differ when a lost partition is dealt again.
     """
     dealt = ids.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    dealt = dealt.repartitionByRange(F.col("doc_id").desc()).withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt.repartitionByRange(F.col("doc_id").desc()).withColumn("_part", F.spark_partition_id()))
     # One row a partition, so these windows hold the number of partitions.
     ends = dealt.groupBy("_part").agg(F.max("doc_id").alias("_top"))
     over = Window.orderBy("_part")
@@ -102,7 +110,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprint every row's whole text: ``doc_id, fingerprint (long), n_chars``; a null text is the empty one."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_same"), F.length(text).cast("long").alias("n_chars"))
-    return vote(rows, ["doc_id", "_same", "n_chars"]).drop("_same")
+    return repeated(vote(rows, ["doc_id", "_same", "n_chars"])).drop("_same")
 
 
 def _prints(rows: DataFrame) -> DataFrame:
@@ -115,7 +123,7 @@ def _prints(rows: DataFrame) -> DataFrame:
     return (
         vote(both, ["doc_id", "_same", "n_chars", "_sha", "_kind"])
         .groupBy("doc_id", "_same", "n_chars", "_sha")
-        .agg(*[F.max(F.when(F.col("_kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fp", "edited_fp"))])
+        .agg(*[F.max(F.when(F.col("_kind") == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("fp", "edited_fp"))], F.max("times").alias("times"))
     )
 
 
@@ -128,8 +136,9 @@ def compare_edited(docs: DataFrame, radius: int = RADIUS, query_modulus: int = 1
     whole table have a fingerprint within ``radius`` bits; null for other ids.
 
     A null text is the empty one. A single document is its own next. Rows with one doc_id are one place in the order,
-    and there the text with the least hash stands for them; rows that are wholly alike give one row. A null doc_id has no
-    next document: nothing is put in, and ``near_next`` is null. An empty table gives no row.
+    and there the text with the least hash stands for them; repeated rows give a row each. A null doc_id has no next
+    document: nothing is put in, and ``near_next`` is null. Very long texts are taken whole (see above for how long). An
+    empty table gives no row. Extra columns, whatever their names, play no part.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_same"), F.length(text).cast("long").alias("n_chars"))
@@ -138,7 +147,8 @@ def compare_edited(docs: DataFrame, radius: int = RADIUS, query_modulus: int = 1
     order = successors(docs)
     half = F.floor(F.col("n_chars") / 2)
     # What each document lends to the one before it, no longer than that one can take.
-    needs = placed.groupBy("doc_id").agg(F.max(half).cast("int").alias("_need")).join(order, "doc_id").select(F.col("doc_id").alias("_before"), F.col("next_id").alias("doc_id"), "_need")
+    needs = placed.groupBy("doc_id").agg(F.max(half).cast("int").alias("_need")).join(order, "doc_id")
+    needs = needs.select(F.col("doc_id").alias("_before"), F.col("next_id").alias("doc_id"), "_need")
     lent = (
         placed.join(needs, "doc_id")
         .select(F.col("_before").alias("doc_id"), F.substring(F.col("text"), F.lit(1), F.least("_need", F.col("n_chars").cast("int"))).alias("_lent"), F.col("_same").alias("_by"))
@@ -147,23 +157,24 @@ def compare_edited(docs: DataFrame, radius: int = RADIUS, query_modulus: int = 1
     )
     prints = _prints(placed.join(lent, "doc_id")).union(_prints(unplaced.withColumn("_lent", F.lit(""))))
     prints = cut(prints)  # read four times below
-    following = prints.groupBy("doc_id").agg(F.min_by("fp", "_same").alias("next_fp")).join(order.withColumnRenamed("doc_id", "_before"), F.col("doc_id") == F.col("next_id")).select(F.col("_before").alias("doc_id"), "next_fp")
-    counted = prints.groupBy("fp").agg(F.count("*").alias("_rows"))
-    queries = prints.filter(F.col("doc_id") % query_modulus == 0).select(F.col("fp").alias("fingerprint")).distinct()
+    following = prints.groupBy("doc_id").agg(F.min_by("fp", "_same").alias("next_fp"))
+    following = following.join(order.withColumnRenamed("doc_id", "_before"), F.col("doc_id") == F.col("next_id")).select(F.col("_before").alias("doc_id"), "next_fp")
+    counted = prints.groupBy("fp").agg(F.sum("times").alias("_rows"))
+    is_query = F.coalesce(F.col("doc_id") % query_modulus == 0, F.lit(False))
+    queries = prints.filter(is_query).select(F.col("fp").alias("fingerprint")).distinct()
     near = neighbours(queries, counted.select(F.col("fp").alias("fingerprint")), radius)
     near = near.join(counted, F.col("found") == F.col("fp")).groupBy("query").agg((F.sum("_rows") - 1).alias("_near"))
-    is_query = F.col("doc_id") % query_modulus == 0
-    return (
-        prints.join(following, "doc_id", "left")
-        .join(near, F.col("query") == F.when(is_query, F.col("fp")), "left")
-        .select(
-            "doc_id",
-            "n_chars",
-            F.lower(F.hex("_sha")).alias("edited_sha256"),
-            as_text(F.col("fp")).alias("fingerprint"),
-            as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-            likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-            likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-            F.col("_near").alias("near_rows"),
-        )
+    both = prints.join(following, "doc_id", "left")
+    # Only the queries are joined: the other rows have no key to meet under.
+    asked = both.filter(is_query).join(near.withColumnRenamed("query", "fp"), "fp", "left")
+    others = both.filter(~is_query).withColumn("_near", F.lit(None).cast("long"))
+    return repeated(asked.unionByName(others)).select(
+        "doc_id",
+        "n_chars",
+        F.lower(F.hex("_sha")).alias("edited_sha256"),
+        as_text(F.col("fp")).alias("fingerprint"),
+        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("_near").alias("near_rows"),
     )

@@ -302,8 +302,11 @@ def test_fingerprint_edges(docs):
     one = simhash.compare_edited(docs([(7, "only one")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     rows = [(1, "a b"), (1, "a b"), (1, "c d"), (None, "e f"), (2, None)]
-    out = simhash.compare_edited(docs(rows)).collect()
-    assert sorted((x.doc_id or 0, x.n_chars) for x in out) == [(0, 3), (1, 3), (1, 3), (2, 0)]
+    df = docs(rows).withColumns({"_same": F.lit("x"), "_lent": F.lit(1), "times": F.lit(2), "fp": F.lit(3)})
+    out = simhash.compare_edited(df).collect()
+    assert sorted((x.doc_id or 0, x.n_chars) for x in out) == [(0, 3), (1, 3), (1, 3), (1, 3), (2, 0)]
+    assert Counter(x.fingerprint for x in out if x.doc_id == 1).most_common(1)[0][1] == 2
+    assert simhash.fingerprint(df).count() == 5
     assert [x.near_next for x in out if x.doc_id is None] == [None]
     assert simhash.compare_edited(docs(rows).limit(0)).count() == 0
     assert {x.fingerprint for x in simhash.fingerprint(docs([(1, ""), (2, None)])).collect()} == {0}

@@ -319,3 +319,57 @@ def test_quality_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op7_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
+def test_a_language_table_of_any_size_is_scored_in_blocks(monkeypatch):
+    r = np.random.default_rng(4)
+    langs = [f"l{k:03}" for k in range(150)]
+    matrix = np.log(r.dirichlet(np.ones(language_id.BUCKETS + 1), 150).T)
+    texts = ["some words here", "", "others", "a b c " * 50]
+    whole = language_id.predict(texts, langs, matrix)
+    monkeypatch.setattr(language_id, "BLOCK", 1000)
+    names, scores = language_id.predict(texts, langs, matrix)
+    assert names == whole[0] and scores == pytest.approx(whole[1])
+    doubled = language_id.predict(texts, ["a", "b"], np.column_stack((matrix[:, 0], matrix[:, 0])))
+    assert doubled[0] == ["a", "und", "a", "a"] and doubled[1] == pytest.approx([0.5, 0, 0.5, 0.5])  # of equals the first by name
+
+
+def test_equal_cosines_all_vote():
+    sims, labels = np.array([[0.9, 0.5, 0.5, 0.5, 0.1]]), np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    assert quality.vote(sims, labels, 2) == pytest.approx((0.9**8 + 0.5**8) / (0.9**8 + 3 * 0.5**8))
+
+
+def test_keys_of_letters_and_parts_beside_other_spans():
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.find_secrets(t)]
+    assert found("qXvBnMkLpRtWzYcFsDgHjK") == [("entropy", "qXvBnMkLpRtWzYcFsDgHjK")]
+    for t in ("ThisIsACamelCaseNameOfSomething", "some_HTTP_header/of-A/long/Name", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        assert not found(t), t
+    key = "qX7vB2nM9kL4pR8tW3zY6cF1"
+    hexed = "0123abcd" * 4
+    assert found(key + "Z" + hexed + "Z" + key) == [("entropy", key + "Z"), ("hex", hexed), ("entropy", "Z" + key)]
+    assert found(key + "/abcdefghij/" + key) == [("entropy", key + "/"), ("entropy", "/" + key)]
+
+
+def test_many_keys_in_one_text_take_time_as_its_length():
+    import time
+
+    text = " ".join("0123abcd" * 4 + " qX7vB2nM9kL4pR8tW3zY6cF1" for _ in range(20_000))
+    began = time.time()
+    assert len(secrets.find_secrets(text)) == 40_000
+    assert time.time() - began < 20
+
+
+def test_rules_from_a_table_broadcast_or_joined(spark, monkeypatch):
+    r = random.Random(11)
+    hosts = ["a.com", "b.a.com", "com", "c.net", "x.c.net"]
+    table = list({(h, p): (r.choice(["allow", "block"]), h, p) for h in hosts for p in ("", "/en", "/en/", "/en/long/path/12", "/en/long/path/1", "/d")}.values())
+    rules = spark.createDataFrame([*table, ("block", None, "/x"), ("allow", "q", None)], "verdict string, host string, path string")
+    urls = [f"http://{r.choice(['', 'm.'])}{r.choice(hosts)}{r.choice(['', '/', '/en/long/path/123', '/en/7', '/e', '/de'])}" for _ in range(200)] + [None, "", "x"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])], "page_id bigint, url string")
+    rows = sorted(map(str, url_filter.judge_urls(df, rules).collect()))
+    for x in url_filter.judge_urls(df, rules).collect():
+        rule = plain_rule(urls[x.page_id or 0], table)[2]
+        assert (x.rule, x.verdict) == ((rule[1] + rule[2], rule[0]) if rule else (None, "allow"))
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)
+    assert sorted(map(str, url_filter.judge_urls(df, rules).collect())) == rows
+    assert url_filter.judge_urls(df, rules.limit(0)).count() == len(rows)
