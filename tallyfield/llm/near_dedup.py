@@ -296,7 +296,7 @@ def _words_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b, similarity`` that join all different texts which candidates and verification bring together.
+    """Links ``a, b`` that join all different texts which candidates and verification bring together, few for each.
 
     Texts that share a sketch, or short ones that share a pair of their rarest words, are candidates. First each text of
     a bucket is verified against the bucket's two leaders, its least and greatest node, so that a bucket costs two pairs a
@@ -309,27 +309,22 @@ def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
     texts = rows.filter(F.size("sketches") > 0).select("node", "sketches").dropDuplicates(["node"])
     short = rows.filter(F.size("labels") > 0).select("node", "labels").dropDuplicates(["node"])
     buckets = texts.select("node", F.explode("sketches").alias("bucket")).union(short_buckets(short, least))
-    salts = math.isqrt(SKETCHES * rows.count()) + 1
-    parts = gathered(buckets, ["bucket"], "node", ["node"], salts)
-    ends = parts.groupBy("bucket").agg(F.min(F.array_min("_rows.node")).alias("low"), F.max(F.array_max("_rows.node")).alias("high"))
-    shared = cut(spread(parts.join(ends.filter(F.col("low") < F.col("high")), "bucket")))  # rows of buckets with two texts or more
+    leaders = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter(F.col("low") < F.col("high"))
+    shared = cut(buckets.join(leaders, "bucket"))  # rows of buckets with two texts or more
     to_leader = F.explode(F.array("low", "high")).alias("leader")
     pairs = shared.select("node", to_leader).filter(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     members = shared.select("node").distinct()
     texts = cut(_words_of(members, rows, docs))
-    links = cut(_verify(pairs, texts, least))
-    known = links.select("a", "b")
+    known = cut(_verify(pairs, texts, least)).select("a", "b")
     for best in (True, False):
         roots = components(known)
         placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"))
-        mixed = mixed.filter(F.col("roots") > 1).select("bucket", "largest")
-        placed = cut(spread(gathered(placed, ["bucket"], "node", ["node", "root"], salts).join(mixed, "bucket")))
+        placed = cut(placed.join(mixed.filter(F.col("roots") > 1).select("bucket", "largest"), "bucket"))
         more = cut(_verify(_block_pairs(placed, texts, least, best), texts, least))
-        links = links.union(more)
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
-    return links
+    return known
 
 
 def _fresh(df: DataFrame, name: str) -> str:
