@@ -206,12 +206,12 @@ def _folded(marks: list[bytes], size: int) -> np.ndarray:
     return np.stack(rows)
 
 
-def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMILARITY, best: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """Pairs of two blocks' texts in different components that lengths and signatures allow to be similar.
+def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """The pairs ``(a, b)`` of two blocks' texts in different components that lengths and signatures allow to be similar.
 
-    A text is ``(node, root, in the largest component, words, signature)``, a pair ``(a, b, text, root of the other,
-    common)``. No more words are common to two texts than bits, and words of the one whose bit another has too. Two texts
-    outside the largest component meet twice and are given once. With ``best`` each text has one pair a component.
+    A text is ``(node, root, in the largest component, words, signature)``. No more words are common to two texts than
+    bits, and words of the one whose bit another has too. Two texts outside the largest component meet twice and are given
+    once.
     """
     if not outside or not members:
         return []
@@ -228,22 +228,16 @@ def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMIL
         common = np.bitwise_count(theirs[at] & own).sum(axis=1, dtype=np.int64)
         common += np.minimum(spare[at], size - int(np.bitwise_count(own).sum()))
         near = np.maximum(sizes[at], size) - common <= most[at]
-        at, common = at[near], common[near]
-        if best and len(at):
-            order = np.lexsort((nodes[at], -common, roots[at]))
-            first = np.append(True, roots[at[order[1:]]] != roots[at[order[:-1]]])
-            at, common = at[order[first]], common[order[first]]
-        out += [(min(node, b), max(node, b), node, r, c) for b, r, c in zip(nodes[at].tolist(), roots[at].tolist(), common.tolist(), strict=True)]
+        out += [(min(node, b), max(node, b)) for b in nodes[at[near]].tolist()]
     return out
 
 
-def _block_pairs(placed: DataFrame, texts: DataFrame, least: float, best: bool) -> DataFrame:
+def _block_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs ``a, b`` between different components within each bucket of ``placed`` (``bucket, node, root, largest``).
 
     A bucket's texts are dealt by length into classes, of which only neighbours hold texts that may be similar, and these
     into blocks of about BLOCK texts; those outside the largest component are dealt into blocks of their own. Each pair of
     blocks is a row of signatures, so the rows are far fewer than the pairs and none is unbounded; no text travels here.
-    With ``best`` each text outside a bucket's largest component has one pair with every other component.
     """
     size_class = F.floor(F.log(F.col("size")) / math.log(1 / least) + 1e-9).cast("int").alias("class")
     signed = texts.select("node", "size", "signature")
@@ -268,14 +262,11 @@ def _block_pairs(placed: DataFrame, texts: DataFrame, least: float, best: bool)
             return list(zip(*(x.field(i).to_pylist() for i in range(5)), strict=True))
 
         for batch in batches:
-            found = [pair for k in range(batch.num_rows) for pair in block_pairs(read(batch.column("outside"), k), read(batch.column("members"), k), least, best)]
-            columns = zip(*found, strict=True) if found else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "text", "root", "common"])
+            found = [pair for k in range(batch.num_rows) for pair in block_pairs(read(batch.column("outside"), k), read(batch.column("members"), k), least)]
+            columns = zip(*found, strict=True) if found else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
 
-    pairs = sent.join(members, ["bucket", "class", "block"]).select("outside", "members").mapInArrow(run, "a bigint, b bigint, text bigint, root bigint, common bigint")
-    if best:
-        pairs = pairs.groupBy("text", "root").agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("_pair")).select("_pair.a", "_pair.b")
-    return pairs.select("a", "b").distinct()
+    return sent.join(members, ["bucket", "class", "block"]).select("outside", "members").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _words_of(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -301,10 +292,9 @@ def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
     Texts that share a sketch, or short ones that share a pair of their rarest words, are candidates. First each text of
     a bucket is verified against the bucket's two leaders, its least and greatest node, so that a bucket costs two pairs a
     text. Then the components so found are looked at again: in a bucket with more than one, the texts outside the largest
-    are compared, block by block, with all texts of other components by length and signature. Of what passes, first the
-    best pair of each text and component is verified, then all that still lies in different components. Pairs within one
-    component need no verifying, so no link between components is lost and a bucket of thousands of copies is never paired
-    with itself.
+    are compared, block by block, with all texts of other components by length and signature, and what passes is verified.
+    Pairs within one component need no verifying, so no link between components is lost and a bucket of thousands of
+    copies is never paired with itself.
     """
     texts = rows.filter(F.size("sketches") > 0).select("node", "sketches").dropDuplicates(["node"])
     short = rows.filter(F.size("labels") > 0).select("node", "labels").dropDuplicates(["node"])
@@ -316,15 +306,13 @@ def find_links(docs: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> D
     members = shared.select("node").distinct()
     texts = cut(_words_of(members, rows, docs))
     known = cut(_verify(pairs, texts, least)).select("a", "b")
-    for best in (True, False):
-        roots = components(known)
-        placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"))
-        placed = cut(placed.join(mixed.filter(F.col("roots") > 1).select("bucket", "largest"), "bucket"))
-        more = cut(_verify(_block_pairs(placed, texts, least, best), texts, least))
-        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
-    return known
+    roots = components(known)
+    placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"))
+    placed = cut(placed.join(mixed.filter(F.col("roots") > 1).select("bucket", "largest"), "bucket"))
+    more = cut(_verify(_block_pairs(placed, texts, least), texts, least))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
 
 
 def _fresh(df: DataFrame, name: str) -> str:
