@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges for each task of a round at least, so that few edges don't become many files.
+TASK_ROWS = 20_000
 
-def _stars(e: DataFrame, salts: int) -> DataFrame:
+
+def _stars(e: DataFrame, salts: int, tasks: int) -> DataFrame:
     """``a, b, m``: the edges with the least ``b`` of each ``a``.
 
     A node's edges are gathered in at most ``salts`` rows before they meet its least neighbour, so a hub of any degree
@@ -18,7 +21,7 @@ def _stars(e: DataFrame, salts: int) -> DataFrame:
     """
     parts = e.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(salts)).alias("_salt")).agg(F.collect_list("b").alias("_bs"), F.min("b").alias("_m"))
     least = parts.groupBy("a").agg(F.min("_m").alias("m"))
-    return parts.join(least, "a").select("a", F.explode("_bs").alias("b"), "m")
+    return parts.join(least, "a").coalesce(tasks).select("a", F.explode("_bs").alias("b"), "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,16 +32,17 @@ def components(edges: DataFrame) -> DataFrame:
     all edges, so no task holds a component; loops (a = b) play no part.
     """
     e = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    before, salts = None, 64
+    before, count = None, e.count()
     while True:
-        both = e.union(e.select("b", "a"))
-        large = _stars(both, salts).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _stars(large, salts)
+        salts, tasks = math.isqrt(count) + 1, -(-2 * count // TASK_ROWS) or 1
+        both = e.union(e.select("b", "a")).coalesce(tasks)
+        large = _stars(both, salts, tasks).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = _stars(large, salts, tasks)
         # Each lesser neighbour is tied to the least one, and so is the node itself.
         e = small.select(F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
-        e = cut(e.distinct())
+        e = cut(e.distinct().coalesce(tasks))
         # The two sums tell apart any two rounds that differ.
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.hash("b", "a").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, salts = now, math.isqrt(now[0]) + 1
+        before, count = now, now[0]
