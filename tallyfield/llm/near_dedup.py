@@ -209,18 +209,19 @@ def _folded(marks: list[bytes], size: int) -> np.ndarray:
 def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMILARITY) -> list[tuple[int, int]]:
     """The pairs ``(a, b)`` of two blocks' texts in different components that lengths and signatures allow to be similar.
 
-    A text is ``(node, root, in the largest component, words, signature)``. No more words are common to two texts than
+    A text is ``(node, root, in the largest component, words, signature, lesser buckets)``. No more words are common to two texts than
     bits, and words of the one whose bit another has too. Two texts outside the largest component meet twice and are given
-    once.
+    once, and two that share several buckets are given in the least alone.
     """
     if not outside or not members:
         return []
     nodes, roots, largest, sizes = (np.array(x) for x in list(zip(*members, strict=True))[:4])
+    lesser = [m[5] for m in members]
     length = min(len(x[4]) for x in (*outside, *members))
     theirs, mine = _folded([x[4] for x in members], length), _folded([x[4] for x in outside], length)
     spare = sizes - np.bitwise_count(theirs).sum(axis=1, dtype=np.int64)
     out = []
-    for (node, root, _, size, _), own in zip(outside, mine, strict=True):
+    for (node, root, _, size, _, before), own in zip(outside, mine, strict=True):
         most = np.maximum(sizes, size) * (1 - least) + 1e-9
         at = np.flatnonzero((roots != root) & (largest | (node < nodes)) & (np.abs(sizes - size) <= most))
         if not len(at):
@@ -228,7 +229,8 @@ def block_pairs(outside: list[tuple], members: list[tuple], least: float = SIMIL
         common = np.bitwise_count(theirs[at] & own).sum(axis=1, dtype=np.int64)
         common += np.minimum(spare[at], size - int(np.bitwise_count(own).sum()))
         near = np.maximum(sizes[at], size) - common <= most[at]
-        out += [(min(node, b), max(node, b)) for b in nodes[at[near]].tolist()]
+        known = set(before)
+        out += [(min(node, b), max(node, b)) for k, b in zip(at[near].tolist(), nodes[at[near]].tolist(), strict=True) if known.isdisjoint(lesser[k])]
     return out
 
 
@@ -240,13 +242,13 @@ def _block_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame
     blocks is a row of signatures, so the rows are far fewer than the pairs and none is unbounded; no text travels here.
     """
     size_class = F.floor(F.log(F.col("size")) / math.log(1 / least) + 1e-9).cast("int").alias("class")
-    signed = texts.select("node", "size", "signature")
+    signed = texts.select("node", "size", "signature").join(placed.groupBy("node").agg(F.collect_set("bucket").alias("_all")), "node")
     light = placed.join(texts.select("node", size_class), "node").withColumn("_in", F.col("root") == F.col("largest"))
     parts = gathered(light, ["bucket", "class"], "node", ["node", "root", "_in"], math.isqrt(placed.count()) + 1)
     outs = F.sum(F.size(F.filter("_rows", lambda x: ~x["_in"])))
     sizes = parts.groupBy("bucket", "class").agg(F.ceil(F.sum(F.size("_rows")) / BLOCK).alias("_blocks"), F.ceil(outs / BLOCK).alias("_out_blocks"))
     light = cut(spread(parts.join(sizes, ["bucket", "class"])))
-    entry = F.struct("node", "root", F.col("_in").alias("largest"), "size", "signature")
+    entry = F.struct("node", "root", F.col("_in").alias("largest"), "size", "signature", F.filter("_all", lambda x: x < F.col("bucket")).alias("lesser"))
     block = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
     members = light.select("bucket", "class", "node", "root", "_in", block("_blocks").alias("block")).join(signed, "node").groupBy("bucket", "class", "block").agg(F.collect_list(entry).alias("members"))
     out_rows = light.filter(~F.col("_in")).select("bucket", "class", "node", "root", "_in", block("_out_blocks").alias("_block"))
@@ -259,7 +261,7 @@ def _block_pairs(placed: DataFrame, texts: DataFrame, least: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(column: pa.Array, k: int) -> list[tuple]:
             x = column[k].values
-            return list(zip(*(x.field(i).to_pylist() for i in range(5)), strict=True))
+            return list(zip(*(x.field(i).to_pylist() for i in range(6)), strict=True))
 
         for batch in batches:
             found = [pair for k in range(batch.num_rows) for pair in block_pairs(read(batch.column("outside"), k), read(batch.column("members"), k), least)]

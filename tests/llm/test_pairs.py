@@ -60,16 +60,17 @@ def test_block_pairs_hold_all_similar_texts_of_other_components():
     texts, words_of = [], {}
     for k in range(30):
         x = np.array([v if r.random() < 0.95 else r.randrange(10**6) for v in base] if k % 3 else [r.randrange(10**6) for _ in range(50)], np.int32)
-        texts.append((k, k % 4, k % 4 == 0, len(x), near_dedup.signature(x)))
+        texts.append((k, k % 4, k % 4 == 0, len(x), near_dedup.signature(x), []))
         words_of[k] = x.tolist()
     for k, x in ((40, np.arange(9000, dtype=np.int32)), (41, np.arange(9000, 500, -1, dtype=np.int32))):  # many words for the bits, and another order
-        texts.append((k, k, False, len(x), near_dedup.signature(x)))
+        texts.append((k, k, False, len(x), near_dedup.signature(x), []))
         words_of[k] = x.tolist()
     pairs = near_dedup.block_pairs([t for t in texts if not t[2]], texts)
     got = set(pairs)
     want = {(a[0], b[0]) for a, b in combinations(texts[:30], 2) if a[1] != b[1] and similarity(words_of[a[0]], words_of[b[0]]) >= 0.8}
     assert len(got) == len(pairs) and want <= got and (40, 41) in got
     assert len(got) < 1.5 * len(want)
+    assert not near_dedup.block_pairs([(*t[:5], [3]) for t in texts if not t[2]], [(*t[:5], [2, 3]) for t in texts])  # given in another bucket
 
 
 def test_sketches_keep_the_order_of_the_text():
