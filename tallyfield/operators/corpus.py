@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.functions.text import is_sha256, message_signature
+from tallyfield.functions.text import failure_category, is_sha256, message_signature, snake_case
 
 TRUSTED_PROVENANCE = ("complete_losing_team_resignation", "postgame_winner_flags", "scoreboard_winner_flags")
 
@@ -202,10 +202,29 @@ def sequence_gaps(events: DataFrame, job: str, seq: str) -> DataFrame:
     return events.withColumn("_step", step).groupBy(job).agg(F.max(seq).alias("last_sequence"), F.count("*").alias("rows"), F.count_if(F.col("_step") != 1).alias("gaps")).withColumn("gapless", F.col("gaps") == 0)
 
 
-def failure_triage(failures: DataFrame, message: str) -> DataFrame:
-    """Failures by normalised message: count, a hash as signature (C-32)."""
-    rows = failures.select(message_signature(F.col(message)).alias("message")).groupBy("message").agg(F.count("*").alias("n"))
-    return rows.withColumn("signature", F.substring(F.sha2("message", 256), 1, 16))
+def failure_triage(failures: DataFrame, message: str, exception: str, io_errors: Sequence[str] = ("OSError", "IOError", "FileNotFoundError", "PermissionError", "TimeoutError")) -> DataFrame:
+    """Failures by class of exception, category and redacted message: count, retryable, a hash as signature (C-32).
+
+    Equal messages are counted before they are redacted. A blank message is its exception's class.
+    """
+    raw = failures.groupBy(message, exception).agg(F.count("*").alias("_n"))
+    said = F.coalesce(message_signature(F.col(message)), F.lower(exception))
+    rows = raw.select(snake_case(F.col(exception)).alias("exception_class"), failure_category(F.col(message), F.col(exception).isin(*io_errors)).alias("category"), said.alias("message"), "_n")
+    rows = rows.groupBy("exception_class", "category", "message").agg(F.sum("_n").alias("n"))
+    signature = F.substring(F.sha2(F.concat_ws(":", "exception_class", "message"), 256), 1, 16)
+    return rows.withColumn("retryable", F.col("category").isin("truncated_or_incomplete", "artifact_io")).withColumn("signature", signature)
+
+
+def job_report(events: DataFrame, runs: DataFrame, games: DataFrame, adjudications: DataFrame) -> DataFrame:
+    """Completed artifacts of each job with run, game if any, and the game's newest accepted adjudication that counts (C-17).
+
+    ``events``: ``job_id, sequence, event_type, run_id``; ``runs``: ``run_id, game_id``; ``games``: ``game_id``;
+    ``adjudications``: ``adjudication_id, game_id, decision_status, affects_stats, created_at``. A missing time is the newest.
+    """
+    counted = adjudications.filter((F.col("decision_status") == "accepted") & F.col("affects_stats"))
+    newest = best_row(counted, ["game_id"], F.col("created_at").desc_nulls_first(), F.desc("adjudication_id"))
+    linked = games.join(newest, "game_id", "left")
+    return events.filter(F.col("event_type") == "artifact_completed").join(runs, "run_id").join(linked, "game_id", "left")
 
 
 def binding_summary(rows: DataFrame, run_hash: str, game_hash: str) -> DataFrame:

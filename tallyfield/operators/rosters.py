@@ -151,6 +151,35 @@ def apply_result(players: DataFrame, results: DataFrame) -> DataFrame:
     return players.join(won, "game_id", "left").withColumn("is_winner", F.when(F.col("winning_team").isNotNull(), (own == F.col("winning_team")) | (duel == F.col("winning_team")))).drop("winning_team")
 
 
+def apply_contract(games: DataFrame, players: DataFrame, results: DataFrame) -> DataFrame:
+    """Games with completion as the result allows it, and the winners of a trusted result (R-06).
+
+    ``games``: ``game_id, completed, completion_source, parse_reason``; ``players`` as for ``apply_result``; ``results`` from
+    ``resolve_teams``. A resignation completes a game only if exactly one whole team resigned; else the game is not completed
+    and goes to review, with the raw flag kept. Winners are gathered for trusted results alone, whose rosters are of a known
+    format; without one both arrays are empty.
+    """
+    won = apply_result(players, results).filter("is_winner")
+    key = player_key(F.col("steam_id"), F.col("name"))
+    winners = won.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), clean_text(F.col("name")).alias("name")))).alias("_w"))
+    c = F.col
+    rows = games.join(results.select("game_id", "resignation_state", "winning_team", "result_status", "result_provenance"), "game_id", "left").join(winners, "game_id", "left")
+    resigned = F.coalesce(c("completion_source") == "resignation", F.lit(False))
+    proven = F.coalesce(c("resignation_state") == "exactly_one_complete_team", F.lit(False))
+    none = F.array().cast("array<string>")
+    return rows.withColumns(
+        {
+            "raw_completed": F.when(resigned, F.coalesce("completed", F.lit(False))),
+            "resignation_proves_completion": F.when(resigned, proven),
+            "completed": F.when(resigned & ~proven, F.lit(False)).otherwise(c("completed")),
+            "completion_source": F.when(resigned & proven, "complete_team_resignation").when(resigned, "team_resignation_review_required").otherwise(c("completion_source")),
+            "parse_reason": F.when(resigned & ~proven, "team_resignation_not_complete").otherwise(c("parse_reason")),
+            "winner_keys": F.coalesce(F.transform("_w", lambda w: w["key"]), none),
+            "winner_names": F.coalesce(F.transform("_w", lambda w: w["name"]), none),
+        }
+    ).drop("_w", "resignation_state")
+
+
 def recover_team_ids(target: DataFrame, source: DataFrame) -> DataFrame:
     """Team ids of a second roster where the whole game agrees, else the target's own (R-01).
 

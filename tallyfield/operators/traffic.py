@@ -269,24 +269,51 @@ def active_time(sessions: DataFrame, keys: Sequence[str], cap: int = 300) -> Dat
     return sessions.groupBy(*keys, "session_no").agg(F.sum(F.when(F.col("active_seconds") > 0, F.least("active_seconds", F.lit(cap))).otherwise(0)).alias("seconds"), F.count("*").alias("requests"))
 
 
-def session_records(sessions: DataFrame, keys: Sequence[str], ts: str, page: str, category: str, tie: str, cap: int = 300, most_pages: int = 20) -> DataFrame:
+def _first_seen(sessions: DataFrame, keys: Sequence[str], what: str, at: Column, most: int, name: str) -> DataFrame:
+    """The ``most`` values of a column first seen in each session, in that order.
+
+    Cut before they are gathered, so an array never has more than ``most``.
+    """
+    session = [*keys, "session_no"]
+    by_value = sessions.filter(F.trim(what) != "").groupBy(*session, what).agg(F.min(at).alias("_at"))
+    first = by_value.withColumn("_place", F.row_number().over(Window.partitionBy(*session).orderBy("_at"))).filter(F.col("_place") <= most)
+    return first.groupBy(*session).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(what).alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def session_records(
+    sessions: DataFrame, keys: Sequence[str], ts: str, page: str, category: str, tie: str, cap: int = 300, most_pages: int = 20,
+    referrer: str | None = None, agent: str | None = None, categories: Sequence[str] = (), most_referrers: int = 10,
+) -> DataFrame:
     """One record a session (T-29): pages in the order first seen (20 at most), entry and exit page, dominant category.
 
-    The exit page is the last first-seen page among those kept. Equal category counts: the one seen first.
+    The exit page is the last first-seen page among those kept; a session without a page has none. Equal category counts: the
+    one seen first. With ``referrer`` also the first one and the ten other than direct first seen; with ``agent`` the first
+    row's agent and its device, system and browser; with ``categories`` a count ``n_<category>`` of each.
     """
+    session = [*keys, "session_no"]
     at = F.struct(F.col(ts).alias("t"), F.col(tie).alias("o"))
-    by_page = sessions.groupBy(*keys, "session_no", page).agg(F.min(at).alias("_at"))
-    # Cut to the first pages before they are gathered, so an array never has more than most_pages.
-    first = F.row_number().over(Window.partitionBy(*keys, "session_no").orderBy("_at")) <= most_pages
-    by_page = by_page.withColumn("_kept", first).filter("_kept")
-    pages = by_page.groupBy(*keys, "session_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(page).alias("p")))), lambda x: x["p"]).alias("pages"))
-    by_category = sessions.groupBy(*keys, "session_no", category).agg(F.count("*").alias("_n"), F.min(at).alias("_at"), F.max(ts).alias("_last"), F.min(ts).alias("_first"), F.sum(F.when(F.col("active_seconds") > 0, F.least("active_seconds", F.lit(cap))).otherwise(0)).alias("_s"))
-    facts = by_category.groupBy(*keys, "session_no").agg(
-        F.min_by(category, F.struct(-F.col("_n"), "_at")).alias("dominant"), F.sum("_n").alias("requests"), F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"), F.sum("_s").alias("seconds")
-    )
-    return facts.join(pages, [*keys, "session_no"]).select(
-        *keys, "session_no", "dominant", "requests", "first_seen", "last_seen", "seconds", humanize_seconds(F.col("seconds")).alias("time_on_site"),
-        F.element_at("pages", 1).alias("entry_page"), F.element_at("pages", -1).alias("exit_page"), F.size("pages").alias("page_count"), F.array_join("pages", "|").alias("pages"),
+    pages = _first_seen(sessions, keys, page, at, most_pages, "pages")
+    extra = [c for c in (referrer, agent) if c]
+    by_category = sessions.groupBy(*session, category).agg(
+        F.count("*").alias("_n"), F.min(F.struct(at.alias("at"), *extra)).alias("_at"), F.max(ts).alias("_last"), F.min(ts).alias("_first"),
+        F.sum(F.when(F.col("active_seconds") > 0, F.least("active_seconds", F.lit(cap))).otherwise(0)).alias("_s"),
+    )
+    facts = by_category.groupBy(*session).agg(
+        F.min_by(category, F.struct(-F.col("_n"), "_at.at")).alias("dominant"), F.sum("_n").alias("requests"), F.min("_first").alias("first_seen"), F.max("_last").alias("last_seen"), F.sum("_s").alias("seconds"), F.min("_at").alias("_start"),
+        *[F.sum(F.when(F.col(category) == c, F.col("_n")).otherwise(0)).alias(f"n_{c}") for c in categories],
+    )
+    out, more = facts.join(pages, session, "left"), [f"n_{c}" for c in categories]
+    if referrer:
+        named = sessions.filter(F.col(referrer) != DIRECT)
+        out = out.join(_first_seen(named, keys, referrer, at, most_referrers, "_referrers"), session, "left")
+        more += [F.col("_start")[referrer].alias("first_referrer"), F.coalesce(F.array_join("_referrers", "|"), F.lit("")).alias("referrers")]
+    if agent:
+        ua = F.col("_start")[agent]
+        more += [ua.alias("agent"), device_type(ua).alias("device"), operating_system(ua).alias("os"), browser(ua).alias("browser")]
+    return out.select(
+        *session, "dominant", "requests", "first_seen", "last_seen", "seconds", humanize_seconds(F.col("seconds")).alias("time_on_site"),
+        F.try_element_at("pages", F.lit(1)).alias("entry_page"), F.try_element_at("pages", F.lit(-1)).alias("exit_page"),
+        F.when(F.col("pages").isNull(), 0).otherwise(F.size("pages")).alias("page_count"), F.coalesce(F.array_join("pages", "|"), F.lit("")).alias("pages"), *more,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.functions.text import REDACTIONS, TRUNCATED, compact_json
 from tallyfield.operators import corpus as op
 
 from .registry import query
@@ -206,10 +207,60 @@ def sequence_gap_check(read):
     return op.sequence_gaps(read("conversations"), "conv_id", "turn")
 
 
-@query()
+def _redacted(expression: str) -> str:
+    for pattern, placeholder in REDACTIONS:
+        expression = "regexp_replace({}, '{}', '{}', 'g')".format(expression, pattern.replace("'", "''"), placeholder)
+    return expression
+
+
+def _has(*terms: str) -> str:
+    return "(" + " OR ".join("contains(lower(text), '{}')".format(t.replace("'", "''")) for t in terms) + ")"
+
+
+@query(
+    f"""WITH f AS (SELECT text, CASE WHEN doc_id % 5 = 0 THEN 'FileNotFoundError' ELSE 'ValueError' END AS e FROM documents), r AS (
+  SELECT CASE e WHEN 'ValueError' THEN 'value_error' ELSE 'file_not_found_error' END AS exception_class,
+    CASE WHEN {_has(*TRUNCATED)} THEN 'truncated_or_incomplete' WHEN {_has("sha256")} AND {_has("mismatch", "does not match")} THEN 'artifact_integrity' WHEN {_has("no decoding mapping", "unsupported")} THEN 'unsupported_encoding_or_enum'
+      WHEN {_has("invalid mgz", "could not parse")} THEN 'invalid_container' WHEN e = 'FileNotFoundError' THEN 'artifact_io' ELSE 'parser_exception' END AS category,
+    coalesce(lower({_redacted("nullif(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g')), '')")})[:240], lower(e)) AS message FROM f)
+  SELECT exception_class, category, message, count(*) AS n, category IN ('truncated_or_incomplete', 'artifact_io') AS retryable, sha256(exception_class || ':' || message)[:16] AS signature FROM r GROUP BY 1, 2, 3"""
+)
 def failure_triage(read):
-    """C-32 and S-14: documents as failure messages; the look-behinds of the redactions are not in DuckDB's patterns."""
-    return op.failure_triage(read("documents"), "text")
+    """C-32 and S-14: documents as failure messages."""
+    exception = F.when(F.col("doc_id") % 5 == 0, "FileNotFoundError").otherwise("ValueError")
+    return op.failure_triage(read("documents").select("text", exception.alias("exception")), "text", "exception")
+
+
+@query(
+    """WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber % 3 <> 0 THEN l_shipdate END DESC NULLS FIRST, l_linenumber DESC) AS rn FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 10)
+  SELECT user_id AS job_id, event_id AS sequence, event_id + 1 AS run_id, o_orderkey AS game_id, o_totalprice AS price, l_linenumber AS adjudication_id
+  FROM events JOIN customer ON c_custkey = user_id LEFT JOIN orders ON o_orderkey = event_id LEFT JOIN a ON l_orderkey = o_orderkey AND rn = 1 WHERE event_type = 'click'"""
+)
+def job_report(read):
+    """C-17: clicks as completed artifacts, customers as runs' owners, orders as games, lines as adjudications."""
+    c = F.col
+    events = read("events").select(c("user_id").alias("job_id"), c("event_id").alias("sequence"), F.when(c("event_type") == "click", "artifact_completed").otherwise("other").alias("event_type"), (c("event_id") + 1).alias("run_id"))
+    owners = read("customer").select(c("c_custkey").alias("user_id"))
+    runs = read("events").join(owners, "user_id").select((c("event_id") + 1).alias("run_id"), c("event_id").alias("game_id"))
+    games = read("orders").select(c("o_orderkey").alias("game_id"), c("o_totalprice").alias("price"))
+    decisions = read("lineitem").select(
+        c("l_linenumber").alias("adjudication_id"), c("l_orderkey").alias("game_id"), F.when(c("l_returnflag") == "N", "accepted").otherwise("rejected").alias("decision_status"), (c("l_quantity") > 10).alias("affects_stats"),
+        F.when(c("l_linenumber") % 3 != 0, c("l_shipdate")).alias("created_at"),
+    )
+    out = op.job_report(events, runs, games, decisions)
+    return out.select("job_id", "sequence", "run_id", F.when(c("price").isNotNull(), c("game_id")).alias("game_id"), "price", "adjudication_id")
+
+
+@query(
+    """SELECT o_orderkey, '{' || CASE WHEN o_orderkey % 2 = 0 THEN '"status":"' || o_orderstatus || '",' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '"deep":[{"n":' || o_custkey || '}],' ELSE '' END || '"flag":false,"zero":0}' AS compact FROM orders"""
+)
+def compact_records(read):
+    """S-16: what is blank or empty at any depth goes, 0 and false stay."""
+    c = F.col
+    status = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))).otherwise(F.lit('"  "'))
+    inner = F.when(c("o_orderkey") % 3 == 0, F.concat(F.lit('{"n": '), c("o_custkey").cast("string"), F.lit('.0, "m": ""}'))).otherwise(F.lit('{"m": [null, " "]}'))
+    text = F.concat(F.lit('{"status": '), status, F.lit(', "none": null, "deep": [{}, '), inner, F.lit('], "flag": false, "zero": 0}'))
+    return read("orders").select("o_orderkey", compact_json(text).alias("compact"))
 
 
 @query(

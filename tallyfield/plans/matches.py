@@ -257,6 +257,27 @@ def apply_result(read):
     return rosters.apply_result(rows, rosters.resolve_teams(_players(read), _matches(read))).select("game_id", "position", "is_winner")
 
 
+@query(
+    _TEAMS
+    + """, k AS (
+  SELECT l_orderkey AS game_id, string_agg('name:s' || l_suppkey, '|' ORDER BY 'name:s' || l_suppkey) AS winner_keys, string_agg('S' || l_suppkey, '|' ORDER BY 'S' || l_suppkey) AS winner_names
+  FROM lineitem JOIN w ON w.game_id = l_orderkey WHERE winning_team = CAST(l_linenumber % 2 AS VARCHAR) OR winning_team = 'name:s' || l_suppkey GROUP BY 1
+), x AS (
+  SELECT o_orderkey AS game_id, o_orderkey % 2 = 0 AS resigned, o_orderkey % 3 = 0 AS completed, coalesce(derived IS NOT NULL, false) AS proven, winning_team, coalesce(winner_keys, '') AS winner_keys, coalesce(winner_names, '') AS winner_names
+  FROM orders LEFT JOIN w ON w.game_id = o_orderkey LEFT JOIN k ON k.game_id = o_orderkey)
+  SELECT game_id, winning_team, winner_keys, winner_names, CASE WHEN resigned THEN completed END AS raw_completed, CASE WHEN resigned THEN proven END AS resignation_proves_completion, completed AND NOT (resigned AND NOT proven) AS completed,
+    CASE WHEN resigned AND proven THEN 'complete_team_resignation' WHEN resigned THEN 'team_resignation_review_required' ELSE 'postgame' END AS completion_source,
+    CASE WHEN resigned AND NOT proven THEN 'team_resignation_not_complete' ELSE 'final' END AS parse_reason FROM x"""
+)
+def match_contract(read):
+    """R-06: completion and winners of each game; every second game ended by resignation."""
+    c = F.col
+    games_ = read("orders").select(c("o_orderkey").alias("game_id"), (c("o_orderkey") % 3 == 0).alias("completed"), F.when(c("o_orderkey") % 2 == 0, "resignation").otherwise("postgame").alias("completion_source"), F.lit("final").alias("parse_reason"))
+    players = _players(read)
+    out = rosters.apply_contract(games_, players.drop("winner", "resigned"), rosters.resolve_teams(players, _matches(read)))
+    return out.withColumns({k: F.array_join(k, "|") for k in ("winner_keys", "winner_names")}).drop("result_status", "result_provenance")
+
+
 @query(
     """WITH p AS (SELECT r_regionkey AS game_id, n_nationkey AS player, n_nationkey % 2 AS side FROM nation JOIN region ON n_regionkey = r_regionkey),
   g AS (SELECT game_id, side, count(*) AS n FROM p GROUP BY 1, 2)

@@ -75,6 +75,28 @@ def _records(read):
     return out.withColumns({c: F.col(c).cast("long") for c in ("session_no", "seconds", "page_count")})
 
 
+_REFERRER = "CASE WHEN event_id % 4 = 0 THEN '(direct)' ELSE 'r' || (event_id % 17) || '.example' END"
+_AGENT = "CASE WHEN event_id % 3 = 0 THEN 'Mozilla/5.0 (Windows NT 10.0) Firefox/1' ELSE 'curl/8' END"
+
+
+@query(
+    _SESSIONS.format(gap=86400)
+    + f""", v AS (SELECT *, {_REFERRER} AS ref, {_AGENT} AS ua FROM s
+), f AS (
+  SELECT user_id, session_no, arg_min(ref, struct_pack(t := ts, o := event_id)) AS first_referrer, arg_min(ua, struct_pack(t := ts, o := event_id)) AS agent, {", ".join(f"count(*) FILTER (event_type = '{c}') AS n_{c}" for c in CLASSES)} FROM v GROUP BY 1, 2
+), q AS (SELECT user_id, session_no, ref, min(struct_pack(t := ts, o := event_id)) AS pos FROM v WHERE ref <> '(direct)' GROUP BY 1, 2, 3
+), qr AS (SELECT *, row_number() OVER (PARTITION BY user_id, session_no ORDER BY pos) AS rn FROM q
+), refs AS (SELECT user_id, session_no, string_agg(ref, '|' ORDER BY rn) AS referrers FROM qr WHERE rn <= 10 GROUP BY 1, 2)
+SELECT f.user_id, CAST(f.session_no AS BIGINT) AS session_no, first_referrer, coalesce(referrers, '') AS referrers, agent, CASE WHEN agent = 'curl/8' THEN 'script' ELSE 'desktop' END AS device, CASE WHEN agent = 'curl/8' THEN 'Unknown' ELSE 'Windows 10/11' END AS os,
+  CASE WHEN agent = 'curl/8' THEN 'curl' ELSE 'Firefox' END AS browser, {", ".join(f"n_{c}" for c in CLASSES)} FROM f LEFT JOIN refs ON refs.user_id = f.user_id AND refs.session_no = f.session_no"""
+)
+def session_origins(read):
+    """T-29: referrers, agent facts and category counts of each session."""
+    rows = read("events").withColumns({"ref": F.expr(_REFERRER), "ua": F.expr(_AGENT)})
+    out = op.session_records(op.sessionize(rows, ["user_id"], "ts", 86400, "event_id"), ["user_id"], "ts", "props", "event_type", "event_id", referrer="ref", agent="ua", categories=CLASSES)
+    return out.select("user_id", F.col("session_no").cast("long").alias("session_no"), "first_referrer", "referrers", "agent", "device", "os", "browser", *[f"n_{c}" for c in CLASSES])
+
+
 @query(_RECORDS + "SELECT * FROM records")
 def session_records(read):
     """T-29."""
