@@ -80,8 +80,11 @@ def preferred_first(games: DataFrame, key: str, score: str, recency: str, row_id
     return games.withColumn("place", F.row_number().over(order)).withColumn("rows_of_key", F.count("*").over(Window.partitionBy(key)))
 
 
-def freeze_cohort(games: DataFrame, user: Column, anchor_id: int, key: str, score: str, recency: str, row_id: str) -> DataFrame:
-    """A user's final rows up to an anchor id, the preferred one of each logical key (G-15)."""
+def freeze_cohort(games: DataFrame, user: Column, anchor_id: Column | int, key: str, score: str, recency: str, row_id: str) -> DataFrame:
+    """A user's final rows up to an anchor id, the preferred one of each logical key (G-15).
+
+    For many users at once the key holds the user, and the anchor is a column.
+    """
     rows = games.filter(user & F.col("is_final") & (F.col(row_id) <= anchor_id))
     return preferred_first(rows, key, score, recency, row_id).filter(F.col("place") == 1)
 

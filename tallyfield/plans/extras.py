@@ -11,18 +11,18 @@ from .registry import query
 
 
 @query(
-    """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'Germany' WHEN 1 THEN 'ZZ' WHEN 2 THEN n_name ELSE '??' END AS country, CASE n_nationkey % 4 WHEN 1 THEN n_name ELSE '' END AS area, CASE n_nationkey % 4 WHEN 0 THEN 'Ulm' ELSE '' END AS city FROM nation"""
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Germany' WHEN 1 THEN 'ZZ' WHEN 2 THEN c_name ELSE '??' END AS country, CASE c_custkey % 4 WHEN 1 THEN c_name ELSE '' END AS area, CASE c_custkey % 4 WHEN 0 THEN 'Ulm' ELSE '' END AS city FROM customer"""
 )
 def geo_texts(read):
     """T-16: answers for a city, a code without a name, a country, and none."""
-    k = F.col("n_nationkey") % 4
+    k = F.col("c_custkey") % 4
     text = (
         F.when(k == 0, "GeoIP City Edition, Rev 1: DE, N/A, Ulm, 89073")
-        .when(k == 1, F.concat(F.lit("GeoIP City Edition, Rev 1: zz, "), "n_name", F.lit(", N/A")))
-        .when(k == 2, F.concat(F.lit("GeoIP Country Edition: XX, "), "n_name"))
+        .when(k == 1, F.concat(F.lit("GeoIP City Edition, Rev 1: zz, "), "c_name", F.lit(", N/A")))
+        .when(k == 2, F.concat(F.lit("GeoIP Country Edition: XX, "), "c_name"))
         .otherwise("GeoIP Country Edition: IP Address not found")
     )
-    return read("nation").select("n_nationkey", traffic.parse_geo(text).alias("g")).select("n_nationkey", "g.*")
+    return read("customer").select("c_custkey", traffic.parse_geo(text).alias("g")).select("c_custkey", "g.*")
 
 
 @query(

@@ -67,12 +67,14 @@ def preferred_rank(read):
 
 
 @query(
-    _ORDERS + """SELECT o_orderkey, logical_key, n AS rows_of_key FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY logical_key) AS n FROM r
-  WHERE is_final AND o_custkey % 10 = 3 AND o_orderkey <= 1000000 WINDOW w AS (PARTITION BY logical_key ORDER BY score DESC, o_orderdate DESC NULLS LAST, o_orderkey DESC)) WHERE rn = 1"""
+    _ORDERS + """SELECT o_orderkey, logical_key, n AS rows_of_key FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey, logical_key) AS n
+  FROM (SELECT *, avg(o_orderkey) OVER (PARTITION BY o_custkey) AS anchor FROM r) WHERE is_final AND o_orderkey <= anchor WINDOW w AS (PARTITION BY o_custkey, logical_key ORDER BY score DESC, o_orderdate DESC NULLS LAST, o_orderkey DESC)) WHERE rn = 1"""
 )
 def freeze_cohort(read):
-    """G-15: the customers ending in 3 stand for one user."""
-    return op.freeze_cohort(_orders(read), F.col("o_custkey") % 10 == 3, 1_000_000, "logical_key", "score", "o_orderdate", "o_orderkey").select("o_orderkey", "logical_key", "rows_of_key")
+    """G-15: the cohort of every customer, up to the mean of their order ids."""
+    anchors = read("orders").groupBy("o_custkey").agg(F.avg("o_orderkey").alias("anchor"))
+    rows = _orders(read).join(anchors, "o_custkey").withColumn("user_key", F.concat_ws(":", "o_custkey", "logical_key"))
+    return op.freeze_cohort(rows, F.lit(True), F.col("anchor"), "user_key", "score", "o_orderdate", "o_orderkey").select("o_orderkey", "logical_key", "rows_of_key")
 
 
 @query(
@@ -279,17 +281,15 @@ def match_contract(read):
 
 
 @query(
-    """WITH p AS (SELECT r_regionkey AS game_id, n_nationkey AS player, n_nationkey % 2 AS side FROM nation JOIN region ON n_regionkey = r_regionkey),
+    """WITH p AS (SELECT DISTINCT l_orderkey AS game_id, l_linenumber AS player, l_linenumber % 2 AS side FROM lineitem),
   g AS (SELECT game_id, side, count(*) AS n FROM p GROUP BY 1, 2)
   SELECT game_id, true AS partitioned, count(*) AS groups, CAST(sum(n) AS BIGINT) AS players, CASE WHEN count(*) = 2 AND sum(n) = 2 THEN '1v1' WHEN count(*) = 2 AND max(n) > 1 THEN 'TG' WHEN count(*) > 2 AND max(n) = 1 THEN 'FFA' ELSE 'Other' END AS label FROM g GROUP BY 1"""
 )
 def alliance_groups(read):
-    """R-08: nations of a region as players, allied with those of the same parity."""
-    p = read("nation").select(F.col("n_regionkey").alias("game_id"), F.col("n_nationkey").alias("player"))
-    q = p.withColumnRenamed("player", "peer")
-    pairs = p.join(q, "game_id").filter(F.col("player") != F.col("peer"))
-    relations = pairs.withColumn("relation", F.when(F.col("player") % 2 == F.col("peer") % 2, "ally").otherwise("enemy"))
-    return rosters.alliance_groups(relations, p).select("game_id", "partitioned", "groups", "players", "label")
+    """R-08: lines of an order as players, allied with those of the same parity."""
+    p = read("lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("player")).distinct()
+    ally = p.select("game_id", "player", F.explode(F.array(*[F.col("player") + k for k in (-6, -4, -2, 2, 4, 6)])).alias("peer"), F.lit("ally").alias("relation"))
+    return rosters.alliance_groups(ally, p).select("game_id", "partitioned", "groups", "players", "label")
 
 
 @query(
