@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, class_lm, decontaminate, language_id, license_scan, near_dedup, quality, secrets, simhash, url_filter
+from . import bpe, class_lm, decontaminate, language_id, license_scan, merkle, near_dedup, quality, secrets, simhash, simhash_groups, spelling, url_filter
 from .common import table
+from .oracles import manifest_sql, spelling_sql
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups.group(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -78,8 +91,9 @@ FROM best WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op6_class_lm, op7_quality, op8_language_id, op9_simhash, op10_bpe)}
+    operators = (op1_near_dedup, op2_license_scan, op3_secret_scan, op4_decontamination, op5_url_filter, op6_class_lm, op7_quality, op8_language_id, op9_simhash, op10_bpe)
+    return {f.__name__: f for f in (*operators, op11_simhash_dedup, op12_merkle_manifest, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op5_url_filter": OP5_SQL, "op12_merkle_manifest": manifest_sql(), "op13_spelling_variants": spelling_sql()}
