@@ -1,14 +1,9 @@
-"""Structured Streaming twins of the access-log jobs (X-02 to X-04)."""
+"""Streams of access-log lines: new lines, and rolling counts by panes (X-02, X-04)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-#: A gap of 1800 whole seconds still belongs to the session; the next one splits at 1801.
-SESSION_GAP = "1800 seconds 999999 microseconds"
-
 
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """A Parquet folder as a stream; a zoneless time becomes an instant, as watermarks need one."""
@@ -21,32 +16,25 @@ def new_lines(lines: DataFrame, ts: str = "ts", key: str = "line_hash", delay: s
     return lines.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def merge_visitor_counts(batch: DataFrame, state_path: str, epoch: int, who: str = "ip", ts: str = "ts") -> None:
-    """One version of the per-visitor totals for each epoch: the version before, with this batch added (X-02).
+def visitor_panes(events: DataFrame, by: str, who: str, ts: str = "ts", pane: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Panes of time with their rows and a bitmap of their visitors for each bucket of 32,768 numbers (X-04).
 
-    A repeated epoch writes the same version again from the one before it, so a retried batch is never counted twice.
+    ``start, by, bucket, n, bits``. ``who`` is a whole number, near dense; a row without one counts and is no visitor. As a
+    stream, a pane is given once the watermark has passed its end.
     """
-    spark = batch.sparkSession
-    new = batch.groupBy(who).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"))
-    if epoch > 0:
-        new = spark.read.parquet(f"{state_path}/v={epoch - 1}").select(who, "n", "last_seen").union(new)
-    new.groupBy(who).agg(F.sum("n").alias("n"), F.max("last_seen").alias("last_seen")).write.mode("overwrite").parquet(f"{state_path}/v={epoch}")
-
+    bucket = F.bitmap_bucket_number(who).alias("bucket")
+    panes = events.withWatermark(ts, delay).groupBy(F.window(ts, pane), by, bucket).agg(F.count("*").alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(who)).alias("bits"))
+    return panes.select("window.start", by, "bucket", "n", "bits")
 
-def count_visitors(lines: DataFrame, state_path: str, checkpoint: str, who: str = "ip", ts: str = "ts") -> StreamingQuery:
-    """Incremental ingest: bounded by the source's files per trigger, resumable from its checkpoint (X-02, X-07)."""
-    put = lambda df, epoch: merge_visitor_counts(df, state_path, epoch, who, ts)
-    return lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def rolling_counts(panes: DataFrame, by: str, width: int = 24, pane_seconds: int = 3600) -> DataFrame:
+    """Rows and exact distinct visitors of all windows of ``width`` panes, one begun at each pane: ``start, end, by, n, visitors``.
 
-def sessions(events: DataFrame, keys: list[str], ts: str = "ts", gap: str = SESSION_GAP, delay: str = "1 hour", cap: int = 300) -> DataFrame:
-    """Session windows with active time: gaps of at most ``cap`` seconds each, from the session's sorted times (X-03)."""
-    grouped = events.withWatermark(ts, delay).groupBy(*keys, F.session_window(ts, gap)).agg(F.count("*").alias("requests"), F.array_sort(F.collect_list(F.unix_micros(ts))).alias("times"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: ((F.col("times")[i] - F.col("times")[i - 1]) / 1_000_000).cast("long"))
-    active = F.when(F.size("times") > 1, F.aggregate(steps, F.lit(0).cast("long"), lambda a, g: a + F.least(g, F.lit(cap)))).otherwise(0)
-    return grouped.select(*keys, "requests", "first_seen", "last_seen", active.alias("seconds"))
-
-
-def rolling_counts(events: DataFrame, by: str, who: str, ts: str = "ts", width: str = "24 hours", step: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Requests and about how many visitors in sliding windows (X-04); exact distinct counts are a batch job (T-24)."""
-    return events.withWatermark(ts, delay).groupBy(F.window(ts, width, step), by).agg(F.count("*").alias("n"), F.approx_count_distinct(who).alias("visitors")).select("window.start", "window.end", by, "n", "visitors")
+    Bitmaps are merged window by window and bucket by bucket, so no task holds more of a window than one bucket's 4 KB.
+    """
+    back = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_back")
+    seconds = lambda c, panes: F.timestamp_seconds(F.unix_seconds(c) + panes * pane_seconds)
+    placed = panes.select("start", by, "bucket", "n", "bits", back).withColumn("start", seconds("start", -F.col("_back")))
+    merged = placed.groupBy("start", by, "bucket").agg(F.sum("n").alias("n"), F.bitmap_or_agg("bits").alias("bits"))
+    counts = merged.groupBy("start", by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits")).otherwise(0)).alias("visitors"))
+    return counts.select("start", seconds("start", F.lit(width)).alias("end"), by, "n", "visitors")

@@ -1,13 +1,16 @@
 import datetime as dt
 import hashlib
 import os
+import pathlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators import corpus, traffic
+from tallyfield.operators import corpus, games, traffic
 from tallyfield.sources import tables
-from tallyfield.streaming import matches as match_streams
+from tallyfield.streaming import keyed
 from tallyfield.streaming import traffic as streams
 
 
@@ -78,53 +81,142 @@ def event_files(spark, sf_dir, tmp_path):
     return path, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def test_incremental_visitor_counts_are_the_batch_counts(spark, sf_dir, event_files, tmp_path):
-    lines = streams.read_events(spark, *event_files).withColumn("line_hash", F.sha1(F.col("event_id").cast("string")))
-    streams.count_visitors(streams.new_lines(lines, delay="60 days"), str(tmp_path / "s"), str(tmp_path / "c"), "user_id").awaitTermination(120)
-    last = max(int(x[2:]) for x in os.listdir(tmp_path / "s") if x.startswith("v="))
-    got = {r.user_id: r.n for r in spark.read.parquet(f"{tmp_path}/s/v={last}").collect()}
-    assert got == {r.user_id: r["count"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().collect()}
-
-
-def test_stream_sessions_are_the_batch_sessions(spark, sf_dir, event_files):
-    df = streams.sessions(spark.read.schema(event_files[1]).parquet(event_files[0]).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], gap="86400 seconds 999999 microseconds")
-    batch = traffic.active_time(traffic.sessionize(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id"], "ts", 86400, "event_id"), ["user_id"])
-    assert sorted((r.user_id, r.requests, r.seconds) for r in df.collect()) == sorted((r.user_id, r.requests, r.seconds) for r in batch.collect())
-
-
-def test_stream_emits_closed_sessions(spark, event_files, tmp_path):
-    out = streams.sessions(streams.read_events(spark, *event_files), ["user_id"], gap="1 hour", delay="0 seconds")
-    out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    assert 0 < spark.read.parquet(str(tmp_path / "o")).agg(F.sum("requests")).first()[0] <= 1000
-
-
-def test_rolling_counts_cover_each_row_in_every_window(spark, event_files):
-    df = spark.read.schema(event_files[1]).parquet(event_files[0]).withColumn("ts", F.col("ts").cast("timestamp"))
-    assert streams.rolling_counts(df, "event_type", "user_id").agg(F.sum("n")).first()[0] == 24 * df.count()
+def stream_of(spark, folder, batches, schema):
+    """A stream of one file a batch."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{k}")
+        os.utime(next(pathlib.Path(f"{folder}/{k}").glob("*.parquet")), (k + 1, k + 1))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def drained(out, tmp_path, mode="append"):
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+    return out.sparkSession.read.parquet(f"{tmp_path}/o")
+
+
+T0 = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+
+
+def test_totals_touch_a_batchs_keys_alone_and_a_repeated_epoch_gives_the_same(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(f"v{r.randrange(6)}", T0 + dt.timedelta(days=r.uniform(0, 40)), k) for k in range(300)] + [(None, T0, 900), ("only", T0, 901), ("v1", None, 902)]
+    src = stream_of(spark, tmp_path / "in", [rows[:100], rows[100:200], rows[200:]], "ip string, ts timestamp, id int")
+    changes = keyed.visitor_totals(src, "ip", "ts", "id", salts=3, most=9, days=10)
+    keyed.append_epochs(changes, f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination(120)
+    got = {x.ip: (x.n, x.last_seen, x.times) for x in keyed.totals_of(keyed.latest(spark, f"{tmp_path}/o", ["ip", "_salt"]), "ip", 9, 10).collect()}
+    want = {}
+    for ip in {x[0] for x in rows}:
+        times = sorted(t.replace(tzinfo=None) for i, t, _ in rows if i == ip and t)
+        want[ip] = (len(times), times[-1], [t for t in times[-9:] if t >= times[-1] - dt.timedelta(days=10)])
+    assert got == want
+    assert [x.ip for x in spark.read.parquet(f"{tmp_path}/o/epoch=2").filter("ip = 'only'").collect()] == ["only"]
+    assert spark.read.parquet(f"{tmp_path}/o/epoch=0").filter("ip = 'only'").count() == 0
+    # The last epoch runs again as after a failure before its commit.
+    before = sorted(map(str, spark.read.parquet(f"{tmp_path}/o/epoch=2").collect()))
+    for name in ("commits/2", "commits/.2.crc"):
+        pathlib.Path(f"{tmp_path}/c/{name}").unlink()
+    keyed.append_epochs(changes, f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination(120)
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/o/epoch=2").collect())) == before
+
+
+def test_stream_sessions_of_late_and_shuffled_rows_are_the_batch_sessions(spark, tmp_path):
+    """Rows come up to an hour late in any order; a row at the end closes all sessions."""
+    r = random.Random(7)
+    rows = sorted((round(r.uniform(0, 90_000) / 600) * 600 + r.choice([0, 0.5, 1, 200]), r.choice("abc"), k) for k in range(400))
+    shuffled = sorted(rows, key=lambda x: x[0] + r.uniform(0, 3000))
+    batches = [[(u, T0 + dt.timedelta(seconds=s), k) for s, u, k in shuffled[i : i + 100]] for i in range(0, 400, 100)]
+    end = [("end", T0 + dt.timedelta(days=9), 999)]
+    src = stream_of(spark, tmp_path / "in", [*batches, end], "who string, ts timestamp, id int")
+    got = sorted((x.who, x.requests, x.first_seen, x.last_seen, x.seconds) for x in drained(keyed.sessions(src, ["who"]), tmp_path).collect())
+    batch = spark.createDataFrame([x for b in batches for x in b], "who string, ts timestamp, id int")
+    sessions = traffic.sessionize(batch, ["who"], "ts", 1800, "id")
+    active = traffic.active_time(sessions, ["who"])
+    seen = sessions.groupBy("who", "session_no").agg(F.min("ts").alias("f"), F.max("ts").alias("l"))
+    assert got == sorted((x.who, x.requests, x.f, x.l, x.seconds) for x in active.join(seen, ["who", "session_no"]).collect())
+    assert any(x[1] > 5 for x in got)
+
+
+def test_a_sessions_state_does_not_grow_with_its_rows(spark, tmp_path):
+    """A session of many rows that goes on: after the watermark its state is one row and the later rows."""
+    rows = [("a", T0 + dt.timedelta(seconds=10 * k)) for k in range(600)]
+    src = stream_of(spark, tmp_path / "in", [rows[:200], rows[200:400], rows[400:]], "who string, ts timestamp")
+    assert drained(keyed.sessions(src, ["who"], delay="1 minute"), tmp_path).count() == 0
+    later = spark.read.format("statestore").option("stateVarName", "later").option("flattenCollectionTypes", "true").load(f"{tmp_path}/c")
+    assert later.count() <= 7
+    opened = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/c").select("value.*").collect()
+    assert [x.requests for x in opened] == [600 - later.count()]
+
+
+def test_panes_give_the_exact_visitors_of_every_window(spark, sf_dir, event_files):
+    events = spark.read.schema(event_files[1]).parquet(event_files[0]).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.union(events.limit(20).withColumn("user_id", F.lit(None).cast("bigint"))).union(events.limit(9).withColumn("user_id", F.lit(70_000).cast("bigint")))
+    got = streams.rolling_counts(streams.visitor_panes(events, "event_type", "user_id"), "event_type")
+    want = events.groupBy(F.window("ts", "24 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("v")).select("w.start", "w.end", "event_type", "n", "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_standing_match_rows(spark, tmp_path):
-    rows = [("m", 1, False, False, 9.0), ("m", 2, True, False, 5.0), ("m", 3, False, True, 99.0), ("n", 4, False, False, 1.0), ("m", 5, True, True, 1.0)]
+    rows = [("m", 1, False, False, 9.0), ("m", 2, True, False, 5.0), ("n", 4, False, None, None), ("m", 3, False, True, 99.0), ("m", 5, True, True, 1.0), ("m", 6, True, True, 1.0), (None, 7, None, None, float("nan")), (None, 8, None, None, 4.0)]
     schema = "match_id string, upload_id bigint, is_final boolean, trusted boolean, size double"
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    match_streams.keep_standing(src, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination(120)
-    last = max(int(x[2:]) for x in os.listdir(tmp_path / "s") if x.startswith("v="))
-    assert {r.match_id: r.upload_id for r in spark.read.parquet(f"{tmp_path}/s/v={last}").collect()} == {"m": 5, "n": 4}
-
-
-def test_finality_after_a_quiet_time(spark, tmp_path):
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [("f", "h1", 0), ("f", "h1", 5), ("f", "h2", 10), ("g", "x", 300), ("z", "y", 600)]
-    for k, (f, h, s) in enumerate(rows):
-        spark.createDataFrame([(f, h, t0 + dt.timedelta(seconds=s))], "file string, hash string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-        os.utime(next((tmp_path / "in" / str(k)).glob("*.parquet")), (k + 1, k + 1))
-    src = spark.readStream.schema("file string, hash string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = match_streams.quiet_finality(src).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.file, r.hash, r.state) for r in spark.read.parquet(str(tmp_path / "o")).collect())
-    assert [x for x in got if x[0] == "f"] == [("f", "h1", "live"), ("f", "h2", "final"), ("f", "h2", "live")]
+    src = stream_of(spark, tmp_path / "in", [rows[:3], rows[3:4], rows[4:]], schema)
+    keyed.append_epochs(keyed.standing_matches(src), f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination(120)
+    got = {x.match_id: x.upload_id for x in keyed.latest(spark, f"{tmp_path}/o", ["match_id"]).collect()}
+    assert got == {"m": 6, "n": 4, None: 7} == {x.match_id: x.upload_id for x in games.best_standing(spark.createDataFrame(rows, schema)).collect()}
+    assert spark.read.parquet(f"{tmp_path}/o/epoch=1").count() == 0  # what stands has not changed
+
+
+def watched(rows, quiet, cooldown, end):
+    """Second by second: what each file gives until ``end``."""
+    out = []
+    for file in sorted({x[0] for x in rows}):
+        own, state = sorted((s, h) for f, h, s in rows if f == file), None
+        for now in range(end + 1):
+            found = [h for s, h in own if s == now]
+            if state:
+                if state["given"] != state["hash"] and now >= state["live"] + cooldown and state["live"] + cooldown < state["changed"] + quiet:
+                    state |= {"given": state["hash"], "live": now, "n": state["n"] + 1}
+                    out.append((file, state["hash"], state["n"], "live", now))
+                if now >= state["changed"] + quiet:
+                    out.append((file, state["hash"], state["n"] + 1, "final", now))
+                    state = None
+            for h in found:
+                if state is None:
+                    state = {"hash": h, "changed": now, "given": h, "live": now, "n": 1}
+                    out.append((file, h, 1, "live", now))
+                elif h != state["hash"]:
+                    state |= {"hash": h, "changed": now}
+                    if now >= state["live"] + cooldown:
+                        state |= {"given": h, "live": now, "n": state["n"] + 1}
+                        out.append((file, h, state["n"], "live", now))
+    return sorted(out)
+
+
+def test_watched_files_give_live_rows_under_a_cooldown_and_a_final_one(spark, tmp_path):
+    r = random.Random(3)
+    rows = sorted(((r.choice("fgh"), r.choice("xyz"), r.randrange(1500)) for _ in range(120)), key=lambda x: x[2])
+    rows = list({(f, s): (f, h, s) for f, h, s in rows}.values()) + [("end", "e", 5000)]
+    batches = [[(f, h, T0 + dt.timedelta(seconds=s)) for f, h, s in rows[i : i + 40]] for i in range(0, len(rows), 40)]
+    src = stream_of(spark, tmp_path / "in", batches, "file string, hash string, ts timestamp")
+    found = drained(keyed.watch_files(src, quiet=60, cooldown=45), tmp_path).filter("file <> 'end'").collect()
+    got = sorted((x.file, x.hash, x.iteration, x.state, int((x.at - T0.replace(tzinfo=None)).total_seconds())) for x in found)
+    assert got == watched([x for x in rows if x[0] != "end"], 60, 45, 4000)
+    for f in "fgh":
+        live = sorted(x[4] for x in got if x[0] == f and x[3] == "live" and x[2] > 1)
+        assert all(b - a >= 45 for a, b in zip(live, live[1:], strict=False))
+
+
+def test_by_the_clock_timers_need_no_further_input(spark, tmp_path):
+    src = stream_of(spark, tmp_path / "in", [[("f", "a", T0), ("f", "b", T0)]], "file string, hash string, ts timestamp")
+    q = keyed.watch_files(src, quiet=3, cooldown=1, by_clock=True).writeStream.outputMode("update").format("memory").queryName("watched").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(80):
+            got = [(x.hash, x.state) for x in spark.table("watched").orderBy("iteration").collect()]
+            if len(got) == 3:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert got == [("a", "live"), ("b", "live"), ("b", "final")]
 
 
 def test_log_is_read_from_the_first_path_there_is(spark, tmp_path):
