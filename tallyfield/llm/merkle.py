@@ -16,6 +16,12 @@ from .common import cut
 ARITY = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER_MODULUS = 5
+#: Rows for each task at least, so that the upper levels, of ever fewer rows, are few tasks.
+TASK_ROWS = 20_000
+
+
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
 
 
 def digest(*parts: Column) -> Column:
@@ -42,15 +48,18 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     keys = [group, *order]
     dealt = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
     dealt = cut(dealt.repartitionByRange(*keys, "_tie").withColumn("_part", F.spark_partition_id()))
-    parts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_rows"))
+    tasks = _tasks(dealt.count())
+    dealt = dealt.coalesce(tasks)
+    parts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_rows")).coalesce(tasks)
     of_group = Window.partitionBy(group)  # a row a part
     before = F.sum("_rows").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_group).alias("n"))
+    parts = parts.select(group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(of_group).alias("n")).coalesce(tasks)
     inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order, "_tie"))
-    return dealt.withColumn("_at", inner).join(parts, [group, "_part"]).withColumn("idx", F.col("_before") + F.col("_at") - 1).drop("_tie", "_part", "_at", "_before")
+    found = dealt.withColumn("_at", inner).join(parts, [group, "_part"]).coalesce(tasks)
+    return found.withColumn("idx", F.col("_before") + F.col("_at") - 1).drop("_tie", "_part", "_at", "_before")
 
 
-def parents(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
+def parents(nodes: DataFrame, tasks: int, arity: int = ARITY) -> DataFrame:
     """``group, run, n, children``: each run of ``arity`` consecutive nodes (``group, idx, n, digest``), children in order.
 
     A sibling-shift self-join: the node in slot zero of a run computes the places of its siblings (its own plus each slot
@@ -59,11 +68,11 @@ def parents(nodes: DataFrame, arity: int = ARITY) -> DataFrame:
     first = nodes.filter(F.col("idx") % arity == 0).select("group", "idx", "n")
     places = F.array(F.col("idx").bitwiseXOR(F.lit(1).cast("long"))) if arity == 2 else F.transform(F.sequence(F.lit(1), F.lit(arity - 1)), lambda d: F.col("idx") + d)
     wanted = first.select("group", "n", F.explode(places).alias("idx")).filter(F.col("idx") < F.col("n")).select("group", "idx")
-    shifted = nodes.filter(F.col("idx") % arity != 0).join(wanted, ["group", "idx"])
+    shifted = nodes.filter(F.col("idx") % arity != 0).join(wanted, ["group", "idx"]).coalesce(tasks)
     met = nodes.filter(F.col("idx") % arity == 0).select("group", "idx", "n", "digest").union(shifted.select("group", "idx", "n", "digest"))
     run = F.floor(F.col("idx") / arity).cast("long").alias("run")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("idx", "digest"))), lambda x: x["digest"])
-    return met.groupBy("group", run, "n").agg(listed.alias("children"))
+    return met.groupBy("group", run, "n").agg(listed.alias("children")).coalesce(tasks)
 
 
 def siblings(children: Column, slot: Column) -> Column:
@@ -80,22 +89,24 @@ def tree(leaves: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
     one even of one node, becomes their H. Levels are as many as the largest group's logarithm; each is a few equi-joins
     of ever fewer rows, by group and place.
     """
-    most = leaves.agg(F.max("n")).first()[0] or 0
+    # How many nodes of groups with several each level has.
+    reach = [arity**k for k in range(64) if arity**k < 1 << 63]
+    nodes_of = [F.sum(F.when(F.col("n") > p, F.ceil(F.col("n") / p))).alias(f"_{k}") for k, p in enumerate(reach)]
+    counts = [c for c in leaves.filter(F.col("idx") == 0).agg(*nodes_of).first() if c]
     nodes, levels, roots = leaves, [], leaves.filter(F.col("n") == 1).select("group", F.col("digest").alias("root"))
-    while most > 1:
-        runs = cut(parents(nodes.filter(F.col("n") > 1), arity))
-        levels.append(runs)
+    for rows in counts:
+        runs = cut(parents(nodes.filter(F.col("n") > 1), _tasks(rows), arity))
+        levels.append((runs, _tasks(rows)))
         nodes = runs.select("group", F.col("run").alias("idx"), F.ceil(F.col("n") / arity).cast("long").alias("n"), digest(F.array_join("children", "")).alias("digest"))
         roots = roots.union(nodes.filter(F.col("n") == 1).select("group", F.col("digest").alias("root")))
-        most = -(-most // arity)
     none = F.array().cast("array<struct<before:string,after:string>>")
     below = None
-    for runs in reversed(levels):
+    for runs, tasks in reversed(levels):
         top = runs.filter(F.col("n") <= arity).select("group", "run", "children", none.alias("path"))
         if below is not None:
             # The path of a run's own node: its siblings in the run above, then that one's path.
             above = below.select("group", F.col("run").alias("_up"), F.col("children").alias("_others"), F.col("path").alias("_path"))
-            lower = runs.filter(F.col("n") > arity).withColumn("_up", F.floor(F.col("run") / arity).cast("long")).join(above, ["group", "_up"])
+            lower = runs.filter(F.col("n") > arity).withColumn("_up", F.floor(F.col("run") / arity).cast("long")).join(above, ["group", "_up"]).coalesce(tasks)
             own = siblings(F.col("_others"), (F.col("run") % arity).cast("int"))
             top = top.union(lower.select("group", "run", "children", F.concat(F.array(own), "_path").alias("path")))
         below = top
@@ -134,10 +145,11 @@ def manifest(docs: DataFrame, arity: int = ARITY, modulus: int = TAMPER_MODULUS)
     subroots, runs = tree(placed.select("group", "idx", "n", F.col("leaf").alias("digest")), arity)
     sources = cut(numbered(subroots.withColumn("_every", F.lit("")), "_every", ["group"]))
     roots, tops = tree(sources.select(F.lit("").alias("group"), "idx", "n", F.col("root").alias("digest")), arity)
-    # The path of each source's subroot, and the one root, on a row a source.
+    whole = roots.first()
+    # The path of each source's subroot on a row a source; the root is one value.
     up = F.floor(F.col("idx") / arity).cast("long")
-    upper = sources.select(F.col("group").alias("source_group"), F.col("root").alias("subroot"), F.col("idx").alias("_at"), up.alias("run"), F.lit("").alias("group"))
-    upper = upper.join(tops.select("group", "run", "children", "path"), ["group", "run"], "left").join(roots, "group")
+    upper = sources.select(F.col("group").alias("source_group"), F.col("root").alias("subroot"), F.col("idx").alias("_at"), up.alias("run"))
+    upper = upper.join(tops.select("run", "children", "path"), "run", "left").withColumn("root", F.lit(whole and whole["root"]).cast("string"))
     slot = (F.col("_at") % arity).cast("int")
     none = F.array().cast("array<struct<before:string,after:string>>")
     of_source = F.when(F.col("children").isNull(), none).otherwise(F.concat(F.array(siblings(F.col("children"), slot)), "path"))
