@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .documents import canonical_variant
 
-def canonical_json(**fields: Column) -> Column:
-    """Compact JSON of the fields in the order of their names, NULLs kept (S-12)."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
+def canonical_json(**fields: Column) -> Column:
+    """Canonical JSON of the fields by name, NULLs kept: numbers alike in value are alike in text (S-12).
 
-def rounded_number(col: Column) -> Column:
-    """A number's canonical text: six decimals at most, whole ones without a point, not-finite ones NULL."""
-    finite = F.when(~F.isnan(col) & (F.abs(col) < float("inf")), F.round(col, 6))
-    return F.when(finite == F.floor(finite), finite.cast("long").cast("string")).otherwise(finite.cast("string"))
+    Six decimals at most, whole numbers without a point, not-finite ones null, bytes as size and hash. Parts of the fields
+    are written so down to the second level.
+    """
+    return canonical_variant(F.to_variant_object(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 3)
 
 
 def stable_hash(**fields: Column) -> Column:

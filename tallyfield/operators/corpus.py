@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions.ids import stable_hash
 from tallyfield.functions.text import failure_category, is_sha256, message_signature, snake_case
+from tallyfield.operators.ordering import with_previous, with_running_sum
+from tallyfield.sources.shared import saved
 
 TRUSTED_PROVENANCE = ("complete_losing_team_resignation", "postgame_winner_flags", "scoreboard_winner_flags")
 
@@ -114,9 +117,10 @@ def manifest_subset(manifest: DataFrame, wanted: DataFrame, key: str) -> tuple[D
 def ordinals(manifest: DataFrame, line: str, key: str) -> DataFrame:
     """``ordinal``, ``cursor`` (``000001:<hash16>``) and whether the row runs or is a later copy (C-35).
 
-    Lines are numbered within ranges of the line number, and ranges then by their sizes, so no task numbers all rows.
+    Lines are numbered within ranges of the line number, and ranges then by their sizes, so no task numbers all rows. In
+    which range a line lies is saved before the ranges are counted, so a task that runs again finds it the same.
     """
-    ranged = manifest.repartitionByRange(F.col(line)).withColumn("_p", F.spark_partition_id())
+    ranged = saved(manifest.repartitionByRange(F.col(line)).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(line))).join(before, "_p")
@@ -196,10 +200,39 @@ def job_accounting(events: DataFrame, job: str) -> DataFrame:
     return sums.withColumn("balanced", F.col("processed") == F.col("succeeded") + F.col("failed") + F.col("skipped"))
 
 
-def sequence_gaps(events: DataFrame, job: str, seq: str) -> DataFrame:
-    """Last sequence number, rows, gaps and whether there is none (C-34)."""
-    step = F.col(seq) - F.lag(seq).over(Window.partitionBy(job).orderBy(seq))
-    return events.withColumn("_step", step).groupBy(job).agg(F.max(seq).alias("last_sequence"), F.count("*").alias("rows"), F.count_if(F.col("_step") != 1).alias("gaps")).withColumn("gapless", F.col("gaps") == 0)
+def sequence_gaps(events: DataFrame, job: str, seq: str, width: int = 65_536) -> DataFrame:
+    """Last sequence number, rows, gaps and whether there is none (C-34).
+
+    A job's events are split by ``width`` of the sequence, so one job is many tasks.
+    """
+    rows = with_previous(events.select(job, seq), [job], seq, [], F.floor(F.col(seq) / width), "_prev")
+    return rows.groupBy(job).agg(F.max(seq).alias("last_sequence"), F.count("*").alias("rows"), F.count_if(F.col(seq) - F.col("_prev") != 1).alias("gaps")).withColumn("gapless", F.col("gaps") == 0)
+
+
+def sequence_ranges(events: DataFrame, job: str, seq: str, width: int = 65_536) -> DataFrame:
+    """``first, last`` of each unbroken run of a job's sequence numbers; numbers that come twice are one (C-34)."""
+    rows = with_previous(events.select(job, seq).distinct(), [job], seq, [], F.floor(F.col(seq) / width), "_prev")
+    rows = rows.withColumn("_new", F.when(F.col(seq) - F.col("_prev") == 1, 0).otherwise(1))
+    runs = with_running_sum(rows, [job], [seq], "_new", "_run")
+    return runs.groupBy(job, "_run").agg(F.min(seq).alias("first"), F.max(seq).alias("last")).drop("_run")
+
+
+def cursor_accounting(events: DataFrame, job: str, seq: str, kind: str, cursor: str, processed: str) -> DataFrame:
+    """The set of cursors that a job's completed artifacts name, against the counter of its last event (C-34).
+
+    ``cursors``: different ones, blank ones left out; ``repeated``: completed events beyond the first of a cursor;
+    ``processed``: the last event's counter; ``ordinal_ranges`` and ``missing_ordinals``: how the ordinals that cursors
+    begin with lie; ``agrees``: as many cursors as processed. Cursors are counted before jobs are, so no task holds a job's.
+    """
+    done = events.filter((F.col(kind) == "artifact_completed") & (F.coalesce(F.col(cursor), F.lit("")) != ""))
+    sets = done.groupBy(job, cursor).agg(F.count("*").alias("_n"))
+    counted = sets.groupBy(job).agg(F.count("*").alias("cursors"), F.sum(F.col("_n") - 1).alias("repeated"))
+    ordinals_of = sets.select(job, F.regexp_extract(cursor, r"^(\d+):", 1).try_cast("long").alias("_o")).filter(F.col("_o").isNotNull())
+    ranges = sequence_ranges(ordinals_of, job, "_o").groupBy(job).agg(F.count("*").alias("ordinal_ranges"), (F.max("last") - F.min("first") + 1 - F.sum(F.col("last") - F.col("first") + 1)).alias("missing_ordinals"))
+    last = events.groupBy(job).agg(F.max_by(processed, seq).alias("processed"))
+    zero = F.lit(0).cast("long")
+    out = last.join(counted, job, "left").join(ranges, job, "left").select(job, *[F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in ("cursors", "repeated", "processed", "ordinal_ranges", "missing_ordinals")])
+    return out.withColumn("agrees", F.col("cursors") == F.col("processed"))
 
 
 def failure_triage(failures: DataFrame, message: str, exception: str, io_errors: Sequence[str] = ("OSError", "IOError", "FileNotFoundError", "PermissionError", "TimeoutError")) -> DataFrame:
@@ -315,6 +348,19 @@ def projection_gates(df: DataFrame) -> DataFrame:
     return df.withColumn("_d", decided).withColumn("projection_class", F.col("_d.col1")).withColumn("reason_codes", F.col("_d.col2")).drop("_d", "_reasons")
 
 
+def projection_records(gated: DataFrame, ident: Sequence[str], before: Column, after: Column, policy: str) -> DataFrame:
+    """``before``, ``after`` and ``decision_hash`` of each gated candidate (C-42).
+
+    Only a safe projection changes anything: otherwise ``after`` is ``before``. The hash is that of the canonical JSON of the
+    policy, the columns ``ident``, the class, both projections and whether anything financial is linked.
+    """
+    safe = F.col("projection_class") == "safe_projection"
+    rows = gated.withColumn("before", before).withColumn("after", F.when(safe, after).otherwise(F.col("before")))
+    impact = F.when(F.coalesce(F.col("links"), F.lit(0)) > 0, "linked_financial_history").otherwise("no_linked_financial_history")
+    material = {c: F.col(c) for c in ident} | {"policy_version": F.lit(policy), "classification": F.col("projection_class"), "before_projection": F.col("before"), "after_projection": F.col("after"), "financial_impact_classification": impact}
+    return rows.withColumn("decision_hash", stable_hash(**material))
+
+
 def structure_gates(df: DataFrame) -> DataFrame:
     """Whether roster and teams may be projected without any winner (C-43); the projected row has no winner."""
     c, no = F.col, lambda x: ~F.coalesce(x, F.lit(False))

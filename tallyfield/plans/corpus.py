@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyfield.functions.text import REDACTIONS, TRUNCATED, compact_json
+from tallyfield.functions.documents import with_canonical, with_compact
+from tallyfield.functions.text import REDACTIONS, TRUNCATED
 from tallyfield.operators import corpus as op
 
 from .registry import query
@@ -252,7 +253,7 @@ def job_report(read):
 
 
 @query(
-    """SELECT o_orderkey, '{' || CASE WHEN o_orderkey % 2 = 0 THEN '"status":"' || o_orderstatus || '",' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '"deep":[{"n":' || o_custkey || '}],' ELSE '' END || '"flag":false,"zero":0}' AS compact FROM orders"""
+    """SELECT o_orderkey, '{' || CASE WHEN o_orderkey % 3 = 0 THEN '"deep":[{"n":' || o_custkey || '}],' ELSE '' END || '"flag":false,' || CASE WHEN o_orderkey % 2 = 0 THEN '"status":"' || o_orderstatus || '",' ELSE '' END || '"zero":0}' AS compact FROM orders"""
 )
 def compact_records(read):
     """S-16: what is blank or empty at any depth goes, 0 and false stay."""
@@ -260,7 +261,22 @@ def compact_records(read):
     status = F.when(c("o_orderkey") % 2 == 0, F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))).otherwise(F.lit('"  "'))
     inner = F.when(c("o_orderkey") % 3 == 0, F.concat(F.lit('{"n": '), c("o_custkey").cast("string"), F.lit('.0, "m": ""}'))).otherwise(F.lit('{"m": [null, " "]}'))
     text = F.concat(F.lit('{"status": '), status, F.lit(', "none": null, "deep": [{}, '), inner, F.lit('], "flag": false, "zero": 0}'))
-    return read("orders").select("o_orderkey", compact_json(text).alias("compact"))
+    return with_compact(read("orders").select("o_orderkey", text.alias("text")), "text", "compact").drop("text")
+
+
+@query(
+    """
+SELECT event_id, sha256('{"at":[' || event_id || ',{"k":' || CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) || '}],"none":null,"type":"' || event_type || '","value":'
+       || CASE WHEN value = floor(value) THEN CAST(value AS BIGINT)::VARCHAR ELSE rtrim(CAST(CAST(value AS DECIMAL(18, 6)) AS VARCHAR), '0') END || '}') AS hash
+FROM events"""
+)
+def canonical_records(read):
+    """S-12, S-13: one hash for documents alike in value, whatever the order of their keys and the form of their numbers."""
+    k = F.regexp_extract("props", r"(\d+)", 1)
+    value = F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string")).otherwise(F.format_string("%.8f", "value"))
+    text = F.concat(F.lit('{ "value": '), value, F.lit(', "type": "'), "event_type", F.lit('", "none": null, "at": ['), F.col("event_id").cast("string"), F.lit('.0, {"k": '), k, F.lit(".00}] }"))
+    rows = with_canonical(read("events").select("event_id", text.alias("text")), "text", "canonical")
+    return rows.select("event_id", F.sha2("canonical", 256).alias("hash"))
 
 
 @query(
@@ -303,19 +319,10 @@ _GATES = """WITH g AS (
 """
 
 
-@query(
-    _GATES
-    + """SELECT o_orderkey, CASE WHEN NOT ran THEN 'candidate_parse_failed' WHEN accepted > 0 THEN 'manual_adjudication_preserved' WHEN cur IS NOT NULL AND cur = cand THEN 'matches_effective_truth'
-  WHEN cur IS NOT NULL AND (cand IS NULL OR NOT trusted) THEN 'candidate_lower_confidence' WHEN cur IS NOT NULL THEN 'candidate_conflicts_with_effective_truth' WHEN links > 0 THEN 'financially_linked_missing_result'
-  WHEN reasons <> '' THEN 'private_review' ELSE 'safe_projection' END AS projection_class,
-  CASE WHEN NOT ran THEN 'candidate_run_not_successful' WHEN accepted > 0 THEN 'accepted_adjudication_present' WHEN cur IS NOT NULL AND cur = cand THEN 'winner_keys_already_match'
-  WHEN cur IS NOT NULL AND (cand IS NULL OR NOT trusted) THEN 'effective_result_already_known' WHEN cur IS NOT NULL THEN 'winner_keys_conflict' WHEN links > 0 THEN 'linked=2' WHEN reasons <> '' THEN reasons ELSE 'all_strict_projection_gates_passed' END AS reason_codes FROM r"""
-)
-def projection_gates(read):
-    """C-42."""
+def _gate_rows(read):
     c = F.col
     k, u = c("o_orderkey"), c("o_custkey")
-    rows = read("orders").join(read("labels"), c("doc_id") == k, "left").select(
+    return read("orders").join(read("labels"), c("doc_id") == k, "left").select(
         k,
         F.when(k % 11 == 0, "failed").otherwise("succeeded").alias("run_status"),
         F.when(c("quality") == 1, 1).otherwise(0).alias("accepted"),
@@ -332,8 +339,21 @@ def projection_gates(read):
         F.lit("postgame_winner_flags").alias("provenance"),
         F.lit(True).alias("winner_in_roster"),
         F.lit(True).alias("completed"),
+        F.col("o_totalprice").cast("double").alias("price"),
     )
-    return op.projection_gates(rows).select("o_orderkey", "projection_class", "reason_codes")
+
+
+@query(
+    _GATES
+    + """SELECT o_orderkey, CASE WHEN NOT ran THEN 'candidate_parse_failed' WHEN accepted > 0 THEN 'manual_adjudication_preserved' WHEN cur IS NOT NULL AND cur = cand THEN 'matches_effective_truth'
+  WHEN cur IS NOT NULL AND (cand IS NULL OR NOT trusted) THEN 'candidate_lower_confidence' WHEN cur IS NOT NULL THEN 'candidate_conflicts_with_effective_truth' WHEN links > 0 THEN 'financially_linked_missing_result'
+  WHEN reasons <> '' THEN 'private_review' ELSE 'safe_projection' END AS projection_class,
+  CASE WHEN NOT ran THEN 'candidate_run_not_successful' WHEN accepted > 0 THEN 'accepted_adjudication_present' WHEN cur IS NOT NULL AND cur = cand THEN 'winner_keys_already_match'
+  WHEN cur IS NOT NULL AND (cand IS NULL OR NOT trusted) THEN 'effective_result_already_known' WHEN cur IS NOT NULL THEN 'winner_keys_conflict' WHEN links > 0 THEN 'linked=2' WHEN reasons <> '' THEN reasons ELSE 'all_strict_projection_gates_passed' END AS reason_codes FROM r"""
+)
+def projection_gates(read):
+    """C-42."""
+    return op.projection_gates(_gate_rows(read)).select("o_orderkey", "projection_class", "reason_codes")
 
 
 @query("SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS current, count(*) FILTER (o_orderkey % 3 = 0) AS stale, count(*) FILTER (o_orderkey % 3 = 0) = 0 AS may_project FROM orders")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the session's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
     A session on one machine (tests) gets a temporary folder if it has none; on a cluster that is an error.
     """
@@ -19,5 +19,17 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as they are now, by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -55,12 +55,6 @@ def test_failure_messages_show_no_secret_and_no_path(spark):
     assert [category(None), category("x"), category("x", True)] == ["parser_exception", "parser_exception", "artifact_io"]
 
 
-def test_json_is_compacted_at_any_depth(spark):
-    c = F.col("x")
-    assert one(spark, text.compact_json(c), x='{"a": " ", "b": {"c": [null, {"d": ""}]}, "e": [0, false, 2.0, [], "é"]}') == '{"e":[0,false,2,"é"]}'
-    assert one(spark, text.compact_json(c), x="{broken") is None
-
-
 def test_a_resignation_completes_a_game_only_for_a_whole_team(spark):
     players = spark.createDataFrame(
         [(g, n, t, g == 1 and t == "2" or n == "c") for g in (1, 2) for n, t in (("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"))], "game_id int, name string, team_id string, resigned boolean"
