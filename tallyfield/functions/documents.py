@@ -130,6 +130,16 @@ def _rebuilt_rows(rows: DataFrame, levels: int, scalar: Callable[[Column], Colum
     return texts.select("_row", "_text")
 
 
+def meaningful(v: Column, levels: int = 2) -> Column:
+    """Whether a VARIANT has any part, down to ``levels``, that is neither missing nor blank (S-16)."""
+    return _rebuilt(v, levels, _kept_scalar, False).isNotNull() & v.isNotNull()
+
+
+def is_set(v: Column) -> Column:
+    """Whether a VARIANT is there and neither null, false, 0, the empty text nor an empty part."""
+    return ~F.coalesce(F.to_json(v), F.lit("null")).isin("null", "false", "0", '""', "[]", "{}")
+
+
 def _of_table(df: DataFrame, column: str, name: str, scalar: Callable[[Column], Column], empty: bool, form: Callable[[Column, int], Column]) -> DataFrame:
     depth = json_levels(F.col(column))
     deepest = df.agg(F.max(depth)).first()[0] or 0

@@ -36,10 +36,16 @@ def content_mismatches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def archive_profile(objects: DataFrame) -> DataFrame:
-    """Files, valid ones, bytes, duplicates, invalid names, layout mismatches (C-20)."""
-    per = objects.groupBy("valid", "sha256").agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.count_if(~F.col("layout_valid") & F.col("valid")).alias("off"))
+    """Files, valid ones, bytes, duplicates, invalid names, layout mismatches (C-20).
+
+    With a column ``extension`` also ``extensions``, files by it (``<none>`` for a blank one).
+    """
+    named = "extension" in objects.columns
+    by = [F.coalesce(F.nullif(F.lower(F.trim("extension")), F.lit("")), F.lit("<none>")).alias("_ext")] if named else []
+    counts = objects.groupBy("valid", "sha256", *by).agg(F.count("*").alias("n"), F.sum("byte_size").alias("b"), F.count_if(~F.col("layout_valid") & F.col("valid")).alias("off"))
+    per = counts.groupBy("valid", "sha256").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("off").alias("off")) if named else counts
     valid = F.col("valid")
-    return per.agg(
+    out = per.agg(
         F.sum("n").alias("files"),
         F.sum(F.when(valid, F.col("n")).otherwise(0)).alias("valid_objects"),
         F.count_if(valid).alias("unique_hashes"),
@@ -49,6 +55,16 @@ def archive_profile(objects: DataFrame) -> DataFrame:
         F.sum(F.when(valid, F.lit(0)).otherwise(F.col("n"))).alias("invalid_filenames"),
         F.sum("off").alias("layout_mismatches"),
     )
+    if not named:
+        return out
+    # Two tables of one row each.
+    return out.withColumn("_one", F.lit(1)).join(_one_map(counts, "_ext", "n", "extensions"), "_one").drop("_one")
+
+
+def _one_map(counts: DataFrame, label: str, n: str, name: str) -> DataFrame:
+    """All counts by label as one map, under a key ``_one``; labels are few (extensions)."""
+    sums = counts.groupBy(label).agg(F.sum(n).alias("_n"))
+    return sums.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "_n")))).alias(name)).withColumn("_one", F.lit(1))
 
 
 def best_row(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -69,16 +85,18 @@ def cohort_manifest(games: DataFrame, archive: DataFrame, submissions: DataFrame
     return games.join(held, key, "left").join(n, key, "left").withColumns({"archive_present": F.coalesce("archive_present", F.lit(False)), "submissions": F.coalesce("submissions", F.lit(0))})
 
 
-def manifest_issues(manifest: DataFrame, archive: DataFrame, extensions: Sequence[str]) -> DataFrame:
+def manifest_issues(manifest: DataFrame, archive: DataFrame, extensions: Sequence[str], root: str = "") -> DataFrame:
     """One row for each error or warning of each manifest row: all rows are reported, not the first failure (C-06).
 
-    ``manifest``: ``row_no, replay_hash, archive_relative_path, byte_size, extension, submitter_uid``; ``archive``:
-    ``sha256, relative_path, byte_size``.
+    ``manifest``: ``row_no, replay_hash, archive_relative_path, byte_size, extension, submitter_uid`` and, if it has them,
+    ``game_stats_id, legacy_parse_attempt_id, original_filename``; ``archive``: ``sha256, relative_path, byte_size`` and, if it
+    has it, ``content_sha256``, the hash of the bytes. A storage key is ``root`` and the path.
     """
     c = F.col
     blank = lambda x: c(x).isNull() | (F.trim(x) == "")
     path = c("archive_relative_path")
-    rows = manifest.join(archive.select(F.col("sha256").alias("replay_hash"), F.col("relative_path").alias("_path"), F.col("byte_size").alias("_size")).dropDuplicates(["replay_hash"]), "replay_hash", "left")
+    suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    rows = manifest.join(archive.select(F.col("sha256").alias("replay_hash"), F.col("relative_path").alias("_path"), F.col("byte_size").alias("_size"), (F.col("content_sha256") if "content_sha256" in archive.columns else F.lit(None).cast("string")).alias("_content")).dropDuplicates(["replay_hash"]), "replay_hash", "left")
     times = manifest.filter(is_sha256(F.col("replay_hash"))).groupBy("replay_hash").agg(F.count("*").alias("_times"))
     rows = rows.join(times, "replay_hash", "left")
     errors = (
@@ -94,17 +112,38 @@ def manifest_issues(manifest: DataFrame, archive: DataFrame, extensions: Sequenc
         ("size_mismatch", c("_size").isNotNull() & (c("_size") != c("byte_size"))),
         ("extension_unsupported", ~F.lower(F.coalesce("extension", F.lit(""))).isin(*extensions)),
         ("uid_too_long", F.length("submitter_uid") > 100),
+        ("storage_key_too_long", F.length(path) + len(root) > 1000),
+        ("archive_extension_mismatch", ~blank("extension") & (suffix != "") & (F.lower(F.trim("extension")) != suffix)),
+        ("archive_hash_mismatch", F.lower("_content") != F.lower("replay_hash")),
     )
+    for name in ("game_stats_id", "legacy_parse_attempt_id"):
+        if name in manifest.columns:
+            text = c(name).cast("string")
+            errors += ((f"invalid_{name}", (F.trim(text) != "") & ~F.coalesce(F.trim(text).try_cast("long") > 0, F.lit(False))),)
+    if "original_filename" in manifest.columns:
+        errors += (("filename_too_long", F.length("original_filename") > 255),)
     warnings = (("duplicate_artifact", c("_times") > 1), ("uid_missing", blank("submitter_uid")))
     entry = lambda level, code, cond: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code")))
     issues = F.array_compact(F.array(*[entry("error", *e) for e in errors], *[entry("warning", *w) for w in warnings]))
     return rows.select("row_no", "replay_hash", F.inline(issues))
 
 
-def manifest_profile(manifest: DataFrame, key: str, size: str) -> DataFrame:
-    """Rows, unique artifacts, duplicate rows and bytes (C-30)."""
+def manifest_profile(manifest: DataFrame, key: str, size: str, extension: str | None = None, logical: str | None = None) -> DataFrame:
+    """Rows, unique artifacts, rows in excess of valid ones, bytes (C-21, C-30).
+
+    ``excess_rows``: rows less the different valid hashes, so rows whose hash is no hash count too. With ``extension`` also
+    rows by it as a map, with ``logical`` the rows that repeat a logical key; a row without one has its own.
+    """
     per = manifest.groupBy(key).agg(F.count("*").alias("n"), F.max(size).alias("b"))
-    return per.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_artifacts"), F.sum(F.col("n") - 1).alias("duplicate_rows"), F.sum("b").alias("bytes"))
+    valid = F.coalesce(is_sha256(F.col(key)), F.lit(False))
+    out = per.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_artifacts"), F.sum(F.col("n") - 1).alias("duplicate_rows"), F.sum("b").alias("bytes"), (F.sum("n") - F.count_if(valid)).alias("excess_rows")).withColumn("_one", F.lit(1))
+    if extension:
+        named = F.coalesce(F.nullif(F.lower(F.trim(extension)), F.lit("")), F.lit("<none>")).alias("_ext")
+        out = out.join(_one_map(manifest.groupBy(named).agg(F.count("*").alias("n")), "_ext", "n", "extensions"), "_one")
+    if logical:
+        keyed = manifest.filter(F.trim(logical) != "").groupBy(logical).agg(F.count("*").alias("n"))
+        out = out.join(keyed.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_logical_rows")).withColumn("_one", F.lit(1)), "_one")
+    return out.drop("_one")
 
 
 def manifest_subset(manifest: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:

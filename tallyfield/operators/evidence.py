@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.ids import canonical_json, stable_hash
 from tallyfield.operators.ordering import with_previous
+from tallyfield.operators.rollups import facts, folded
 
 #: Confidence in basis points of a provenance class (S-24); others have none.
 CONFIDENCE = {"direct": 10_000, "exact": 10_000, "derived": 9_000}
@@ -69,12 +70,32 @@ def player_activity(actions: DataFrame, player: str, ms: str, ordinal: str, dura
     )
 
 
+def activity_lanes(actions: DataFrame, game: str, player: str, ms: str, ordinal: str, kind: str, family: str, duration_ms: int | None = None) -> DataFrame:
+    """The activity of each player in two lanes, as sent and with each packet's first row alone, with maps of its kinds (E-07, E-13).
+
+    ``lane, player``, what ``player_activity`` tells, ``action_type_counts, command_family_counts`` (by name) and ``eapm``,
+    packets a minute rounded half to even. Orders of the machine's own players are left out, and so are rows without a
+    player or a time. ``actions`` has ``packet_id``.
+    """
+    rows = actions.filter(F.col(player).isNotNull() & F.col(ms).isNotNull() & (F.coalesce(F.col(kind), F.lit("")) != "ai_order"))
+    out = None
+    for name, lane in (("raw", rows), ("identity_normalized", first_occurrences(rows, game, ordinal))):
+        dimensions = {"action_type_counts": F.coalesce(F.nullif(F.col(kind), F.lit("")), F.lit("unclassified")), "command_family_counts": F.coalesce(F.nullif(F.col(family), F.lit("")), F.lit("other_command"))}
+        maps = folded(facts(lane, dimensions, keys=[player]), list(dimensions), [player]).drop("sums")
+        rate = F.bround(F.col("packets") / (F.lit(duration_ms) / 60_000)).cast("long") if duration_ms else F.lit(None).cast("long")
+        one = player_activity(lane, player, ms, ordinal, duration_ms).join(maps, player).withColumn("eapm", rate).withColumn("lane", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def earliest_per_player(actions: DataFrame, player: Column, ms: str, ordinal: str) -> DataFrame:
-    """The semantic lane: each player's earliest row, rows without a time last; rows without a player stay raw (E-08)."""
+    """The semantic lane: each player's earliest row, rows without a time last; rows without a player stay raw (E-08).
+
+    One aggregation: a player's rows are compared where they lie, and no task holds them all.
+    """
     rows = actions.withColumn("player_key", player).filter(F.col("player_key").isNotNull())
-    order = Window.partitionBy("player_key").orderBy(F.col(ms).asc_nulls_last(), ordinal)
-    per = Window.partitionBy("player_key")
-    return rows.withColumn("raw_rows", F.count("*").over(per)).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == 1).drop("_rn")
+    first = F.min_by(F.struct(*actions.columns), F.struct(F.col(ms).isNull(), F.col(ms), F.col(ordinal))).alias("_row")
+    return rows.groupBy("player_key").agg(first, F.count("*").alias("raw_rows")).select("_row.*", "player_key", "raw_rows")
 
 
 def timeline(actions: DataFrame, types: Sequence[str], payload: Mapping[str, str], game: str = "game_id") -> DataFrame:

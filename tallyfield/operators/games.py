@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions.documents import is_set, meaningful
 from tallyfield.functions.text import clean_text, is_sha256, ms_to_seconds, name_key, whole_int
 from tallyfield.operators.ordering import with_max_before
 
@@ -265,10 +266,28 @@ def finality(row: Column) -> Column:
     )
 
 
-def statistics_available(score_count: Column, achievement_count: Column, players: Column) -> Column:
-    """Struct ``available, complete``: any postgame figures; figures of every player (G-25)."""
-    any_figures = F.coalesce(score_count, F.lit(0)) + F.coalesce(achievement_count, F.lit(0)) > 0
-    return F.struct(any_figures.alias("available"), (any_figures & (players > 0) & (F.coalesce(achievement_count, F.lit(0)) >= players)).alias("complete"))
+def statistics_available(record: Column, players: Column) -> Column:
+    """Struct ``available, complete`` of a match record (VARIANT) with ``players`` players (G-25).
+
+    Complete: two players or more, figures after the game are said to be there, and achievements or scores of as many
+    players. Available: the record says so, or counts any, or a player has a score or an achievement where the record
+    vouches for such, or the stream of actions is there and counted.
+    """
+    number = lambda path: F.greatest(F.coalesce(F.floor(F.try_variant_get(record, path, "double")), F.lit(0)), F.lit(0))
+    flag = lambda path: is_set(F.try_variant_get(record, path, "variant"))
+    achievements, scores = number("$.key_events.achievement_player_count"), number("$.key_events.player_score_count")
+    postgame = flag("$.key_events.postgame_available")
+    by_score, by_achievement = postgame | flag("$.key_events.has_scores") | (scores > 0), postgame | flag("$.key_events.has_achievements") | (achievements > 0)
+    each = F.try_variant_get(record, "$.players", "variant").try_cast("array<variant>")
+    has = lambda p, path: meaningful(F.try_variant_get(p, path, "variant"))
+    own = F.coalesce(F.exists(each, lambda p: (by_score & has(p, "$.score")) | (by_achievement & has(p, "$.achievements"))), F.lit(False))
+    engine = "$.key_events.parser_engine"
+    counted = F.try_variant_get(record, f"{engine}.raw_action_count", "variant")
+    a_number = F.coalesce(F.schema_of_variant(counted).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.lit(False))
+    stream = (F.coalesce(F.to_json(F.try_variant_get(record, f"{engine}.action_stream_available", "variant")), F.lit("")) == "true") & a_number & F.coalesce(counted.try_cast("double") >= 0, F.lit(False))
+    said = flag("$.statistics_complete") | flag("$.statistics_available")
+    complete = (F.coalesce(players, F.lit(0)) >= 2) & (postgame | flag("$.key_events.has_achievements")) & (F.greatest(achievements, scores) >= players)
+    return F.struct((said | (achievements > 0) | (scores > 0) | own | stream).alias("available"), F.coalesce(complete, F.lit(False)).alias("complete"))
 
 
 def best_standing(uploads: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.documents import canonical_variant
+from tallyfield.functions.documents import canonical_variant, is_set
 from tallyfield.functions.text import clean_text
 
 # Fixed values.
@@ -65,8 +65,7 @@ CATALOGUE = (
 
 
 def _flag(record: Column, path: str) -> Column:
-    """Whether a part is there and neither false, 0, blank nor empty."""
-    return ~F.coalesce(F.to_json(F.try_variant_get(record, path, "variant")), F.lit("null")).isin("null", "false", "0", '""', "[]", "{}")
+    return is_set(F.try_variant_get(record, path, "variant"))
 
 
 def _told(rows: DataFrame, kept: Sequence[str]) -> DataFrame:

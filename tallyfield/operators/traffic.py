@@ -223,9 +223,10 @@ def top_labels(df: DataFrame, label: str, k: int = 10) -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(label).asc_nulls_last()).limit(k)
 
 
-def top_visitors(df: DataFrame, who: str, ts: str, geo: DataFrame | None = None, k: int = 15) -> DataFrame:
-    """The k busiest visitors with their last time and country (T-33)."""
-    top = df.groupBy(who).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen")).orderBy(F.desc("n"), who).limit(k)
+def top_visitors(df: DataFrame, who: str, ts: str, geo: DataFrame | None = None, k: int = 15, category: str | None = None, line: str | None = None) -> DataFrame:
+    """The k busiest visitors with their last time, their country, and the category of their last line by ``line`` (T-33)."""
+    last = [F.max_by(category, line).alias("category")] if category and line else []
+    top = df.groupBy(who).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"), *last).orderBy(F.desc("n"), who).limit(k)
     return top if geo is None else enrich_geo(top, geo, who)
 
 

@@ -132,14 +132,16 @@ def _manifest(read):
         F.when(i % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("byte_size"),
         F.when(i % 3 == 0, ".ZIP").otherwise(".MGZ").alias("extension"),
         F.when(i % 19 != 0, F.col("source")).alias("submitter_uid"),
+        F.when(i % 23 == 0, "-4").when(i % 23 == 1, "x").when(i % 23 == 2, "").otherwise(i.cast("string")).alias("game_stats_id"),
+        F.repeat(F.lit("n"), F.when(i % 29 == 0, 256).otherwise(255)).alias("original_filename"),
     )
 
 
 _MANIFEST = """WITH m AS (
   SELECT doc_id AS row_no, sha256(text) AS sha, CASE WHEN doc_id % 11 = 0 THEN 'nothex' WHEN doc_id % 13 = 0 THEN NULL ELSE sha256(text) END AS h, n_chars, doc_id % 7 = 0 AS absolute, doc_id % 7 <> 0 AND doc_id % 17 = 0 AS up,
-         doc_id % 5 = 0 AS wrong_size, doc_id % 3 = 0 AS zip, CASE WHEN doc_id % 19 <> 0 THEN source END AS uid FROM documents
-), held AS (SELECT sha256(text) AS sha, any_value(n_chars) AS n FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1
-), x AS (SELECT m.*, held.n, count(*) OVER (PARTITION BY h) AS times FROM m LEFT JOIN held ON m.h = held.sha)
+         doc_id % 5 = 0 AS wrong_size, doc_id % 3 = 0 AS zip, CASE WHEN doc_id % 19 <> 0 THEN source END AS uid, doc_id % 23 < 2 AS bad_id, doc_id % 29 = 0 AS long_name FROM documents
+), held AS (SELECT sha256(text) AS sha, any_value(n_chars) AS n, substring(sha256(text), 1, 1) = '7' AS other FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1
+), x AS (SELECT m.*, held.n, held.other, count(*) OVER (PARTITION BY h) AS times FROM m LEFT JOIN held ON m.h = held.sha)
 """
 
 
@@ -150,31 +152,41 @@ _MANIFEST = """WITH m AS (
   SELECT row_no, 'error', 'path_absolute' FROM x WHERE absolute UNION ALL SELECT row_no, 'error', 'path_traversal' FROM x WHERE up UNION ALL
   SELECT row_no, 'error', 'layout_invalid' FROM x WHERE h = sha AND (absolute OR up) UNION ALL SELECT row_no, 'error', 'artifact_absent' FROM x WHERE h = sha AND n IS NULL UNION ALL
   SELECT row_no, 'error', 'path_differs' FROM x WHERE n IS NOT NULL AND (absolute OR up) UNION ALL SELECT row_no, 'error', 'size_mismatch' FROM x WHERE n IS NOT NULL AND wrong_size UNION ALL
-  SELECT row_no, 'error', 'extension_unsupported' FROM x WHERE zip UNION ALL SELECT row_no, 'warning', 'duplicate_artifact' FROM x WHERE times > 1 AND h = sha UNION ALL SELECT row_no, 'warning', 'uid_missing' FROM x WHERE uid IS NULL)"""
+  SELECT row_no, 'error', 'extension_unsupported' FROM x WHERE zip UNION ALL SELECT row_no, 'warning', 'duplicate_artifact' FROM x WHERE times > 1 AND h = sha UNION ALL SELECT row_no, 'warning', 'uid_missing' FROM x WHERE uid IS NULL
+  UNION ALL SELECT row_no, 'error', 'invalid_game_stats_id' FROM x WHERE bad_id UNION ALL SELECT row_no, 'error', 'filename_too_long' FROM x WHERE long_name UNION ALL SELECT row_no, 'error', 'archive_hash_mismatch' FROM x WHERE other)"""
 )
 def manifest_validation(read):
     """C-06: every issue of every row."""
     archive = read("documents").filter(F.col("doc_id") % 4 != 0).select(F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("byte_size"))
+    archive = archive.withColumn("content_sha256", F.when(F.col("sha256").startswith("7"), F.reverse("sha256")).otherwise(F.col("sha256")))
     archive = archive.withColumn("relative_path", F.concat_ws("/", F.substring("sha256", 1, 2), F.substring("sha256", 3, 2), "sha256"))
     return op.manifest_issues(_manifest(read), archive, [".mgz", ".aoe2record"]).select("row_no", "level", "code")
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS unique_artifacts, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, CAST(sum(b) AS BIGINT) AS bytes FROM (SELECT text, count(*) AS n, max(n_chars) AS b FROM documents GROUP BY 1)")
+@query(
+    """WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'x' || doc_id % 30 ELSE sha256(text) END AS h, n_chars, CASE WHEN doc_id % 3 > 0 THEN '.' || lang ELSE '<none>' END AS e, CASE WHEN doc_id % 4 > 0 THEN source || lang END AS k FROM documents)
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS unique_artifacts, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(n) - count(*) FILTER (length(h) = 64) AS BIGINT) AS excess_rows,
+  (SELECT '{' || string_agg('"' || e || '":' || c, ',' ORDER BY e) || '}' FROM (SELECT e, count(*) AS c FROM d GROUP BY 1)) AS extensions, (SELECT count(k) - count(DISTINCT k) FROM d) AS duplicate_logical_rows
+FROM (SELECT h, count(*) AS n, max(n_chars) AS b FROM d GROUP BY 1)"""
+)
 def manifest_profile(read):
-    """C-30 and C-21."""
-    return op.manifest_profile(read("documents").select(F.sha2("text", 256).alias("h"), "n_chars"), "h", "n_chars")
+    """C-30 and C-21: rows whose hash is no hash count as in excess; extensions; logical keys that come again."""
+    i = F.col("doc_id")
+    rows = read("documents").select(F.when(i % 10 == 0, F.concat(F.lit("x"), (i % 30).cast("string"))).otherwise(F.sha2("text", 256)).alias("h"), "n_chars", F.when(i % 3 > 0, F.upper(F.concat(F.lit("."), "lang"))).alias("e"), F.when(i % 4 > 0, F.concat("source", "lang")).alias("k"))
+    return op.manifest_profile(rows, "h", "n_chars", "e", "k").withColumn("extensions", F.to_json("extensions"))
 
 
 @query(
     """SELECT CAST(sum(n) AS BIGINT) AS files, CAST(sum(n) FILTER (v) AS BIGINT) AS valid_objects, count(*) FILTER (v) AS unique_hashes, CAST(sum(b) FILTER (v) AS BIGINT) AS bytes, count(*) FILTER (v AND n > 1) AS duplicate_hashes,
-  CAST(sum(n - 1) FILTER (v) AS BIGINT) AS duplicate_objects, CAST(coalesce(sum(n) FILTER (NOT v), 0) AS BIGINT) AS invalid_filenames, CAST(sum(off) AS BIGINT) AS layout_mismatches
+  CAST(sum(n - 1) FILTER (v) AS BIGINT) AS duplicate_objects, CAST(coalesce(sum(n) FILTER (NOT v), 0) AS BIGINT) AS invalid_filenames, CAST(sum(off) AS BIGINT) AS layout_mismatches,
+  (SELECT '{' || string_agg('"' || e || '":' || c, ',' ORDER BY e) || '}' FROM (SELECT CASE WHEN doc_id % 5 > 0 THEN '.' || lang ELSE '<none>' END AS e, count(*) AS c FROM documents GROUP BY 1)) AS extensions
   FROM (SELECT doc_id % 11 <> 0 AS v, CASE WHEN doc_id % 11 <> 0 THEN text END AS h, count(*) AS n, sum(n_chars) AS b, count(*) FILTER (doc_id % 6 = 0 AND doc_id % 11 <> 0) AS off FROM documents GROUP BY 1, 2)"""
 )
 def archive_profiles(read):
     """C-20: documents as archive objects."""
     i = F.col("doc_id")
-    objects = read("documents").select((i % 11 != 0).alias("valid"), F.when(i % 11 != 0, F.sha2("text", 256)).alias("sha256"), F.col("n_chars").alias("byte_size"), (i % 6 != 0).alias("layout_valid"))
-    return op.archive_profile(objects)
+    objects = read("documents").select((i % 11 != 0).alias("valid"), F.when(i % 11 != 0, F.sha2("text", 256)).alias("sha256"), F.col("n_chars").alias("byte_size"), (i % 6 != 0).alias("layout_valid"), F.when(i % 5 > 0, F.concat(F.lit("."), "lang")).otherwise(" ").alias("extension"))
+    return op.archive_profile(objects).withColumn("extensions", F.to_json("extensions"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS ordinal, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 THEN 'run' ELSE 'skipped' END AS status FROM documents")

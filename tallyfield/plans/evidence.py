@@ -52,11 +52,31 @@ def first_occurrences(read):
 @query(
     f"""WITH a AS (SELECT user_id, event_id, {_MS} AS ms FROM events), g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM a),
   m AS (SELECT user_id, ms // 60000 AS minute, count(*) AS n, min(ms) AS f, max(ms) AS l, max(gap) AS gap FROM g GROUP BY 1, 2)
-  SELECT user_id, CAST(sum(n) AS BIGINT) AS packets, min(f) AS first_ms, max(l) AS last_ms, count(*) AS active_minutes, max(n) AS peak_per_minute, max(gap) AS largest_gap_ms FROM m GROUP BY 1"""
+  SELECT user_id, CAST(sum(n) AS BIGINT) AS packets, min(f) AS first_ms, max(l) AS last_ms, count(*) AS active_minutes, max(n) AS peak_per_minute, max(gap) AS largest_gap_ms,
+  round_even(sum(n) / 43.5, 2) AS per_minute FROM m GROUP BY 1"""
 )
 def activity_per_player(read):
     """E-07 and E-14."""
-    return op.player_activity(_actions(read), "user_id", "ms", "event_id").drop("per_minute")
+    return op.player_activity(_actions(read), "user_id", "ms", "event_id", 2_610_000)
+
+
+_LANE_MAP = """(SELECT '{{' || string_agg('"' || v || '":' || c, ',' ORDER BY v) || '}}' FROM (SELECT {what} AS v, count(*) AS c FROM r x WHERE x.lane = m.lane AND x.user_id = m.user_id GROUP BY 1))"""
+
+
+@query(
+    f"""WITH a AS (SELECT user_id, event_id, event_type, {_MS} AS ms, row_number() OVER (PARTITION BY user_id % 10, user_id, event_type, {_MS} // 86400000 ORDER BY event_id) AS rn FROM events WHERE event_type <> 'signup'),
+  r AS (SELECT 'raw' AS lane, * FROM a UNION ALL SELECT 'identity_normalized', * FROM a WHERE rn = 1),
+  g AS (SELECT *, ms - lag(ms) OVER (PARTITION BY lane, user_id ORDER BY ms, event_id) AS gap FROM r),
+  n AS (SELECT lane, user_id, ms // 60000 AS minute, count(*) AS n, min(ms) AS f, max(ms) AS l, max(gap) AS gap FROM g GROUP BY 1, 2, 3),
+  m AS (SELECT lane, user_id, sum(n)::BIGINT AS packets, min(f) AS first_ms, max(l) AS last_ms, count(*) AS active_minutes, max(n) AS peak_per_minute, max(gap) AS largest_gap_ms, round_even(sum(n) / 5, 2) AS per_minute, round_even(sum(n) / 5, 0)::BIGINT AS eapm FROM n GROUP BY 1, 2)
+  SELECT m.*, {_LANE_MAP.format(what="event_type")} AS action_type_counts, {_LANE_MAP.format(what="CASE WHEN event_type IN ('click', 'view') THEN 'browse' ELSE 'other_command' END")} AS command_family_counts FROM m"""
+)
+def activity_lanes(read):
+    """E-07 with both lanes and the maps: an event's user, type and day stand for its packet, sign-ups for the machine's orders."""
+    kind = F.when(F.col("event_type") == "signup", "ai_order").otherwise(F.col("event_type"))
+    rows = _actions(read).select((F.col("user_id") % 10).alias("game"), "user_id", "event_id", "ms", kind.alias("kind"), F.when(F.col("event_type").isin("click", "view"), "browse").alias("family"), F.concat_ws("|", "user_id", "event_type", F.floor(F.col("ms") / 86_400_000)).alias("packet_id"))
+    out = op.activity_lanes(rows, "game", "user_id", "ms", "event_id", "kind", "family", 300_000)
+    return out.withColumns({c: F.to_json(c) for c in ("action_type_counts", "command_family_counts")})
 
 
 @query("SELECT 'name:u' || user_id AS player_key, event_id, raw_rows FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS raw_rows, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error') WHERE rn = 1")
@@ -86,12 +106,14 @@ def running_clock(read):
 
 
 @query(
-    """SELECT game_id, CAST(sum(n) AS BIGINT) AS tiles, max(top) AS highest FROM (SELECT l_orderkey AS game_id, l_linenumber AS y, count(*) AS n, max(l_suppkey) AS top FROM lineitem GROUP BY 1, 2) GROUP BY 1"""
+    """SELECT game_id, CAST(sum(n) AS BIGINT) AS tiles, max(top) AS highest, sha256('[' || string_agg('{"y":' || y || ',"h":"' || h || '"}', ',' ORDER BY y, h) || ']') AS fingerprint FROM (
+  SELECT l_orderkey AS game_id, l_linenumber AS y, count(*) AS n, max(l_suppkey) AS top,
+    sha256('[' || string_agg('{"x":' || l_partkey || ',"terrain_id":' || l_quantity::BIGINT || ',"elevation":' || l_suppkey || '}', ',' ORDER BY l_partkey, l_quantity, l_suppkey) || ']') AS h FROM lineitem GROUP BY 1, 2) GROUP BY 1"""
 )
 def tile_summaries(read):
     """E-10: lines of an order as tiles of a map."""
-    tiles = read("lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("x"), F.col("l_quantity").alias("terrain_id"), F.col("l_suppkey").alias("elevation"))
-    return op.tile_summary(tiles).drop("fingerprint")
+    tiles = read("lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("y"), F.col("l_partkey").alias("x"), F.col("l_quantity").cast("long").alias("terrain_id"), F.col("l_suppkey").alias("elevation"))
+    return op.tile_summary(tiles)
 
 
 def _observed(read):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.operators import games
 from tallyfield.operators import observations as op
 
 from .registry import query
@@ -87,6 +88,25 @@ def observation_catalogue(read):
     return op.observe(games, "c_custkey", "record").drop("conflict_state")
 
 
+@query(
+    """
+WITH c AS (SELECT c_custkey AS k FROM customer)
+SELECT k AS c_custkey, k % 3 + 1 >= 2 AND k % 2 = 0 AND greatest(k % 4, k % 3) >= k % 3 + 1 AS complete,
+       k % 4 > 0 OR k % 3 > 0 OR (k % 5 = 0 AND k % 13 = 0) OR (k % 2 = 0 AND k % 6 = 0) OR (k % 7 = 0 AND k % 11 > 0) AS available
+FROM c"""
+)
+def statistics_lanes(read):
+    """G-25: whether figures are there, and whether they are those of every player."""
+    k = F.col("c_custkey")
+    key_events = F.struct(
+        (k % 2 == 0).alias("has_achievements"), (k % 4).alias("achievement_player_count"), (k % 3).cast("string").alias("player_score_count"), (k % 5 == 0).alias("has_scores"),
+        F.struct((k % 7 == 0).alias("action_stream_available"), (k % 11 - 1).alias("raw_action_count")).alias("parser_engine"),
+    )
+    player = F.struct(F.when(k % 13 == 0, 0).alias("score"), F.struct(F.struct(F.when(k % 6 == 0, 1).alias("x"), F.lit(" ").alias("y")).alias("military")).alias("achievements"))
+    record = F.to_variant_object(F.struct(key_events.alias("key_events"), F.array(player).alias("players")))
+    return read("customer").select("c_custkey", games.statistics_available(record, k % 3 + 1).alias("s")).select("c_custkey", "s.*")
+
+
 _SIZES = {"activity": 4000, "moves": 3000, "evidence": 2000, "summary": 500}
 
 

@@ -174,14 +174,14 @@ def top_labels(read):
 
 
 @query(
-    """SELECT c_custkey AS o_custkey, t.n, t.last_seen, coalesce(n_name, '??') AS country FROM
-  (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last_seen FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 15) t
+    """SELECT c_custkey AS o_custkey, t.n, t.last_seen, t.category, coalesce(n_name, '??') AS country FROM
+  (SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last_seen, max_by(o_orderstatus, o_orderkey) AS category FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 15) t
   JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"""
 )
 def top_visitors(read):
     """T-33: the busiest customers with their country."""
     geo = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("country"))
-    return op.top_visitors(read("orders"), "o_custkey", "o_orderdate", geo)
+    return op.top_visitors(read("orders"), "o_custkey", "o_orderdate", geo, category="o_orderstatus", line="o_orderkey")
 
 
 @query(

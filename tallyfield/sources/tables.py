@@ -84,17 +84,20 @@ def store_candidates(df: DataFrame, path: str, existing_keys: DataFrame | None =
 def candidate_problems(stored: DataFrame, runs: DataFrame) -> DataFrame:
     """Codes of stored candidates that differ from their run's record: size, hash, input, semantic hash (E-02).
 
-    ``stored``: ``run_key, content``; ``runs``: ``run_key, byte_size, content_hash, semantic_hash``. Violations are rows, no
-    error is raised.
+    ``stored``: ``run_key, content``; ``runs``: ``run_key, byte_size, content_hash, semantic_hash`` and, if it has it,
+    ``input_hash``, which the candidate must name as its artifact's. Violations are rows, no error is raised.
     """
     semantic = F.get_json_object(F.col("content").cast("string"), "$.semantic_hash")
+    artifact = F.lower(F.get_json_object(F.col("content").cast("string"), "$.artifact.sha256"))
     rows = runs.join(stored, "run_key", "left")
+    read = [F.when(F.col("content").isNotNull() & ~artifact.eqNullSafe(F.lower("input_hash")), "input_hash_mismatch")] if "input_hash" in runs.columns else []
     codes = F.array_compact(
         F.array(
             F.when(F.col("content").isNull(), "missing"),
             F.when(F.octet_length("content") != F.col("byte_size"), "size_mismatch"),
             F.when(F.sha2(F.col("content").cast("binary"), 256) != F.col("content_hash"), "hash_mismatch"),
             F.when(F.col("content").isNotNull() & ~semantic.eqNullSafe(F.col("semantic_hash")), "semantic_hash_mismatch"),
+            *read,
         )
     )
     return rows.select("run_key", F.explode(codes).alias("code"))
