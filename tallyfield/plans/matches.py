@@ -327,9 +327,20 @@ def duration_repair(read):
     return read("orders").select("o_orderkey", op.repair_duration(d, F.lit(None).cast("long"), F.col("o_orderkey") % 5 == 0).alias("duration"), ms_to_seconds(d).alias("seconds"))
 
 
-@query()
+@query(
+    """
+WITH u AS (
+  SELECT o_custkey, o_orderkey AS upload_id, o_orderstatus = 'F' AS trusted, o_totalprice::DOUBLE AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, o_orderkey) AS p FROM orders
+), f AS (
+  SELECT *, min(CASE WHEN trusted THEN p END) OVER w AS first, max(CASE WHEN trusted THEN p END) OVER w AS last, max(size) OVER (PARTITION BY o_custkey ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY size DESC, p) AS by_size FROM u WINDOW w AS (PARTITION BY o_custkey)
+)
+SELECT o_custkey, max(CASE WHEN p = last OR last IS NULL AND by_size = 1 THEN upload_id END) AS upload_id, max(last) IS NOT NULL AS trusted, max(CASE WHEN p = last OR last IS NULL AND by_size = 1 THEN size END) AS size,
+       count(*) FILTER (trusted) + count(*) FILTER ((first IS NULL OR p < first) AND (before IS NULL OR size > before)) - 1 AS replaced
+FROM f GROUP BY 1"""
+)
 def reupload_fold(read):
-    """G-22: orders of a customer as uploads of one match; an order-dependent fold, so without SQL."""
+    """G-22: orders of a customer as uploads of one match; the fold as running maxima before the first trusted upload."""
     rows = read("orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("upload_id"), (F.col("o_orderstatus") == "F").alias("trusted"), F.col("o_totalprice").alias("size"))
     return op.reupload_fold(rows, "o_custkey", "o_orderdate", F.trunc("o_orderdate", "month"))
 

@@ -60,7 +60,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if lacking := [c for c in MANIFEST_REQUIRED if c not in names]:
         raise ValueError(f"the header lacks {lacking}")
     schema = ", ".join(f"`{c}` string" for c in names)
-    return spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(path)
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').option("enforceSchema", "true").csv(path)
 
 
 def write_csv_report(df: DataFrame, path: str, columns: Sequence[str]) -> None:
