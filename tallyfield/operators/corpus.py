@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions.ids import stable_hash
 from tallyfield.functions.text import failure_category, is_sha256, message_signature, snake_case
 from tallyfield.operators.ordering import with_previous, with_running_sum
+from tallyfield.operators import rollups
 from tallyfield.sources.shared import saved
 
 TRUSTED_PROVENANCE = ("complete_losing_team_resignation", "postgame_winner_flags", "scoreboard_winner_flags")
@@ -274,16 +275,19 @@ def cursor_accounting(events: DataFrame, job: str, seq: str, kind: str, cursor:
     return out.withColumn("agrees", F.col("cursors") == F.col("processed"))
 
 
-def failure_triage(failures: DataFrame, message: str, exception: str, io_errors: Sequence[str] = ("OSError", "IOError", "FileNotFoundError", "PermissionError", "TimeoutError")) -> DataFrame:
-    """Failures by class of exception, category and redacted message: count, retryable, a hash as signature (C-32).
+def failure_triage(failures: DataFrame, message: str, exception: str, io_errors: Sequence[str] = ("OSError", "IOError", "FileNotFoundError", "PermissionError", "TimeoutError"), stage: str | None = None) -> DataFrame:
+    """Failures by stage, class of exception, category and redacted message: count, retryable, signature (C-32).
 
-    Equal messages are counted before they are redacted. A blank message is its exception's class.
+    Equal messages are counted before they are redacted. A blank message is its exception's class. The signature is
+    ``stage:category:class:<hash16>``, the hash that of the canonical JSON of these and the message.
     """
-    raw = failures.groupBy(message, exception).agg(F.count("*").alias("_n"))
+    at = F.coalesce(F.col(stage), F.lit("")) if stage else F.lit("parse")
+    raw = failures.groupBy(at.alias("stage"), message, exception).agg(F.count("*").alias("_n"))
     said = F.coalesce(message_signature(F.col(message)), F.lower(exception))
-    rows = raw.select(snake_case(F.col(exception)).alias("exception_class"), failure_category(F.col(message), F.col(exception).isin(*io_errors)).alias("category"), said.alias("message"), "_n")
-    rows = rows.groupBy("exception_class", "category", "message").agg(F.sum("_n").alias("n"))
-    signature = F.substring(F.sha2(F.concat_ws(":", "exception_class", "message"), 256), 1, 16)
+    rows = raw.select("stage", snake_case(F.col(exception)).alias("exception_class"), failure_category(F.col(message), F.col(exception).isin(*io_errors)).alias("category"), said.alias("message"), "_n")
+    rows = rows.groupBy("stage", "exception_class", "category", "message").agg(F.sum("_n").alias("n"))
+    fingerprint = stable_hash(stage=F.col("stage"), category=F.col("category"), exception_class=F.col("exception_class"), normalized_message=F.col("message"))
+    signature = F.concat_ws(":", "stage", "category", "exception_class", F.substring(fingerprint, 1, 16))
     return rows.withColumn("retryable", F.col("category").isin("truncated_or_incomplete", "artifact_io")).withColumn("signature", signature)
 
 
@@ -432,12 +436,21 @@ def snapshot_slice(manifest: DataFrame, extension: str, start: int, limit: int,
     return manifest.filter(F.lower("extension") == extension.lower()).orderBy(order).offset(start).limit(limit)
 
 
-def snapshot_audit(snapshots: DataFrame) -> DataFrame:
-    """Outcome of a snapshot audit: ok, failed, bytes, least and greatest restore time (C-29)."""
+def snapshot_audit(snapshots: DataFrame, histograms: Sequence[str] = ()) -> DataFrame:
+    """Outcome of a snapshot audit: ok, failed, bytes, least and greatest restore time, and maps of counts (C-29).
+
+    ``histograms`` (columns such as player count, version, game type) count the snapshots that were restored, each as a map
+    named ``<column>_counts``; a missing value is not counted.
+    """
     ok = F.col("failure").isNull()
-    return snapshots.agg(
+    one = snapshots.agg(
         F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, F.col("bytes"))).alias("bytes"), F.min(F.when(ok, F.col("restore_ms"))).alias("least_ms"), F.max(F.when(ok, F.col("restore_ms"))).alias("greatest_ms")
     )
+    if not histograms:
+        return one
+    maps = rollups.folded(rollups.facts(snapshots.filter(ok), {f"{c}_counts": F.col(c) for c in histograms}), [f"{c}_counts" for c in histograms]).drop("sums")
+    # Two tables of one row each.
+    return one.withColumn("_one", F.lit(1)).join(maps.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def corpus_summary(latest: DataFrame, saved_prefix: str) -> DataFrame:

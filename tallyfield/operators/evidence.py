@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.ids import canonical_json, stable_hash
-from tallyfield.operators.ordering import with_previous
+from tallyfield.operators.ordering import with_previous, with_running_sum
 from tallyfield.operators.rollups import facts, folded
 
 #: Confidence in basis points of a provenance class (S-24); others have none.
@@ -120,10 +120,14 @@ def histogram(df: DataFrame, *by: str) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), *[F.col(c).asc_nulls_last() for c in by])))
 
 
-def running_clock(ops: DataFrame, game: str, seq: str, increment: str, restore: Column | None = None) -> DataFrame:
-    """The clock after each operation: the restored time and all increments so far (E-12)."""
-    order = Window.partitionBy(game).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ops.withColumn("clock", F.coalesce(restore if restore is not None else F.lit(0), F.lit(0)) + F.sum(F.coalesce(increment, F.lit(0))).over(order))
+def running_clock(ops: DataFrame, game: str, seq: str, increment: str, restore: Column | None = None, width: int = 65_536) -> DataFrame:
+    """The clock after each operation: the restored time and all increments so far (E-12).
+
+    A game's operations are split by ``width`` of the sequence, so one long game is many tasks.
+    """
+    rows = ops.withColumns({"_bucket": F.floor(F.col(seq) / width), "_step": F.coalesce(increment, F.lit(0))})
+    out = with_running_sum(rows, [game], [seq], "_step", "_sum")
+    return out.withColumn("clock", F.coalesce(restore if restore is not None else F.lit(0), F.lit(0)) + F.col("_sum")).drop("_bucket", "_step", "_sum")
 
 
 def wide_to_long(df: DataFrame, subject: Column, catalogue: Mapping[str, tuple[Column, str]]) -> DataFrame:
@@ -162,22 +166,26 @@ def envelope(runs: DataFrame, fields: Sequence[str], most_bytes: int = 32 * 1024
 
 
 def observation_profile(observations: DataFrame, run: str) -> DataFrame:
-    """Total, material, exact and conflicting observations of each run, with provenance counts as a map (C-26)."""
-    per = observations.groupBy(run, "provenance").agg(F.count("*").alias("n"), F.count_if("exact").alias("_e"), F.count_if(F.coalesce("conflict_state", F.lit("none")) != "none").alias("_c"))
-    return per.groupBy(run).agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("provenance") != "absent", F.col("n")).otherwise(0)).alias("material"),
-        F.sum("_e").alias("exact"),
-        F.sum("_c").alias("conflicts"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("provenance", "n")))).alias("provenances"),
-    )
+    """Total, material, exact and conflicting observations of each run, with maps by provenance and root of the field (C-26)."""
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    sums = {"material": number(F.col("provenance") != "absent"), "exact": number(F.col("exact")), "conflicts": number(F.coalesce("conflict_state", F.lit("none")) != "none")}
+    maps = {"provenances": F.col("provenance"), "field_roots": F.substring_index("field", ".", 1)}
+    one = folded(facts(observations, maps, sums, keys=[run]), list(maps), [run])
+    of_sum = lambda name: F.coalesce(F.try_element_at("sums", F.lit(name)), F.lit(0))
+    return one.select(run, of_sum("rows").alias("total"), *[of_sum(c).alias(c) for c in sums], *maps)
 
 
-def chat_preview(chat: DataFrame, game: str, ordinal: str, message: str, last: int = 5) -> DataFrame:
-    """Numbered transcript rows and whether each is in the preview of the last few; blank lines go (S-21)."""
+def chat_preview(chat: DataFrame, game: str, ordinal: str, message: str, last: int = 5, bucket: Column | None = None) -> DataFrame:
+    """Numbered transcript rows and whether each is in the preview of the last few; blank lines go (S-21).
+
+    ``bucket`` must not fall as ``ordinal`` grows; it splits a long transcript over tasks.
+    """
     rows = chat.withColumn("message", F.trim(F.regexp_replace(message, r"\s+", " "))).filter(F.col("message") != "")
-    up, down = Window.partitionBy(game).orderBy(F.asc(ordinal)), Window.partitionBy(game).orderBy(F.desc(ordinal))
-    return rows.withColumn("line", F.row_number().over(up)).withColumn("in_preview", F.row_number().over(down) <= last)
+    rows = rows.withColumns({"_bucket": F.lit(0) if bucket is None else bucket, "_one": F.lit(1)})
+    lines = with_running_sum(rows, [game], [ordinal], "_one", "line").drop("_bucket", "_one")
+    totals = rows.groupBy(F.col(game).alias("_game")).agg(F.count("*").alias("_lines"))
+    found = lines.join(totals, lines[game].eqNullSafe(totals["_game"]), "left")
+    return found.withColumn("in_preview", F.col("_lines") - F.col("line") < last).drop("_game", "_lines")
 
 
 def event_labels(actions: DataFrame, game: str, label: str, ordinal: str) -> DataFrame:

@@ -231,17 +231,18 @@ def _has(*terms: str) -> str:
 
 
 @query(
-    f"""WITH f AS (SELECT text, CASE WHEN doc_id % 5 = 0 THEN 'FileNotFoundError' ELSE 'ValueError' END AS e FROM documents), r AS (
-  SELECT CASE e WHEN 'ValueError' THEN 'value_error' ELSE 'file_not_found_error' END AS exception_class,
+    f"""WITH f AS (SELECT text, lang AS stage, CASE WHEN doc_id % 5 = 0 THEN 'FileNotFoundError' ELSE 'ValueError' END AS e FROM documents), r AS (
+  SELECT stage, CASE e WHEN 'ValueError' THEN 'value_error' ELSE 'file_not_found_error' END AS exception_class,
     CASE WHEN {_has(*TRUNCATED)} THEN 'truncated_or_incomplete' WHEN {_has("sha256")} AND {_has("mismatch", "does not match")} THEN 'artifact_integrity' WHEN {_has("no decoding mapping", "unsupported")} THEN 'unsupported_encoding_or_enum'
       WHEN {_has("invalid mgz", "could not parse")} THEN 'invalid_container' WHEN e = 'FileNotFoundError' THEN 'artifact_io' ELSE 'parser_exception' END AS category,
     coalesce(lower({_redacted("nullif(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g')), '')")})[:240], lower(e)) AS message FROM f)
-  SELECT exception_class, category, message, count(*) AS n, category IN ('truncated_or_incomplete', 'artifact_io') AS retryable, sha256(exception_class || ':' || message)[:16] AS signature FROM r GROUP BY 1, 2, 3"""
+  SELECT stage, exception_class, category, message, count(*) AS n, category IN ('truncated_or_incomplete', 'artifact_io') AS retryable, stage || ':' || category || ':' || exception_class || ':' ||
+    sha256('{{"category":"' || category || '","exception_class":"' || exception_class || '","normalized_message":' || to_json(message) || ',"stage":"' || stage || '"}}')[:16] AS signature FROM r GROUP BY 1, 2, 3, 4"""
 )
 def failure_triage(read):
     """C-32 and S-14: documents as failure messages."""
     exception = F.when(F.col("doc_id") % 5 == 0, "FileNotFoundError").otherwise("ValueError")
-    return op.failure_triage(read("documents").select("text", exception.alias("exception")), "text", "exception")
+    return op.failure_triage(read("documents").select("text", "lang", exception.alias("exception")), "text", "exception", stage="lang")
 
 
 @query(

@@ -148,10 +148,10 @@ def material_filter(read):
     return op.material(_observed(read)).select("subject", "field", "value", "confidence_bps")
 
 
-@query(_LONG + "SELECT subject, count(*) AS total, count(*) FILTER (provenance <> 'absent') AS material, count(*) FILTER (exact) AS exact, CASE WHEN subject % 5 = 0 THEN count(*) ELSE 0 END AS conflicts FROM o GROUP BY 1")
+@query(_LONG + "SELECT subject, count(*) AS total, count(*) FILTER (provenance <> 'absent') AS material, count(*) FILTER (exact) AS exact, CASE WHEN subject % 5 = 0 THEN count(*) ELSE 0 END AS conflicts, '{\"player\":1,\"result\":1,\"setting\":1}' AS field_roots, '{' || concat_ws(',', CASE WHEN count(*) FILTER (provenance = 'absent') > 0 THEN '\"absent\":' || count(*) FILTER (provenance = 'absent') END, CASE WHEN count(*) FILTER (provenance = 'derived') > 0 THEN '\"derived\":1' END, '\"direct\":1', CASE WHEN count(*) FILTER (provenance = 'inferred') > 0 THEN '\"inferred\":1' END) || '}' AS provenances FROM o GROUP BY 1")
 def observation_profiles(read):
     """C-26."""
-    return op.observation_profile(_observed(read), "subject").drop("provenances")
+    return op.observation_profile(_observed(read), "subject").withColumns({c: F.to_json(c) for c in ("provenances", "field_roots")})
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN coalesce(n, 0) END AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -176,7 +176,7 @@ def envelopes(read):
 def chat_preview(read):
     """S-21."""
     rows = read("conversations").withColumn("o", F.struct("turn", "text"))
-    return op.chat_preview(rows, "conv_id", "o", "text").select("conv_id", "turn", F.col("line").cast("long").alias("line"), "in_preview")
+    return op.chat_preview(rows, "conv_id", "o", "text", bucket=F.floor(F.col("turn") / 1024)).select("conv_id", "turn", F.col("line").cast("long").alias("line"), "in_preview")
 
 
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY f), '|') AS labels FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")

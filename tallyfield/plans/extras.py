@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.operators import corpus, games, rosters, traffic
 
-from .matches import _matches, _players
+from .matches import _TEAMS, _matches, _players
 from .registry import query
 
 
@@ -78,10 +78,12 @@ def snapshot_page(read):
     return corpus.snapshot_slice(read("documents").withColumn("extension", F.upper("lang")), "en", 20, 40, "doc_id").select("doc_id", "source")
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS bytes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS least_ms, max(o_orderkey) FILTER (o_orderstatus = 'F') AS greatest_ms FROM orders")
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS bytes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS least_ms, max(o_orderkey) FILTER (o_orderstatus = 'F') AS greatest_ms, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT (o_custkey % 12)::VARCHAR AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)) AS players_counts, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 > 0 GROUP BY 1)) AS version_counts FROM orders")
 def snapshot_audits(read):
-    """C-29."""
-    return corpus.snapshot_audit(read("orders").select(F.when(F.col("o_orderstatus") != "F", "x").alias("failure"), F.col("o_custkey").alias("bytes"), F.col("o_orderkey").alias("restore_ms")))
+    """C-29: outcome with histograms of player counts and versions."""
+    k = F.col("o_orderkey")
+    rows = read("orders").select(F.when(F.col("o_orderstatus") != "F", "x").alias("failure"), F.col("o_custkey").alias("bytes"), k.alias("restore_ms"), (F.col("o_custkey") % 12).alias("players"), F.when(k % 5 > 0, F.col("o_orderpriority")).alias("version"))
+    return corpus.snapshot_audit(rows, ["players", "version"]).withColumns({c: F.to_json(c) for c in ("players_counts", "version_counts")})
 
 
 @query(
@@ -124,7 +126,13 @@ def team_id_recovery(read):
     return rosters.recover_team_ids(target, source).select("game_id", "l_suppkey", "recovered", "team_id")
 
 
-@query()
+@query(
+    _TEAMS.replace("player_count NOT IN (4, 6, 8) AS odd FROM g", "player_count NOT IN (4, 6, 8) AS strange, false AS odd FROM g")
+    .replace("NOT two AND NOT small AND NOT odd AND (least * 2 <> player_count OR most * 2 <> player_count) AS uneven FROM c", "false AS uneven FROM c")
+    .replace("THEN 'expected_exactly_two_teams' END", "AND NOT strange THEN 'expected_exactly_two_teams' END")
+    .replace("NOT two AND NOT small AND odd THEN 'unsupported_team_format'", "wrong AND strange THEN 'unsupported_team_format'")
+    + """SELECT game_id, player_count, CASE WHEN ok THEN 'resolved' WHEN small THEN 'incomplete' WHEN wrong AND strange THEN 'unsupported' ELSE 'conflicting' END AS status, reason_codes, flag_team, winning_team FROM w"""
+)
 def team_resolution_uneven(read):
-    """R-07: uneven teams allowed; checked by its own tests."""
-    return rosters.resolve_teams(_players(read), _matches(read), allow_uneven=True)
+    """R-07: teams of unequal sizes and rosters of any size allowed."""
+    return rosters.resolve_teams(_players(read), _matches(read), allow_uneven=True).select("game_id", "player_count", "status", "reason_codes", "flag_team", "winning_team")

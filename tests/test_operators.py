@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.functions import ids, text, times
+from tallyfield.functions import documents, ids, text, times
 from tallyfield.operators import corpus, evidence, games, rosters, stats, traffic
 
 
@@ -74,7 +74,7 @@ def test_times_and_hashes(spark):
         assert one(spark, times.filename_datetime(c), x=name) == at, name
     assert one(spark, times.filename_datetime(c), x="2024.13.45 183059.mgz") is None
     assert one(spark, ids.canonical_json(b=F.lit(None).cast("int"), a=c), x="é") == '{"a":"é","b":null}'
-    assert [one(spark, ids.rounded_number(c), x=v) for v in (2.0, 0.12345678, float("inf"))] == ["2", "0.123457", None]
+    assert [one(spark, documents.number_text(c), x=v) for v in (2.0, 0.12345678, float("inf"))] == ["2", "0.123457", None]
 
 
 def test_hosts_paths_and_classes(spark):
