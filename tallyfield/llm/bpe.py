@@ -27,9 +27,10 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_S
 #: Before such a space a piece always begins.
 SAFE_CUT = regex.compile(r"(?<=[^\p{White_Space}])\x20(?=[^\p{White_Space}])")
 CHUNK = 1 << 16
-#: Characters of a piece that come to the transducer at once; longest piece, and number of pieces, that are cached.
+#: Characters of a piece that come to the transducer at once; longest piece, and number of pieces, whose ids are kept.
 BLOCK = 1 << 12
-CACHED, CACHE = 64, 200_000
+KEPT, CACHE = 1 << 10, 200_000
+_SHORT = (2, 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,6 +40,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """The ids of pieces; those of a piece not seen yet are found when they are asked for."""
+
+    def __init__(self, coder: Transducer):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, text: str) -> list[int]:
+        # A piece of one block is all there at once.
+        ids = self.coder._way(text.encode("utf-8", "replace"), -1)[0] if len(text) <= BLOCK else list(self.coder.piece(text))
+        if len(text) <= KEPT:
+            self[text] = ids
+        return ids
+
+
 class Transducer:
     """Encodes and decodes with one vocabulary file; ``path`` is a parameter, nothing is copied from the file."""
 
@@ -61,7 +77,7 @@ class Transducer:
         self.made = {self.id_of[a + b]: (k, self.id_of[a], self.id_of[b]) for (a, b), k in self.rank.items()}
         self._edges: tuple[dict, dict] = ({}, {})
         self._fits: dict[int, bool] = {}
-        self._cache: dict[str, list[int]] = {}
+        self._cache = _Pieces(self)
 
     @functools.cached_property
     def chain(self) -> int:
@@ -86,12 +102,13 @@ class Transducer:
         return self.chain * self.longest
 
     @functools.cached_property
-    def reach(self) -> dict[bytes, int]:
-        """The length of the longest token that begins with each three bytes that any token begins with."""
-        out: dict[bytes, int] = {}
+    def reach(self) -> dict[bytes, tuple[int, ...]]:
+        """The lengths of the tokens that begin with each three bytes that any token begins with, and 2 and 1; longest first."""
+        out: dict[bytes, set[int]] = {}
         for token in self.id_of:
-            out[token[:3]] = max(out.get(token[:3], 0), len(token))
-        return out
+            if len(token) > 2:
+                out.setdefault(token[:3], {1, 2}).add(len(token))
+        return {k: tuple(sorted(v, reverse=True)) for k, v in out.items()}
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The merge list applied as it is defined: the best-ranked pair first, the leftmost of equals. For short pieces."""
@@ -172,8 +189,10 @@ class Transducer:
         ends, out, dead = [0], [before], set()
         begin, furthest = 0, size
         while begin < size:
-            far = begin + reach(held[begin : begin + 3], 2)
-            for end in range(far if far < furthest else furthest, begin, -1):
+            for length in reach(held[begin : begin + 3], _SHORT):
+                end = begin + length
+                if end > furthest:
+                    continue
                 token = get(held[begin:end])
                 if token is not None and end not in dead:
                     fit = before < 0 or known(before << 32 | token)
@@ -218,29 +237,24 @@ class Transducer:
     def _plain(self, text: str) -> Iterator[list[int]]:
         cache = self._cache
         for part in self.chunks(text):
-            out: list[int] = []
-            # Where no space lets a text be cut, its pieces are taken one by one.
-            for p in SPLIT.findall(part) if len(part) <= 2 * CHUNK else (m[0] for m in SPLIT.finditer(part)):
-                ids = cache.get(p)
-                if ids is not None:
-                    out.extend(ids)
-                elif len(p) <= CACHED:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    # No longer than the lookahead, so the transducer has it all at once.
-                    cache[p] = ids = self._way(p.encode("utf-8", "replace"), -1)[0]
-                    out.extend(ids)
-                else:
-                    for token in self.piece(p):
-                        out.append(token)
-                        if len(out) >= CHUNK:
-                            yield out
-                            out = []
+            if len(part) > 2 * CHUNK:
+                # No space lets it be cut, so its pieces are taken one by one.
+                yield from self._uncut(part)
+                continue
+            if len(cache) > CACHE:
+                cache.clear()
+            yield list(chain.from_iterable(map(cache.__getitem__, SPLIT.findall(part))))
+
+    def _uncut(self, text: str) -> Iterator[list[int]]:
+        out: list[int] = []
+        for m in SPLIT.finditer(text):
+            for token in self.piece(m[0]):
+                out.append(token)
                 if len(out) >= CHUNK:
                     yield out
                     out = []
-            if out:
-                yield out
+        if out:
+            yield out
 
     def decoded(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """The text of the ids, special tokens kept, by a byte-to-text state machine that goes on across tokens."""
