@@ -78,7 +78,9 @@ def snapshot_page(read):
     return corpus.snapshot_slice(read("documents").withColumn("extension", F.upper("lang")), "en", 20, 40, "doc_id").select("doc_id", "source")
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS bytes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS least_ms, max(o_orderkey) FILTER (o_orderstatus = 'F') AS greatest_ms, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT (o_custkey % 12)::VARCHAR AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)) AS players_counts, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 > 0 GROUP BY 1)) AS version_counts FROM orders")
+@query(
+    """SELECT count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS failed, CAST(sum(o_custkey) FILTER (o_orderstatus = 'F') AS BIGINT) AS bytes, min(o_orderkey) FILTER (o_orderstatus = 'F') AS least_ms, max(o_orderkey) FILTER (o_orderstatus = 'F') AS greatest_ms, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT (o_custkey % 12)::VARCHAR AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)) AS players_counts, (SELECT '{' || string_agg('"' || p || '":' || n, ',' ORDER BY p) || '}' FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 > 0 GROUP BY 1)) AS version_counts FROM orders"""
+)
 def snapshot_audits(read):
     """C-29: outcome with histograms of player counts and versions."""
     k = F.col("o_orderkey")
