@@ -477,7 +477,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     crc32(doc_id) modulo ``modulus`` is not ``held`` (never from a null doc_id, whose ``held_out`` is false). The base is
     the add-one unigram; ``score`` is the class model's log10 probability and ``perplexity`` 10 ** (-score / n_tokens).
     A null or empty text is its end token alone. With nothing to learn from all counts are 0. Repeated rows are learned
-    from and scored each; an empty table gives none.
+    from and scored each; an empty table gives none. Very long texts are taken whole, in parts. Words of one count are
+    ranked by their key, and of classes alike in likelihood the lower one is taken, so ties fall the same way each time.
+    Extra columns, whatever their names, play no part.
 
     Counts, neighbours and class bigrams cover all training texts and every one of their words.
     """

@@ -264,7 +264,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows that hold no test item (as ``find_leaks`` finds them), with all their columns.
 
-    Each row is judged by its own text, whatever its doc_id (null or repeated); null and empty texts stay.
+    Each row is judged by its own text, whatever its doc_id (null or repeated); null and empty texts stay. Very long texts are
+    searched whole. Repeated test items are one; with none all rows stay, and an empty table gives none. Extra columns,
+    whatever their names, stay as they are.
     """
     at = docs.columns.index("text")
     kept = docs

@@ -143,7 +143,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 def keep(docs: DataFrame, min_score: float = 0.5, modulus: int = 5, held: int = 0) -> DataFrame:
     """The rows whose language is told with ``min_score`` or more, all columns as they are; ``und`` rows go.
 
-    A null doc_id or repeated rows change nothing; null and empty texts go; an empty table gives none.
+    A null doc_id or repeated rows change nothing; null and empty texts go; an empty table gives none. Very long texts are
+    judged whole. Of languages alike in score the first by name is taken. Extra columns, whatever their names, stay.
     """
     langs, matrix = learn(docs, modulus, held)
     shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))

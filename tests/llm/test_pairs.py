@@ -453,3 +453,25 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert all("hunter2222" not in x.text for x in got.values())
     out = {x.doc_id: x.n_tokens for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(got)
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, sf_dir):
+    """Null ids and texts, repeated rows, a very long text and clashing columns go through every stage; so does no row."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    long = " ".join(some_words(r, 40_000))
+    texts = [(1, "the cat sat on the mat by the door " * 3), (1, "the cat sat on the mat by the door " * 3), (None, "a lone row of plain words that stays here"), (None, "a lone row of plain words that stays here"), (4, None), (5, ""), (6, long), (7, long + " more")]
+    odd, none = docs(texts + [(k, " ".join(some_words(r, 30))) for k in range(8, 30)]), docs([])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, sf_dir)
+        assert kept.schema.names == odd.schema.names, name
+        rows = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+        assert sum(i is None and t is not None for i, t in rows) == 2, name
+        assert any(t and len(t) > 10_000 for _, t in rows), name
+        if name == "near_dedup":
+            assert [i for i, t in rows].count(1) == 1 and 7 not in [i for i, _ in rows]
+        assert stage(spark, none, sf_dir).count() == 0, name
+    encoded = corpus_pipeline.STAGES[-1][1](spark, odd, sf_dir).collect()
+    assert len(encoded) == len(texts) + 22 and sum(x.n_tokens == 0 for x in encoded) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, none, sf_dir).count() == 0
