@@ -166,13 +166,18 @@ def envelope(runs: DataFrame, fields: Sequence[str], most_bytes: int = 32 * 1024
 
 
 def observation_profile(observations: DataFrame, run: str) -> DataFrame:
-    """Total, material, exact and conflicting observations of each run, with maps by provenance and root of the field (C-26)."""
+    """Total, material, exact and conflicting observations of each run, with maps by provenance and root of the field (C-26).
+
+    An observation is two rows, one a map; its numbers ride on the first, so a run takes no rows beyond those of its maps.
+    """
     number = lambda c: F.coalesce(c, F.lit(False)).cast("long")
-    sums = {"material": number(F.col("provenance") != "absent"), "exact": number(F.col("exact")), "conflicts": number(F.coalesce("conflict_state", F.lit("none")) != "none")}
+    sums = {"total": F.lit(1).cast("long"), "material": number(F.col("provenance") != "absent"), "exact": number(F.col("exact")), "conflicts": number(F.coalesce("conflict_state", F.lit("none")) != "none")}
     maps = {"provenances": F.col("provenance"), "field_roots": F.substring_index("field", ".", 1)}
-    one = folded(facts(observations, maps, sums, keys=[run]), list(maps), [run])
-    of_sum = lambda name: F.coalesce(F.try_element_at("sums", F.lit(name)), F.lit(0))
-    return one.select(run, of_sum("rows").alias("total"), *[of_sum(c).alias(c) for c in sums], *maps)
+    entries = F.array(*[F.struct(F.lit(k == "provenances").alias("_first"), v.cast("string").alias("_value")) for k, v in maps.items()])
+    rows = observations.select(run, *[v.alias(k) for k, v in sums.items()], F.inline(entries))
+    counted = rows.groupBy(run, "_first", "_value").agg(F.count("*").alias("_n"), *[F.sum(F.when(F.col("_first"), F.col(c))).alias(c) for c in sums])
+    of = lambda first: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("_first") == F.lit(first)) & F.col("_value").isNotNull(), F.struct("_value", "_n")))))
+    return counted.groupBy(run).agg(*[F.sum(c).alias(c) for c in sums], of(True).alias("provenances"), of(False).alias("field_roots"))
 
 
 def chat_preview(chat: DataFrame, game: str, ordinal: str, message: str, last: int = 5, bucket: Column | None = None) -> DataFrame:

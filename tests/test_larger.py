@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyfield.operators import evidence
 from tallyfield.plans import catalog
 
 
@@ -18,3 +19,18 @@ def test_log_lines_stand_in_their_file_in_order(spark, sf_dir, tmp_path):
         assert [place for place, _ in lines] == list(range(1, len(lines) + 1))
         ids = [i for _, i in lines]
         assert ids == sorted(ids) and {i % 4 for i in ids} == {part}
+
+
+def test_profiles_share_one_exchange_below_what_multiplies_rows(spark, sf_dir):
+    plan = catalog.QUERIES["observation_profiles"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_profiles_count_rows_without_field_or_provenance(spark):
+    rows = [("a", "x.p", "direct", True, None), ("a", "x.q", None, None, "conflict"), ("a", None, "absent", False, "none"), (None, "y", "direct", True, "none")]
+    seen = evidence.observation_profile(spark.createDataFrame(rows, "run string, field string, provenance string, exact boolean, conflict_state string"), "run").collect()
+    assert {r.run: (r.total, r.material, r.exact, r.conflicts, r.provenances, r.field_roots) for r in seen} == {
+        "a": (3, 1, 1, 1, {"absent": 1, "direct": 1}, {"x": 2}),
+        None: (1, 1, 1, 0, {"direct": 1}, {"y": 1}),
+    }
