@@ -82,12 +82,20 @@ def json_levels(text: Column) -> Column:
     return deepest
 
 
+def _plain(v: Column) -> Column:
+    """Whether a VARIANT's own JSON is canonical: it writes sorted keys and no spaces, but numbers and bytes in its own way.
+
+    Its keys are in the order of UTF-16, which is not that of code points if any is beyond the basic plane.
+    """
+    return ~F.schema_of_variant(v).rlike("DOUBLE|FLOAT|DECIMAL|BINARY|VARIANT") & ~F.to_json(v).rlike(r"[\x{10000}-\x{10FFFF}]|\\u[dD][89abAB]")
+
+
 def canonical_variant(v: Column, levels: int = 3) -> Column:
     """Canonical JSON of a VARIANT: keys sorted, no spaces, ``number_text``, bytes as size and hash, missing values null (S-12).
 
     Numbers alike in value are alike in text: 2.0 is 2. What is nested deeper than ``levels`` stays as it is.
     """
-    return F.when(v.isNotNull(), _rebuilt(v, levels, _canonical_scalar, True))
+    return F.when(_plain(v), F.to_json(v)).otherwise(F.when(v.isNotNull(), _rebuilt(v, levels, _canonical_scalar, True)))
 
 
 def compact_variant(v: Column, levels: int = 3) -> Column:

@@ -34,3 +34,9 @@ def test_profiles_count_rows_without_field_or_provenance(spark):
         "a": (3, 1, 1, 1, {"absent": 1, "direct": 1}, {"x": 2}),
         None: (1, 1, 1, 0, {"direct": 1}, {"y": 1}),
     }
+
+
+def test_catalogue_is_dealt_over_all_tasks(spark, sf_dir):
+    rows = catalog.QUERIES["observation_catalogue"](spark, sf_dir)
+    shares = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and max(shares) < sum(shares) / 2
