@@ -83,9 +83,9 @@ def candidate_store(read):
     content = F.concat(F.lit('{"semantic_hash":"'), F.col("s_nationkey").cast("string"), F.lit('","artifact":{"sha256":"'), k.cast("string"), F.lit('"}}'))
     rows = supplier.select(F.lit("j").alias("job"), F.sha2(F.concat(F.lit("k"), k.cast("string")), 256).alias("run_key"), content.alias("content"))
     tables.store_candidates(rows.filter(k % 7 != 0), path)
-    stored = supplier.sparkSession.read.json(path)
-    tables.store_candidates(rows.filter(k % 7 != 0), path, stored)
-    stored = supplier.sparkSession.read.json(path)
+    store = supplier.sparkSession.read.schema("run_key string, content string")
+    tables.store_candidates(rows.filter(k % 7 != 0), path, store.json(path))
+    stored = store.json(path)
     part = lambda n, wrong, right: F.when((k % 7).isin(n) if isinstance(n, int) else (k % 7).isin(*n), wrong).otherwise(right)
     runs = supplier.select(
         F.sha2(F.concat(F.lit("k"), k.cast("string")), 256).alias("run_key"), part(1, F.length(content) + 1, F.length(content)).alias("byte_size"), part((1, 2), F.lit("x"), F.sha2(content, 256)).alias("content_hash"),
