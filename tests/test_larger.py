@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyfield.functions.text import contains_any
 from tallyfield.operators import evidence
 from tallyfield.plans import catalog
 from tallyfield.sources import tables
@@ -50,3 +51,10 @@ def test_candidates_of_one_job_lie_in_few_files(spark, tmp_path):
     assert len(list((tmp_path / "store").rglob("*.json.gz"))) == 256
     tables.store_candidates(df.union(df.limit(1).withColumn("run_key", F.lit("ab"))), path, spark.read.json(path))
     assert spark.read.json(path).count() == 3001
+
+
+def test_terms_are_found_as_they_stand_and_without_an_expression_of_alternatives(spark):
+    rows = spark.createDataFrame([("A.B c",), ("axb",), (None,), ("",), ("É (X",)], "t string")
+    found = rows.select(contains_any(F.col("t"), ("a.b", "(x")).alias("f"))
+    assert [r.f for r in found.collect()] == [True, False, False, False, True]
+    assert "rlike" not in found._jdf.queryExecution().analyzed().toString().lower()
