@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyfield.functions.text import contains_any
+from tallyfield.functions.text import REDACTIONS, clean_text, contains_any, message_signature
 from tallyfield.operators import evidence
 from tallyfield.plans import catalog
 from tallyfield.sources import tables
@@ -58,3 +58,15 @@ def test_terms_are_found_as_they_stand_and_without_an_expression_of_alternatives
     found = rows.select(contains_any(F.col("t"), ("a.b", "(x")).alias("f"))
     assert [r.f for r in found.collect()] == [True, False, False, False, True]
     assert "rlike" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_redaction_searches_only_messages_that_have_what_a_pattern_needs(spark):
+    texts = ["see HTTP://a.b/c", 'open "/a b/c" now', "open '/a b' now", r"in C:\x y at 3", "at /a/b line 4", "BEARER abc.def", "x abcdefgh.ABCDEFGH.12345678 y", "sk-abcdefghijklmn", "ghp_" + "a1" * 12, "AKIA" + "A1" * 8, "Api_Key = 'a b'", "x-PASSWD:u", "refresh_token=z", "123e4567-e89b-12d3-a456-426614174000", "0XFF", "n 12", "plain words, no more", "É \u212aEY: v", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    slow = clean_text(F.col("t"))
+    for pattern, placeholder in REDACTIONS:
+        slow = F.regexp_replace(slow, pattern, placeholder.replace("\\", "$"))
+    got = rows.select(message_signature(F.col("t")).alias("new"), F.substring(F.lower(slow), 1, 240).alias("old"))
+    for r in got.collect():
+        assert r.new == r.old
+    assert got.select("new")._jdf.queryExecution().analyzed().toString().lower().count("contains(") >= len(REDACTIONS)
