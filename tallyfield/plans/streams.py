@@ -14,15 +14,22 @@ SLICES = 3
 
 
 def _stream(rows: DataFrame, order: str, folder: str) -> DataFrame:
-    """The rows as a stream of SLICES batches of rising ``order``, from files under ``folder``."""
+    """The rows as a stream of SLICES batches of rising ``order``, from files under ``folder``.
+
+    A batch is one slice, of as many files as tasks write it. A slice with fewer (a task without rows writes none) gets
+    empty files, so that no batch takes files of the next slice.
+    """
+    spark = rows.sparkSession
     least, most = rows.agg(F.min(order), F.max(order)).first()
+    files = min(rows.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism)
     for k in range(SLICES):
         edge = lambda i: F.lit(least) + (F.lit(most) - F.lit(least)) * F.lit(i / SLICES)
         inside = (F.col(order) >= edge(k)) if k else F.lit(True)
         upper = (F.col(order) < edge(k + 1)) if k < SLICES - 1 else F.lit(True)
-        rows.filter(inside & upper).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    spark = rows.sparkSession
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        rows.filter(inside & upper).coalesce(files).write.parquet(f"{folder}/in/{k}")
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(f"{folder}/in/{k}").inputFiles())):
+            rows.limit(0).write.mode("append").parquet(f"{folder}/in/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
 
 
 def _events(read, folder: str) -> DataFrame:

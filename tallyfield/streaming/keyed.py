@@ -11,6 +11,7 @@ import sys
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql.types import StructType
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SESSION_GAP_SECONDS, ACTIVE_CAP_SECONDS = 1800, 300
 RETAINED, RETAINED_DAYS = 200, 30
+BUCKETS, MOST_HELD = 1024, 100_000
 QUIET_SECONDS, COOLDOWN_SECONDS = 60, 45
 _DAY = 86_400_000_000
 # The driver's own Python worker for streams has no path of the session's files, so the processors travel whole.
@@ -72,40 +74,74 @@ def _time(micros: int) -> datetime:
 # X-02: totals and retained times of each visitor
 
 
-class _Totals(_Processor):
-    def __init__(self, schema: str, most: int, days: int) -> None:
-        super().__init__(schema)
+def _put_together(most: int):
+    """A function of frames ``who, at`` that gives ``who, n, times``: lines counted, the last ``most`` times kept."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str | None, list] = {}
+        rows = lambda: pd.DataFrame([(who, n, sorted(times)[-most:]) for who, (n, *times) in found.items()], columns=["who", "n", "times"])
+        for frame in frames:
+            for who, at in zip(frame["who"].tolist(), frame["at"].tolist(), strict=True):
+                seen = found.setdefault(who, [0])
+                seen[0] += 1
+                seen.append(at)
+                if len(seen) > 4 * most:
+                    seen[1:] = sorted(seen[1:])[-most:]
+            if len(found) > MOST_HELD:
+                yield rows()
+                found.clear()
+        yield rows()
+
+    return run
+
+
+class _Totals(StatefulProcessor):
+    """State: of each visitor ``n, last`` and the retained times, the entries of one map.
+
+    A key of the operator is a bucket of visitors, as each call for a key costs far more than what one visitor's lines do.
+    Only the entries of the batch's own visitors are read and written.
+    """
+
+    def __init__(self, most: int, days: int) -> None:
         self.most, self.days = most, days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "n bigint, last bigint")
-        self.times = handle.getListState("times", "at bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, last = self.totals.get() if self.totals.exists() else (0, None)
-        times = [x[0] for x in self.times.get()] if self.times.exists() else []
-        for row in rows:
-            n += 1
-            times.append(row["_at"])
-            if len(times) >= 4 * self.most:
-                times = sorted(times)[-self.most :]
-        times = sorted(times)[-self.most :]
-        last = times[-1] if last is None else max(last, times[-1])
-        times = [t for t in times if t >= last - self.days * _DAY]
-        self.totals.update((n, last))
-        self.times.put([(t,) for t in times])
-        yield self.row(*key, n, last, times)
+        self.totals = handle.getMapState("totals", "who string", "n bigint, last bigint, times array<bigint>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found: dict[str | None, tuple[int, list]] = {}
+        for frame in rows:
+            for who, more, times in zip(frame["who"].tolist(), frame["n"].tolist(), frame["times"].tolist(), strict=True):
+                n, before = found.get(who, (0, []))
+                found[who] = n + more, sorted([*before, *map(int, times)])[-self.most :]
+        out = []
+        for who, (more, times) in found.items():
+            n, last, before = self.totals.getValue((who,)) or (0, None, [])
+            times = sorted([*before, *times])[-self.most :]
+            last = times[-1] if last is None else max(last, times[-1])
+            times = [t for t in times if t >= last - self.days * _DAY]
+            self.totals.updateValue((who,), (n + more, last, times))
+            out.append((who, n + more, last, times))
+        yield pd.DataFrame(out, columns=["who", "n", "last", "times"])
 
 
 def visitor_totals(lines: DataFrame, who: str = "ip", ts: str = "ts", salt_by: str | None = None, salts: int = 1, most: int = RETAINED, days: int = RETAINED_DAYS) -> DataFrame:
     """Changes of each visitor's count, last time and last ``most`` times that are at most ``days`` older than the last.
 
-    ``who, _salt, n, _last, _times``, times in microseconds. With ``salts`` a visitor that sends most of the lines is dealt
-    by ``salt_by`` over so many keys, which ``totals_of`` puts together again. Lines without a time play no part.
+    ``who, _salt, n, _last, _times``, times in microseconds. With ``salts`` the lines of a visitor that sends most of them
+    are dealt by ``salt_by`` over so many shares; each share is counted on its own, and the visitor's state, one for all
+    shares (``_salt`` is 0), takes a row of each. Lines without a time play no part. ``who`` is of a type whose text names
+    it: text or a whole number.
     """
+    use_rocksdb(lines.sparkSession)
     salt = F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int") if salt_by and salts > 1 else F.lit(0)
-    rows = lines.filter(F.col(ts).isNotNull()).select(who, salt.alias("_salt"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"))
-    return _keyed(rows, [who, "_salt"], _Totals, "n bigint, _last bigint, _times array<bigint>", "Update", "None", most, days)
+    rows = lines.filter(F.col(ts).isNotNull()).select(F.col(who).cast("string").alias("who"), salt.alias("salt"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    shares = rows.repartition("who", "salt").select("who", "at").mapInPandas(_put_together(most), "who string, n bigint, times array<bigint>")
+    bucket = F.pmod(F.xxhash64("who"), F.lit(BUCKETS)).cast("int")
+    schema = "who string, n bigint, last bigint, times array<bigint>"
+    # Names of these frames can't begin with "_".
+    changes = shares.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(_Totals(most, days), schema, "Update", "None")
+    return changes.select(F.col("who").cast(lines.schema[who].dataType).alias(who), F.lit(0).alias("_salt"), "n", F.col("last").alias("_last"), F.col("times").alias("_times"))
 
 
 def totals_of(changes: DataFrame, who: str = "ip", most: int = RETAINED, days: int = RETAINED_DAYS) -> DataFrame:

@@ -1,11 +1,14 @@
 """What larger or unordered tables showed."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import REDACTIONS, clean_text, contains_any, message_signature
 from tallyfield.operators import evidence
-from tallyfield.plans import catalog
+from tallyfield.plans import catalog, streams
 from tallyfield.sources import tables
+from tallyfield.streaming import keyed
 
 
 def test_log_lines_stand_in_their_file_in_order(spark, sf_dir, tmp_path):
@@ -70,3 +73,25 @@ def test_redaction_searches_only_messages_that_have_what_a_pattern_needs(spark):
     for r in got.collect():
         assert r.new == r.old
     assert got.select("new")._jdf.queryExecution().analyzed().toString().lower().count("contains(") >= len(REDACTIONS)
+
+
+def test_slices_of_a_stream_are_written_by_all_tasks_and_are_its_batches(spark, tmp_path):
+    # Of four tasks, one has rows of all slices and three of one slice alone.
+    i = F.col("id")
+    rows = spark.range(0, 40, 1, 4).select(F.when(i < 10, i).when(i < 20, i % 3).when(i < 30, i % 3 + 7).otherwise(i % 2 + 4).alias("k"))
+    stream = streams._stream(rows, "k", str(tmp_path))
+    assert [len(list((tmp_path / "in" / str(k)).glob("*.parquet"))) for k in range(3)] == [4, 4, 4]
+    keyed.append_epochs(stream, f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination(120)
+    got = [sorted(r.k for r in spark.read.parquet(f"{tmp_path}/o/epoch={k}").collect()) for k in range(3)]
+    ks = sorted([*range(10), *[i % 3 for i in range(10, 20)], *[i % 3 + 7 for i in range(20, 30)], *[i % 2 + 4 for i in range(30, 40)]])
+    assert got == [[k for k in ks if k < 3], [k for k in ks if 3 <= k < 6], [k for k in ks if k >= 6]]
+
+
+def test_shares_of_a_visitor_have_one_state(spark, tmp_path):
+    at = [dt.datetime(2024, 1, 1, tzinfo=dt.UTC) + dt.timedelta(hours=k) for k in range(60)]
+    spark.createDataFrame([(None if k % 6 == 5 else 2**60 + k % 2, at[k], k) for k in range(60)], "who bigint, ts timestamp, id int").write.parquet(f"{tmp_path}/in")
+    src = spark.readStream.schema("who bigint, ts timestamp, id int").parquet(f"{tmp_path}/in")
+    keyed.append_epochs(keyed.visitor_totals(src, "who", "ts", "id", salts=8, most=3, days=1), f"{tmp_path}/o", f"{tmp_path}/c").awaitTermination(120)
+    seen = spark.read.parquet(f"{tmp_path}/o/epoch=0")
+    micros = lambda *ks: [int(at[k].timestamp()) * 1_000_000 for k in ks]
+    assert sorted(((r.who or 0, r.n, r._times) for r in seen.collect())) == [(0, 10, micros(47, 53, 59)), (2**60, 30, micros(54, 56, 58)), (2**60 + 1, 20, micros(51, 55, 57))]
