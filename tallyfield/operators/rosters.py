@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import clean_text, name_key, player_key, team_id
+from tallyfield.sources.shared import saved
 
 PLAYER = (
     "struct<name:string,player_name:string,number:string,player_number:string,steam_id:string,user_id:string,civilization:string,civilization_name:string,"
@@ -39,45 +40,61 @@ def canonical_players(games: DataFrame, players: str = "players_json") -> DataFr
     return out.filter(F.col("name").isNotNull())
 
 
+OUTCOMES = ("n_won", "won_side", "n_lost", "n_any", "single_side", "n_full", "other_side")
+
+
+def _counters() -> list[Column]:
+    """Of a side: its players, and those that won, lost and resigned."""
+    return [F.count("*").alias("size"), F.count_if("winner").alias("won"), F.count_if(~F.col("winner")).alias("lost"), F.count_if("resigned").alias("gone")]
+
+
+def _outcomes(prefix: str) -> list[Column]:
+    """Of a game's sides: how many won, lost and resigned as a whole, and the names a result may take."""
+    c = F.col
+    named = F.when(c("side").isNotNull(), c("side"))
+    all_won, any_won, full = c("won") == c("size"), c("won") > 0, c("gone") == c("size")
+    found = (
+        F.count_if(all_won),
+        F.max(F.when(all_won, named)),
+        F.count_if(c("lost") == c("size")),
+        F.count_if(any_won),
+        F.max(F.when(any_won & (c("lost") == 0), named)),
+        F.count_if(full),
+        F.max(F.when(~full, named)),
+    )
+    return [column.alias(prefix + name) for name, column in zip(OUTCOMES, found, strict=True)]
+
+
 def resolve_teams(players: DataFrame, games: DataFrame, allow_uneven: bool = False, final: bool = False) -> DataFrame:
     """Teams and result of each game (R-03 to R-05, R-07 with ``allow_uneven``).
 
     ``players``: ``game_id, name, steam_id, team_id, winner, resigned``; ``games``: ``game_id, postgame, scoreboard``.
-    Players are put together by team and teams by game; no task holds more than counters of a game.
+    Players are dealt by game once; all that follows stays where they are. They are put together by key and by team, and
+    both by game; no task holds more than counters of a game. In a duel the keys are the sides, else the teams.
     """
-    keyed = players.withColumn("key", player_key(F.col("steam_id"), F.col("name"))).withColumn("team", team_id(F.col("team_id")))
-    # Distinct keys first, so that the game's counters need no distinct of their own.
-    by_key = keyed.groupBy("game_id", "key").agg(F.count("*").alias("n"), F.count_if(F.col("team").isNull()).alias("missing"))
-    roster = by_key.groupBy("game_id").agg(F.sum("n").alias("player_count"), F.count("*").alias("keys"), F.sum("missing").alias("missing"))
-    duel = (F.col("player_count") == 2) & (F.col("keys") == 2)
-    teams = (
-        keyed.join(roster, "game_id")
-        .withColumn("side", F.when(duel, F.col("key")).otherwise(F.col("team")))
-        .groupBy("game_id", "side")
-        .agg(F.count("*").alias("size"), F.count_if("winner").alias("won"), F.count_if(~F.col("winner")).alias("lost"), F.count_if("resigned").alias("gone"))
-    )
-    named = F.when(F.col("side").isNotNull(), F.col("side"))
-    all_won, all_lost = F.col("won") == F.col("size"), F.col("lost") == F.col("size")
-    any_won, no_loss, full = F.col("won") > 0, F.col("lost") == 0, F.col("gone") == F.col("size")
-    order = F.struct(F.coalesce(F.col("side").try_cast("long"), F.lit(2**62)), "side")
-    sides = teams.groupBy("game_id").agg(
-        F.count(named).alias("n_teams"),
-        F.min("size").alias("least"),
-        F.max("size").alias("most"),
-        F.min_by("size", order).alias("first_size"),
-        F.max_by("size", order).alias("last_size"),
-        F.count_if(all_won).alias("n_won"),
-        F.max(F.when(all_won, named)).alias("won_side"),
-        F.count_if(all_lost).alias("n_lost"),
-        F.count_if(any_won).alias("n_any"),
-        F.max(F.when(any_won & no_loss, named)).alias("single_side"),
-        F.count_if(full).alias("n_full"),
-        F.max(F.when(~full, named)).alias("other_side"),
-        F.count_if(~full & (F.col("gone") > 0)).alias("n_partial"),
-    )
     c = F.col
-    g = games.select("game_id", "postgame", "scoreboard").join(roster, "game_id", "left").join(sides, "game_id", "left").withColumn("player_count", F.coalesce("player_count", F.lit(0)))
+    keyed = players.select("game_id", player_key(c("steam_id"), c("name")).alias("key"), team_id(c("team_id")).alias("team"), "winner", "resigned").repartition("game_id")
+    by_key = keyed.groupBy("game_id", c("key").alias("side")).agg(*_counters(), F.count_if(c("team").isNull()).alias("missing"))
+    roster = by_key.groupBy("game_id").agg(F.sum("size").alias("player_count"), F.count("*").alias("keys"), F.sum("missing").alias("missing"), *_outcomes("key_"))
+    named = F.when(c("side").isNotNull(), c("side"))
+    order = F.struct(F.coalesce(c("side").try_cast("long"), F.lit(2**62)), "side")
+    sides = (
+        keyed.groupBy("game_id", c("team").alias("side"))
+        .agg(*_counters())
+        .groupBy("game_id")
+        .agg(
+            F.count(named).alias("n_teams"),
+            F.min("size").alias("least"),
+            F.max("size").alias("most"),
+            F.min_by("size", order).alias("first_size"),
+            F.max_by("size", order).alias("last_size"),
+            *_outcomes("team_"),
+        )
+    )
     duplicate = c("player_count") != F.coalesce("keys", F.lit(0))
+    g = games.select("game_id", "postgame", "scoreboard").join(roster, "game_id", "left").join(sides, "game_id", "left").withColumn("player_count", F.coalesce("player_count", F.lit(0)))
+    duel = (c("player_count") == 2) & ~duplicate
+    g = g.withColumns({name: F.when(duel, c(f"key_{name}")).otherwise(c(f"team_{name}")) for name in OUTCOMES})
     standard = c("player_count").isin(4, 6, 8)
     small, unsupported, no_team = c("player_count") < 2, ~standard & F.lit(not allow_uneven), c("missing") > 0
     two = (c("player_count") == 2) & ~duplicate
@@ -159,6 +176,8 @@ def apply_contract(games: DataFrame, players: DataFrame, results: DataFrame) ->
     and goes to review, with the raw flag kept. Winners are gathered for trusted results alone, whose rosters are of a known
     format; without one both arrays are empty.
     """
+    # Kept, as the winners' branch would resolve all teams again.
+    results = saved(results.select("game_id", "resignation_state", "winning_team", "result_status", "result_provenance", "result_trusted"))
     won = apply_result(players, results).filter("is_winner")
     key = player_key(F.col("steam_id"), F.col("name"))
     winners = won.groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), clean_text(F.col("name")).alias("name")))).alias("_w"))

@@ -1,11 +1,12 @@
 """What larger or unordered tables showed."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import REDACTIONS, clean_text, contains_any, message_signature
-from tallyfield.operators import evidence
+from tallyfield.operators import evidence, rosters
 from tallyfield.plans import catalog, streams
 from tallyfield.sources import tables
 from tallyfield.streaming import keyed
@@ -95,3 +96,21 @@ def test_shares_of_a_visitor_have_one_state(spark, tmp_path):
     seen = spark.read.parquet(f"{tmp_path}/o/epoch=0")
     micros = lambda *ks: [int(at[k].timestamp()) * 1_000_000 for k in ks]
     assert sorted(((r.who or 0, r.n, r._times) for r in seen.collect())) == [(0, 10, micros(47, 53, 59)), (2**60, 30, micros(54, 56, 58)), (2**60 + 1, 20, micros(51, 55, 57))]
+
+
+def test_teams_are_resolved_with_players_dealt_by_game_and_only_once_for_a_contract(spark):
+    rows = [(1, "a", "1", True), (1, "b", "1", False), *[(2, n, t, None) for n, t in zip("abca", "1122", strict=True)], (3, None, None, True), (3, "b", None, False)]
+    players = spark.createDataFrame([(*r, False) for r in rows], "game_id int, name string, team_id string, winner boolean, resigned boolean").withColumn("steam_id", F.lit(None).cast("string"))
+    results = rosters.resolve_teams(players, spark.createDataFrame([(g, True, False) for g in range(1, 5)], "game_id int, postgame boolean, scoreboard boolean"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(game_id#" in plan(results) and not re.search(r"hashpartitioning\(game_id#\w+, \w", plan(results).replace(", 4)", ")"))
+    assert {r.game_id: (r.status, r.format, r.reason_codes, r.winning_team) for r in results.collect()} == {
+        1: ("resolved", "1v1", "", "name:a"),
+        2: ("conflicting", "unknown", "duplicate_player_identity", None),
+        3: ("resolved", "1v1", "", None),
+        4: ("incomplete", "unknown", "roster_incomplete", None),
+    }
+    games = spark.createDataFrame([(g, True, "postgame", "ok") for g in range(1, 5)], "game_id int, completed boolean, completion_source string, parse_reason string")
+    out = rosters.apply_contract(games, players, results)
+    assert "n_full" not in plan(out)
+    assert {r.game_id: r.winner_keys for r in out.collect()} == {1: ["name:a"], 2: [], 3: [], 4: []}
